@@ -1,3 +1,4 @@
 """Registered queries (imports each catalog section)."""
 
+from . import catalog_profile  # noqa: F401
 from . import catalog_ratios  # noqa: F401

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import round_half_up
+
 # ---------------------------------------------------------------------------
 # Feature names per module, in contract order (must equal the
 # reference's lists for module selection and coverage reports to agree).
@@ -134,7 +136,7 @@ def coverage_report(df: DataFrame, ok_at: float = 100.0, warn_at: float = 80.0)
         F.sum(F.when(F.col("present"), 1).otherwise(0)).cast("bigint").alias("found"),
     )
     rep = rep.withColumn("missing", F.col("expected") - F.col("found")) \
-        .withColumn("coverage_pct", F.round(F.col("found") * 100.0 / F.col("expected"), 2))
+        .withColumn("coverage_pct", round_half_up(F.col("found") * 100.0 / F.col("expected"), 2))
     return rep.withColumn(
         "status",
         F.when(F.col("coverage_pct") >= ok_at, "OK")
