@@ -2,3 +2,4 @@
 
 from . import catalog_profile  # noqa: F401
 from . import catalog_ratios  # noqa: F401
+from . import catalog_sampling  # noqa: F401

@@ -173,3 +173,31 @@ def rnd(expr: str, digits: int = 6) -> str:
     scale = f"CAST({10 ** digits} AS DOUBLE)"
     return (f"(floor(CASE WHEN isnan(CAST({expr} AS DOUBLE)) OR isinf(CAST({expr} AS DOUBLE)) "
             f"THEN NULL ELSE CAST({expr} AS DOUBLE) END * {scale} + 0.5) / {scale})")
+
+
+def oversample_ctes(source: str = "dataset67", target_rate: float = 0.085, seed: int = 42) -> list[str]:
+    """G5 in SQL: ``oversampled`` = source + clone_ord, same md5 draws as the Spark side."""
+    t = f"CAST({target_rate!r} AS DOUBLE)"
+    return [
+        f"os_stats AS (SELECT count(*) AS n, sum(\"default\") AS d FROM {source})",
+        f"os_x AS (SELECT CAST(trunc(({t} * n - d) / (1 - {t})) AS BIGINT) AS x, d FROM os_stats)",
+        f"os_min AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(sample_id AS VARCHAR), "
+        f"'{seed}'))) - 1 AS _pos FROM {source} WHERE \"default\" = 1)",
+        f"os_draws AS (SELECT i + 1 AS clone_ord, ('0x' || substr(md5(concat_ws('|', 'draw', CAST(i AS VARCHAR), "
+        f"'{seed}')), 1, 15))::BIGINT % d AS _pos FROM (SELECT unnest(range(x)) AS i, d FROM os_x WHERE x > 0 AND d > 0))",
+        "os_clones AS (SELECT m.* EXCLUDE (_pos), dr.clone_ord FROM os_draws dr JOIN os_min m USING (_pos))",
+        f"oversampled AS (SELECT *, CAST(0 AS BIGINT) AS clone_ord FROM {source} UNION ALL SELECT * FROM os_clones)",
+    ]
+
+
+def split_ctes(source: str = "oversampled", seed: int = 42, train: float = 0.70, val: float = 0.15) -> list[str]:
+    """G6 in SQL: ``splits`` = source + split (train/val/test per (industry, default) stratum)."""
+    key = f"md5(concat_ws('|', CAST(sample_id AS VARCHAR), CAST(clone_ord AS VARCHAR), '{seed}'))"
+    ntr = f"floor(_n * CAST({train!r} AS DOUBLE))"
+    nva = f"floor(_n * CAST({val!r} AS DOUBLE))"
+    return [
+        f"sp_ranked AS (SELECT *, row_number() OVER (PARTITION BY industry_code, \"default\" ORDER BY {key}) - 1 AS _pos, "
+        f"count(*) OVER (PARTITION BY industry_code, \"default\") AS _n FROM {source})",
+        f"splits AS (SELECT * EXCLUDE (_pos, _n), CASE WHEN _pos < {ntr} THEN 'train' WHEN _pos < {ntr} + {nva} "
+        f"THEN 'val' ELSE 'test' END AS split FROM sp_ranked)",
+    ]
