@@ -80,8 +80,9 @@ def running_totals(df: DataFrame, order_cols: Sequence[Column | str],
     for n in values:
         run = F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0))
         out = out.withColumn(n, F.col(f"_o_{n}") + run)
-    drop = ["_b"] + [f"_v_{n}" for n in values] + [f"_o_{n}" for n in values]
-    return out.drop(*drop)
+    # keep the input's column order (a USING join moves the keys to the front)
+    keep = [c for c in df.columns if c not in values and c != "_b"]
+    return out.select(*keep, *values.keys())
 
 
 def position_by_hash(df: DataFrame, key: str, partition_cols: Sequence[str] = (),

@@ -98,7 +98,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("industry_code", LA
     n_val = F.floor(F.col("_n") * F.lit(float(val_size)))
     split = (F.when(F.col("_pos") < n_train, "train")
              .when(F.col("_pos") < n_train + n_val, "val").otherwise("test"))
-    return j.withColumn(SPLIT_COL, split).drop("_sk", "_pos", "_n")
+    return j.select(*df.columns, split.alias(SPLIT_COL))
 
 
 def split_summary(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
