@@ -1,6 +1,7 @@
 """Registered queries (imports each catalog section)."""
 
 from . import catalog_clean  # noqa: F401
+from . import catalog_features  # noqa: F401
 from . import catalog_profile  # noqa: F401
 from . import catalog_ratios  # noqa: F401
 from . import catalog_sampling  # noqa: F401
