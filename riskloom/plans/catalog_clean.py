@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..operators import clean as CL
@@ -28,11 +26,8 @@ ONE_HOT_DOMAIN = {
 FEATURES_IN = [c for c in D67_COLUMNS if c not in ("sample_id", "default")]
 
 
-@lru_cache(maxsize=None)
 def _fitted(spark, sf_dir):
-    sp = DS.splits(spark, sf_dir)
-    model = CL.Preprocessor().fit(sp.filter(F.col("split") == "train"))
-    return sp, model
+    return DS.splits(spark, sf_dir), DS.fitted_preprocessor(spark, sf_dir)
 
 
 def _prep_ctes() -> list[str]:

@@ -1,18 +1,70 @@
-"""Named intermediate datasets shared by registered queries (Spark side of the views)."""
+"""Named intermediate datasets shared by registered queries (Spark side of the views).
+
+Long chains (fixtures -> oversample -> split -> preprocess -> targets) are cut with a
+reliable ``checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``:
+later stages read the materialised rows instead of recomputing the lineitem join,
+and a lost executor re-reads the checkpoint rather than replaying the lineage.
+Materialisations are memoised per (application, data dir).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import sampling as S
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
 
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MEMO:
+        ensure_checkpoint_dir(spark)
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (never a local one): cuts lineage, survives executor loss."""
+    return df.checkpoint(eager=True)
+
+
+def dataset67(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "dataset67", lambda: materialize(FX.dataset67(spark, sf_dir)))
+
+
+def financial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "financial_features",
+                 lambda: materialize(FX.financial_features(spark, sf_dir)))
+
 
 def oversampled(spark: SparkSession, sf_dir: str, target_rate: float = 0.085, seed: int = 42) -> DataFrame:
     """dataset67 + minority clones."""
-    return S.oversample_minority(FX.dataset67(spark, sf_dir), target_rate=target_rate, seed=seed)
+    return _memo(spark, sf_dir, f"oversampled/{target_rate}/{seed}", lambda: materialize(
+        S.oversample_minority(dataset67(spark, sf_dir), target_rate=target_rate, seed=seed)))
 
 
 def splits(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
     """Oversampled table with its train/val/test label (G6), reference order T4."""
-    return S.stratified_split(oversampled(spark, sf_dir, seed=seed), seed=seed)
+    return _memo(spark, sf_dir, f"splits/{seed}", lambda: materialize(
+        S.stratified_split(oversampled(spark, sf_dir, seed=seed), seed=seed)))
+
+
+def fitted_preprocessor(spark: SparkSession, sf_dir: str):
+    from ..operators.clean import Preprocessor
+    return _memo(spark, sf_dir, "preprocessor", lambda: Preprocessor().fit(
+        splits(spark, sf_dir).filter(F.col("split") == "train")))
+
+
+def preprocessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, val, test) after the fitted preprocessor; train de-duplicated."""
+    def build():
+        sp = splits(spark, sf_dir)
+        model = fitted_preprocessor(spark, sf_dir)
+        tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
+        return tuple(materialize(model.transform(x)) for x in
+                     (tr, sp.filter(F.col("split") == "val"), sp.filter(F.col("split") == "test")))
+    return _memo(spark, sf_dir, "preprocessed", build)
