@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, round_half_up, row_sample_std
-from .targets import MODULE_SPECS, apply_post_rule, target_raw
+from .targets import MODULE_SPECS, apply_post_rule, fused_targets
 
 SCORE_COLS = ["S1", "S2", "S3", "S4"]
 FEATURE_COLS = ["S1", "S2", "S3", "S4", "min_score", "S1_x_S2", "score_std", "weighted_avg"]
@@ -93,10 +93,7 @@ def explain(df: DataFrame, pd_col: str = "pd_score", keep: tuple = ()) -> DataFr
 
 def with_module_targets(frame: DataFrame, label: str | None = "default") -> DataFrame:
     """All four raw targets on one frame (``S1_raw`` ... ``S4_raw``) -- no joins needed."""
-    out = frame
-    for m, spec in MODULE_SPECS.items():
-        out = target_raw(out, spec, label, out=f"{m}_raw")
-    return out
+    return fused_targets(frame, {f"{m}_raw": spec for m, spec in MODULE_SPECS.items()}, label)
 
 
 def proxy_scores(frame: DataFrame, ranges: dict, keep: tuple = ("sample_id", "default")) -> DataFrame:

@@ -104,32 +104,64 @@ def with_norms(df: DataFrame, cols: list[str], fill_median: bool, prefix: str =
 def target_raw(df: DataFrame, spec: ModuleSpec, label: str | None = LABEL_COL,
                out: str = "target_raw") -> DataFrame:
     """The module's unscaled target proxy on the frame it is given."""
+    return fused_targets(df, {out: spec}, label)
+
+
+def fused_targets(df: DataFrame, specs: dict, label: str | None = LABEL_COL) -> DataFrame:
+    """Several modules' target proxies in three passes over ``df`` in total: one fused
+    aggregate of every weight column's min/max/median, one projection of all scores,
+    one fused aggregate of the score ranges (for re-normalised modules). ``specs`` maps
+    output column -> ModuleSpec. Chaining modules one by one would nest each module's
+    aggregates inside the next one's plan."""
     x = df
-    if "past_due_severity" in spec.derived and {"max_past_due_days", "num_past_due_90d"} <= set(x.columns):
+    derived = any("past_due_severity" in s.derived for s in specs.values())
+    add_sev = derived and "past_due_severity" not in x.columns and \
+        {"max_past_due_days", "num_past_due_90d"} <= set(x.columns)
+    if add_sev:
         x = x.withColumn("past_due_severity", past_due_severity())
-    used = [(c, w) for c, w in spec.weights if c in x.columns]
-    normed = [c for c, _ in used if c not in spec.raw_binary]
-    x = with_norms(x, normed, spec.fill_median)
-    score = F.lit(0.0)
-    for c, w in used:
-        if c in spec.raw_binary:
-            term = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        else:
-            term = F.col(f"_n_{c}")
-        score = score - F.lit(-w) * term if w < 0 else score + F.lit(w) * term
-    x = x.withColumn("_score", score).drop(*[f"_n_{c}" for c in normed])
-    if not spec.renorm_and_blend:
-        res = x.withColumnRenamed("_score", out)
-    else:
-        rng = x.agg(F.min("_score").alias("_slo"), F.max("_score").alias("_shi"))
+    aggs, plans = [], {}
+    for k, (out, spec) in enumerate(specs.items()):
+        used = [(c, w) for c, w in spec.weights if c in x.columns]
+        normed = [c for c, _ in used if c not in spec.raw_binary]
+        plans[out] = (k, spec, used, normed)
+        for c in normed:
+            v = F.col(c).cast("double")
+            aggs += [F.min(v).alias(f"_lo{k}_{c}"), F.max(v).alias(f"_hi{k}_{c}")]
+            if spec.fill_median:
+                aggs.append(F.median(v).alias(f"_md{k}_{c}"))
+    stats = x.agg(*aggs)
+    x = x.crossJoin(F.broadcast(stats))
+    for out, (k, spec, used, normed) in plans.items():
+        score = F.lit(0.0)
+        for c, w in used:
+            if c in spec.raw_binary:
+                term = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+            else:
+                v = F.col(c).cast("double")
+                if spec.fill_median:
+                    v = F.coalesce(v, F.col(f"_md{k}_{c}"))
+                term = minmax_norm(v, F.col(f"_lo{k}_{c}"), F.col(f"_hi{k}_{c}"))
+            score = score + F.lit(w) * term
+        x = x.withColumn(f"_score{k}", score)
+    x = x.drop(*stats.columns)
+    blend = {out: p for out, p in plans.items() if p[1].renorm_and_blend}
+    if blend:
+        rng = x.agg(*[F.min(f"_score{p[0]}").alias(f"_slo{p[0]}") for p in blend.values()],
+                    *[F.max(f"_score{p[0]}").alias(f"_shi{p[0]}") for p in blend.values()])
         x = x.crossJoin(F.broadcast(rng))
-        stab = minmax_norm(F.col("_score"), F.col("_slo"), F.col("_shi"))
-        signal = (F.lit(1.0) - F.col(label).cast("double")) if label and label in x.columns else F.lit(NO_LABEL_SIGNAL)
-        res = x.withColumn(out, F.lit(BLEND_PROXY) * stab + F.lit(BLEND_LABEL) * signal) \
-            .drop("_score", "_slo", "_shi")
-    if "past_due_severity" in spec.derived and "past_due_severity" not in df.columns:
-        res = res.drop("past_due_severity")
-    return res
+    signal = (F.lit(1.0) - F.col(label).cast("double")) if label and label in x.columns else F.lit(NO_LABEL_SIGNAL)
+    for out, (k, spec, used, normed) in plans.items():
+        if spec.renorm_and_blend:
+            stab = minmax_norm(F.col(f"_score{k}"), F.col(f"_slo{k}"), F.col(f"_shi{k}"))
+            x = x.withColumn(out, F.lit(BLEND_PROXY) * stab + F.lit(BLEND_LABEL) * signal)
+        else:
+            x = x.withColumn(out, F.col(f"_score{k}"))
+    temps = [f"_score{p[0]}" for p in plans.values()]
+    if blend:
+        temps += rng.columns
+    if add_sev:
+        temps.append("past_due_severity")
+    return x.drop(*temps)
 
 
 def fit_target_scaler(train_raw: DataFrame, col: str = "target_raw") -> tuple[float, float]:
