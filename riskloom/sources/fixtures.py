@@ -4,11 +4,11 @@
 ``industry_risk`` lookup. They are deterministic functions of customer / orders /
 lineitem, so every query built on them grows with the base tables.
 
-Plan notes (scale): lineitem is joined to orders on the order key (a shuffle join of
-the two big tables; AQE splits skewed keys), then aggregated to one row per
-(customer, year) *before* the customer join -- the partial aggregate collapses the
-big side, so the customer join only sees company-years. Money is summed as DECIMAL
-so the totals are exact and engine-independent.
+Plan notes (scale): lineitem is first aggregated per order (partial aggregation before
+the shuffle -- 4x fewer rows, and a hot order key collapses map-side), then joined to
+orders on the order key, rolled up to one row per (customer, year), and only then
+joined to customer -- so the customer join sees company-years, not lines. Money is
+summed as DECIMAL, so the two-level rollup is exact and engine-independent.
 """
 
 from __future__ import annotations
@@ -34,32 +34,31 @@ def financial_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     disc = F.col("l_discount").cast(DEC_RATE)
     tax = F.col("l_tax").cast(DEC_RATE)
     net = ext * (F.lit(1).cast("decimal(3,2)") - disc)
-    line = li.join(od, li.l_orderkey == od.o_orderkey).select(
-        F.col("o_custkey").alias("custkey"),
-        F.year("o_orderdate").alias("yr"),
-        ext.alias("ext"), disc.alias("disc"), net.alias("net"),
-        (net * (F.lit(0.90).cast("decimal(3,2)") + tax)).alias("cogs_l"),
-        (net * (F.lit(0.10).cast("decimal(3,2)") - tax)).alias("margin_l"),
-        F.col("l_quantity").cast("int").cast("bigint").alias("qty"),
-        F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
-    )
 
     def flag(cond):
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("double")
-
-    agg = line.groupBy("custkey", "yr").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum("ext").cast("double").alias("gross"),
-        F.sum("net").cast("double").alias("revenue"),
-        F.sum("cogs_l").cast("double").alias("cogs"),
-        F.sum("margin_l").cast("double").alias("margin"),
-        F.sum("disc").cast("double").alias("sd"),
-        F.sum("qty").cast("double").alias("sq"),
-        flag(F.col("ls") == "O").alias("no_"),
-        flag(F.col("rf") == "A").alias("na"),
-        flag(F.col("rf") == "R").alias("nr"),
-        flag(F.col("rf") == "N").alias("nn"),
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    # 1) pre-aggregate lines per order (map-side partial aggregation: a hot order key
+    #    collapses before any shuffle, and the join below sees one row per order)
+    per_order = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(ext).alias("gross"),
+        F.sum(net).alias("revenue"),
+        F.sum(net * (F.lit(0.90).cast("decimal(3,2)") + tax)).alias("cogs"),
+        F.sum(net * (F.lit(0.10).cast("decimal(3,2)") - tax)).alias("margin"),
+        F.sum(disc).alias("sd"),
+        F.sum(F.col("l_quantity").cast("int").cast("bigint")).alias("sq"),
+        flag(F.col("l_linestatus") == "O").alias("no_"),
+        flag(F.col("l_returnflag") == "A").alias("na"),
+        flag(F.col("l_returnflag") == "R").alias("nr"),
+        flag(F.col("l_returnflag") == "N").alias("nn"),
     )
+    # 2) attach customer and year, 3) roll orders up to (customer, year); the sums are
+    #    exact decimals, so the two-level rollup equals the line-level one bit for bit
+    lines = per_order.join(od, per_order.l_orderkey == od.o_orderkey)
+    sums = ["gross", "revenue", "cogs", "margin", "sd", "sq", "no_", "na", "nr", "nn"]
+    agg = lines.groupBy(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("yr")).agg(
+        F.sum("n").cast("double").alias("n"), *[F.sum(c).cast("double").alias(c) for c in sums])
     agg = agg.join(cu, agg.custkey == cu.c_custkey)
 
     c = F.col
