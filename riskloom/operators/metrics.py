@@ -41,7 +41,7 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
     P, N = F.col("P"), F.col("N")
     f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + P)).otherwise(F.lit(0.0))
     auc_num = F.col("pos") * (2 * (N - F.col("fp")) + F.col("neg"))
-    ks = F.col("tp") / P - F.col("fp") / N
+    ks = F.try_divide(F.col("tp"), P) - F.try_divide(F.col("fp"), N)
     agg = curve.agg(
         F.sum(auc_num).alias("_auc_num"), F.first("P").alias("P"), F.first("N").alias("N"),
         F.max(ks).alias("_ks"),
@@ -49,7 +49,7 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
     )
     valid = (F.col("P") > 0) & (F.col("N") > 0)
     return agg.select(
-        F.when(valid, F.col("_auc_num") / (2.0 * F.col("P") * F.col("N"))).alias("auc"),
+        F.when(valid, F.try_divide(F.col("_auc_num"), 2.0 * F.col("P") * F.col("N"))).alias("auc"),
         F.when(valid, F.greatest(F.col("_ks"), F.lit(0.0))).alias("ks"),
         (-F.col("_best.neg_t")).alias("best_threshold"),
         F.col("_best.f1").alias("best_f1"),
