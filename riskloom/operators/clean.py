@@ -74,7 +74,9 @@ def debt_burden_diagnostics(df: DataFrame) -> DataFrame:
     )
 
 
-def apply_debt_strategy(df: DataFrame, strategy: str | None) -> DataFrame:
+def apply_debt_strategy(df: DataFrame, strategy: str | None, median: float | None = None) -> DataFrame:
+    """C3 apply: 'drop' removes the column; 'recalc' recomputes it and fills NULLs with
+    this frame's median (reference) or a frozen ``median`` (streaming / leak-free)."""
     if DEBT_COL not in df.columns or strategy is None:
         return df
     if strategy == "drop":
@@ -82,6 +84,8 @@ def apply_debt_strategy(df: DataFrame, strategy: str | None) -> DataFrame:
     if "avg_monthly_deposits" not in df.columns:
         return df
     out = df.withColumn(DEBT_COL, debt_recalc_expr())
+    if median is not None:
+        return out.withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.lit(float(median))))
     med = out.agg(F.median(DEBT_COL).alias("_dbr_med"))
     return (out.crossJoin(F.broadcast(med))
             .withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.col("_dbr_med"))).drop("_dbr_med"))
@@ -130,6 +134,8 @@ class PreprocessorState:
     string_cols: list = field(default_factory=list)
     feature_names_out: list = field(default_factory=list)
     collateral_mode: str | None = None
+    debt_median: float | None = None
+    string_modes: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -156,7 +162,7 @@ class Preprocessor(Estimator):
         features = [c for c in train.columns if c not in PASSTHROUGH]
 
         x = fix_collateral_type(train)                                     # C2
-        if self.fit_mode and "collateral_type" in x.columns:
+        if "collateral_type" in x.columns:   # kept for frozen (streaming / leak-free) use
             st.collateral_mode = x.agg(F.mode("collateral_type", deterministic=True)).first()[0]
 
         if DEBT_COL in features:                                           # C3
@@ -168,6 +174,8 @@ class Preprocessor(Estimator):
             else:
                 st.debt_strategy = "drop"
         x = apply_debt_strategy(x, st.debt_strategy)
+        if st.debt_strategy == "recalc" and DEBT_COL in x.columns:
+            st.debt_median = x.agg(F.median(DEBT_COL)).first()[0]
 
         if "owner_education" in x.columns:                                 # C4
             x = x.withColumn("owner_education", education_ordinal())
@@ -189,6 +197,9 @@ class Preprocessor(Estimator):
                    if isinstance(f.dataType, T.NumericType) and f.name not in PASSTHROUGH and f.name not in onehot]
         st.string_cols = [f.name for f in x.schema.fields
                           if isinstance(f.dataType, T.StringType) and f.name not in PASSTHROUGH]
+        if st.string_cols:
+            modes = x.agg(*[F.mode(c, deterministic=True).alias(c) for c in st.string_cols]).first()
+            st.string_modes = {c: modes[c] for c in st.string_cols}
         if numeric:                                                        # C7
             med = (F.percentile_approx if self.approx_medians else None)
             aggs = [F.sum(sum([F.col(c).isNull().cast("int") for c in numeric], F.lit(0))).alias("_nulls")]
@@ -203,7 +214,9 @@ class Preprocessor(Estimator):
 
 
 class PreprocessorModel(Model):
-    """Frozen C3/C5/C6/C7 state; per-split mode (T5) unless fit with ``fit_mode``."""
+    """Frozen C3/C5/C6/C7 state; per-split mode/median (T5) unless ``fit_mode`` --
+    then every statistic is train's and ``transform`` is a pure projection (works on
+    streams)."""
 
     def __init__(self, state: PreprocessorState, fit_mode: bool = False):
         super().__init__()
@@ -215,7 +228,7 @@ class PreprocessorModel(Model):
         keep = [c for c in PASSTHROUGH if c in dataset.columns]
         x = dataset.drop(*[c for c in NON_FEATURE if c in dataset.columns])
         x = fix_collateral_type(x, st.collateral_mode if self.fit_mode else None)
-        x = apply_debt_strategy(x, st.debt_strategy)
+        x = apply_debt_strategy(x, st.debt_strategy, st.debt_median if self.fit_mode else None)
         if "owner_education" in x.columns:
             x = x.withColumn("owner_education", education_ordinal())
         x = one_hot(x, st.categories)
@@ -224,7 +237,10 @@ class PreprocessorModel(Model):
             if c in x.columns:
                 x = x.withColumn(c, F.coalesce(F.col(c), F.lit(float(m))))
         strings = [c for c in st.string_cols if c in x.columns]           # C8
-        if strings:
+        if strings and self.fit_mode:
+            for c in strings:
+                x = x.withColumn(c, F.coalesce(F.col(c), F.lit(st.string_modes.get(c)), F.lit("Unknown")))
+        elif strings:
             modes = x.agg(*[F.mode(c, deterministic=True).alias(f"_m_{c}") for c in strings])
             x = x.crossJoin(F.broadcast(modes))
             for c in strings:

@@ -296,3 +296,31 @@ def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     fit = pts.groupBy(*parts).agg(F.regr_slope("value", "theoretical").alias("slope"),
                                   F.regr_intercept("value", "theoretical").alias("intercept"))
     return pts.join(fit, parts) if parts else pts.crossJoin(F.broadcast(fit))
+
+
+def industry_params(features: DataFrame, ratio_cols: Sequence[str], by: str = "industry_code",
+                    names: dict | None = None, approx: bool = False) -> DataFrame:
+    """One nested parameter document per industry: n_samples, statistics map
+    (mean/median/std/min/max/q25/q75/count per ratio), normal fits and the correlation
+    matrix as map<ratio, map<ratio, r>> -- built from long-form aggregates, never on
+    the driver."""
+    from ..functions.columns import map_values
+    from ..sources.contract import INDUSTRY_NAMES
+    from .correlation import correlation_pairs
+    names = names or INDUSTRY_NAMES
+    st = industry_distribution_stats(features, ratio_cols, by, approx)
+    fit = normal_fit(features, ratio_cols, by)
+    stats = st.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("mean", "median", "std", "min", "max", "q25", "q75", "count")))).alias("statistics"))
+    dists = fit.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("distribution", "mu", "sigma")))).alias("distributions"))
+    pairs = correlation_pairs(features, ratio_cols, [by])
+    sym = pairs.select(by, "feature_1", "feature_2", "corr").unionByName(
+        pairs.select(by, F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "corr"))
+    rows = sym.groupBy(by, "feature_1").agg(F.map_from_entries(F.collect_list(F.struct("feature_2", "corr"))).alias("m"))
+    corr = rows.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("feature_1", "m"))).alias("correlation_matrix"))
+    n = features.groupBy(by).agg(F.count(F.lit(1)).alias("n_samples"))
+    name = F.coalesce(map_values(by, names), F.concat(F.lit("Industry "), F.col(by).cast("string")))
+    return (n.join(stats, by).join(dists, by).join(corr, by)
+            .select(F.col(by).cast("int").alias(by), name.alias("industry_name"), "n_samples", "statistics",
+                    "distributions", "correlation_matrix"))
