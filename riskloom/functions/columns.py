@@ -57,6 +57,15 @@ def row_sample_std(cols: Iterable[str | Column]) -> Column:
     return F.sqrt(ss / F.lit(float(n - 1)))
 
 
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a size check: the side is counted first (cheap for a
+    lookup) and left to Catalyst/AQE's shuffle join when it exceeds ``max_rows``."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     """``select_dtypes(include=number)`` over the schema."""
     ex = set(exclude)

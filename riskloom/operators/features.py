@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, map_values, safe_div
+from ..functions.columns import bounded_broadcast, clip, map_values, safe_div
 
 CURRENT_YEAR = 2024
 # District -> zone and district -> risk tier membership.
@@ -27,7 +27,8 @@ RISK_FALLBACK_DEFAULT = 4
 
 
 def with_frame_stats(df: DataFrame, *aggs: Column) -> DataFrame:
-    """Attach one row of frame-wide aggregates to every row (broadcast of one row)."""
+    """Attach one row of frame-wide aggregates to every row: a scalar attach (the
+    aggregate side is exactly one row, so the broadcast is bounded by construction)."""
     return df.crossJoin(F.broadcast(df.agg(*aggs)))
 
 
@@ -173,8 +174,9 @@ def industry_risk_lookup(df: DataFrame, risk: DataFrame | None, code: str = "ind
 
     E2: with ``risk=None`` (table unavailable) the constant fallback 56->8, 46->6,
     else 4 is used; ``fallback_when_missing`` also applies it to unmatched keys.
-    The lookup is deduplicated per key and bounded by the number of industry codes,
-    so it is broadcast; the fact side never shuffles.
+    The lookup is deduplicated per key and broadcast only after a row-count check, so
+    the fact side never shuffles for a small lookup and a large one falls back to a
+    shuffle join.
     """
     fallback = (F.when(F.col(code) == 56, F.lit(8)).when(F.col(code) == 46, F.lit(6))
                 .otherwise(F.lit(RISK_FALLBACK_DEFAULT)))
@@ -182,6 +184,6 @@ def industry_risk_lookup(df: DataFrame, risk: DataFrame | None, code: str = "ind
         return df.withColumn(out, fallback)
     lk = dedupe_lookup_last(risk, "vsic_code", "risk_score") \
         .withColumnRenamed("vsic_code", "_lk_code").withColumnRenamed("risk_score", "_lk_risk")
-    j = df.join(F.broadcast(lk), F.col(code) == F.col("_lk_code"), "left")
+    j = df.join(bounded_broadcast(lk), F.col(code) == F.col("_lk_code"), "left")
     val = F.coalesce(F.col("_lk_risk"), fallback) if fallback_when_missing else F.col("_lk_risk")
     return j.withColumn(out, val).drop("_lk_code", "_lk_risk")

@@ -339,35 +339,37 @@ class MetaModel:
     def tree_attribution(self, scores: DataFrame, background: int = 16, seed: int = SEED) -> DataFrame:
         """L20 (trees): exact interventional Shapley values over all 2^8 coalitions.
 
-        Every explained row is crossed with the 256 coalitions and a fixed-size background
-        sample (the one deliberately bounded input: a background distribution); one
-        ``transform`` scores all mixed vectors, then coalition means are combined with
-        Shapley weights per feature. Output: mean |phi| per feature.
+        Each explained row is expanded by generators (no join): ``explode`` over the 256
+        coalition masks and over a fixed background of ``background`` rows (the one
+        deliberately bounded input: a background distribution, chosen by a seeded hash
+        and carried as a literal array). One ``transform`` scores all mixed vectors;
+        coalition means are combined with Shapley weights per feature. The expansion is a
+        constant factor (256 x background) per row. Output: mean |phi| per feature.
         """
         from math import factorial
         k = len(FEATURE_COLS)
         d = standardize(engineer_features(scores), self.state.scaler).withColumn("_rid", F.monotonically_increasing_id())
-        bg = (d.withColumn("_h", F.xxhash64(*[F.col(c) for c in FEATURE_COLS], F.lit(seed)))
-              .orderBy("_h").limit(background).select(*[F.col(c).alias(f"b_{c}") for c in FEATURE_COLS]))
-        spark = scores.sparkSession
-        coal = spark.range(1 << k).withColumnRenamed("id", "_mask")
-        x = d.crossJoin(F.broadcast(coal)).crossJoin(F.broadcast(bg))
-        mixed = [F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.col(f"b_{c}")).alias(c)
+        bg_rows = (d.withColumn("_h", F.xxhash64(*[F.col(c) for c in FEATURE_COLS], F.lit(seed)))
+                   .orderBy("_h").limit(background).select(*FEATURE_COLS).collect())
+        bg = F.array(*[F.struct(*[F.lit(float(r[c])).alias(c) for c in FEATURE_COLS]) for r in bg_rows])
+        x = (d.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << k) - 1))))
+              .withColumn("_bg", F.explode(bg)))
+        mixed = [F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.col("_bg")[c]).alias(c)
                  for i, c in enumerate(FEATURE_COLS)]
         design = self.assembler.transform(x.select("_rid", "_mask", *mixed))
         model = self.gbt if self.state.strategy == "B" else self.lr
         v = (model.setProbabilityCol("_p").setPredictionCol("_pp").setRawPredictionCol("_rp").transform(design)
              .select("_rid", "_mask", vector_to_array("_p")[1].alias("_f"))
              .groupBy("_rid", "_mask").agg(F.avg("_f").alias("_v")))
+        size = sum([(F.col("_mask").bitwiseAND(1 << j) != 0).cast("int") for j in range(k)], F.lit(0))
+        # Shapley weight |S|! (k - |S| - 1)! / k! for a coalition S without feature i
+        wts = F.create_map(*[x_ for s in range(k) for x_ in
+                             (F.lit(s), F.lit(factorial(s) * factorial(k - s - 1) / factorial(k)))])
         terms = []
         for i, c in enumerate(FEATURE_COLS):
             bit = F.col("_mask").bitwiseAND(1 << i) != 0
-            size = sum([(F.col("_mask").bitwiseAND(1 << j) != 0).cast("int") for j in range(k)], F.lit(0))
-            # weight |S|!(k-|S|-1)!/k! for S not containing i; contribution v(S+i) - v(S)
-            wts = F.create_map(*[x_ for s in range(k) for x_ in
-                                 (F.lit(s), F.lit(factorial(s) * factorial(k - s - 1) / factorial(k)))])
-            with_i = F.when(bit, wts[size - 1] * F.col("_v")).otherwise(-wts[size] * F.col("_v"))
-            terms.append(F.sum(F.when(bit | (size < k), with_i).otherwise(F.lit(0.0))).alias(c))
+            # v(S + i) enters with +w(|S|), v(S) with -w(|S|)
+            terms.append(F.sum(F.when(bit, wts[size - 1] * F.col("_v")).otherwise(-wts[size] * F.col("_v"))).alias(c))
         phi = v.groupBy("_rid").agg(*terms)
         args = ", ".join(f"'{c}', abs(`{c}`)" for c in FEATURE_COLS)
         return (phi.selectExpr(f"stack({k}, {args}) AS (feature, abs_phi)")
