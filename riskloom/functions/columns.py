@@ -57,6 +57,36 @@ def row_sample_std(cols: Iterable[str | Column]) -> Column:
     return F.sqrt(ss / F.lit(float(n - 1)))
 
 
+EXACT_QUANTILES_CONF = "spark.riskloom.exactQuantiles"
+APPROX_ACCURACY = 100_000
+
+
+def exact_quantiles(spark) -> bool:
+    """Session switch: exact (value->count map per group; matches pandas / the oracle,
+    the default) vs bounded-memory sketches for groups of billions of distinct values.
+    A cluster sets ``spark.riskloom.exactQuantiles=false``."""
+    if spark is None:
+        return True
+    return str(spark.conf.get(EXACT_QUANTILES_CONF, "true")).lower() != "false"
+
+
+def quantile_expr(c: str | Column, probs, spark=None, approx: bool | None = None) -> Column:
+    """Linear-interpolated quantile(s) of ``c`` (= pandas / DuckDB ``quantile_cont``), or
+    ``percentile_approx`` when ``approx`` (or the session switch) asks for it."""
+    x = col_of(c)
+    use_approx = approx if approx is not None else not exact_quantiles(spark)
+    many = isinstance(probs, (list, tuple))
+    if use_approx:
+        return F.percentile_approx(x, list(probs) if many else probs, APPROX_ACCURACY)
+    if many:
+        return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
+    return F.percentile(x, F.lit(float(probs)))
+
+
+def median_expr(c: str | Column, spark=None, approx: bool | None = None) -> Column:
+    return quantile_expr(c, 0.5, spark, approx)
+
+
 BROADCAST_MAX_ROWS = 1_000_000
 
 

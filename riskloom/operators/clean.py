@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clip, map_values, safe_div
+from ..functions.columns import clip, map_values, median_expr, safe_div
 from ..sources.contract import ID_COL, LABEL_COL
 
 # Ordinal education map (T2: unmapped or NULL -> 2), money columns that
@@ -86,7 +86,7 @@ def apply_debt_strategy(df: DataFrame, strategy: str | None, median: float | Non
     out = df.withColumn(DEBT_COL, debt_recalc_expr())
     if median is not None:
         return out.withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.lit(float(median))))
-    med = out.agg(F.median(DEBT_COL).alias("_dbr_med"))
+    med = out.agg(median_expr(DEBT_COL, out.sparkSession).alias("_dbr_med"))
     return (out.crossJoin(F.broadcast(med))
             .withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.col("_dbr_med"))).drop("_dbr_med"))
 
@@ -175,7 +175,8 @@ class Preprocessor(Estimator):
                 st.debt_strategy = "drop"
         x = apply_debt_strategy(x, st.debt_strategy)
         if st.debt_strategy == "recalc" and DEBT_COL in x.columns:
-            st.debt_median = x.agg(F.median(DEBT_COL)).first()[0]
+            st.debt_median = x.agg(median_expr(DEBT_COL, x.sparkSession,
+                                               True if self.approx_medians else None)).first()[0]
 
         if "owner_education" in x.columns:                                 # C4
             x = x.withColumn("owner_education", education_ordinal())
@@ -201,9 +202,9 @@ class Preprocessor(Estimator):
             modes = x.agg(*[F.mode(c, deterministic=True).alias(c) for c in st.string_cols]).first()
             st.string_modes = {c: modes[c] for c in st.string_cols}
         if numeric:                                                        # C7
-            med = (F.percentile_approx if self.approx_medians else None)
+            approx = True if self.approx_medians else None
             aggs = [F.sum(sum([F.col(c).isNull().cast("int") for c in numeric], F.lit(0))).alias("_nulls")]
-            aggs += [(F.percentile_approx(c, 0.5, 10000) if med else F.median(c)).cast("double").alias(c)
+            aggs += [median_expr(F.col(c).cast("double"), x.sparkSession, approx).cast("double").alias(c)
                      for c in numeric]
             row = x.agg(*aggs).first()
             if self.always_medians or (row["_nulls"] or 0) > 0:

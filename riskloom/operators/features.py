@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_broadcast, clip, map_values, safe_div
+from ..functions.columns import bounded_broadcast, clip, map_values, quantile_expr, safe_div
 
 CURRENT_YEAR = 2024
 # District -> zone and district -> risk tier membership.
@@ -71,10 +71,7 @@ def employee_productivity_score(df: DataFrame, revenue: str = "revenue",
     """
     rpe = safe_div(F.col(revenue), F.col(employees))
     base = df.withColumn("_rpe", rpe)
-    if approx:
-        q = F.percentile_approx("_rpe", [0.05, 0.95], 10000)
-    else:
-        q = F.percentile("_rpe", F.array(F.lit(0.05), F.lit(0.95)))
+    q = quantile_expr("_rpe", [0.05, 0.95], df.sparkSession, True if approx else None)
     s = with_frame_stats(base, q.alias("_q"))
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     score = clip(safe_div(F.col("_rpe") - lo, hi - lo) * 9 + 1, 1.0, 10.0)

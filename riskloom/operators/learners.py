@@ -33,6 +33,22 @@ from .targets import (MODULE_SPECS, ModuleSpec, apply_post_rule, fit_target_scal
 SEED = 42
 R2_GAP = 0.03
 AUC_GAP = 0.02
+ROWS_PER_TRAIN_PARTITION = 1_000_000
+
+
+def training_frame(df: DataFrame) -> DataFrame:
+    """Persisted training input with partitions sized to the data (~1M rows each).
+
+    Tree learners run several jobs per iteration; on small inputs the per-task cost
+    dominates, so extra partitions are merged without a shuffle (``coalesce``). Large
+    inputs keep (or exceed) their partitioning -- nothing is ever collapsed below
+    ``rows / ROWS_PER_TRAIN_PARTITION`` tasks.
+    """
+    import math
+    n = df.count()
+    k = max(1, math.ceil(n / ROWS_PER_TRAIN_PARTITION))
+    out = df.coalesce(k) if k < df.rdd.getNumPartitions() else df
+    return out.persist()
 
 
 # ----------------------------------------------------------------------------- builders
@@ -138,7 +154,7 @@ class ScoreModule:
                                                       else F.lit(0.0).alias(c) for c in cols], "target"))
         d_vl = self.assembler.transform(t_vl.select(*[F.col(c).cast("double").alias(c) if c in t_vl.columns
                                                       else F.lit(0.0).alias(c) for c in cols], "target"))
-        d_tr = d_tr.persist()
+        d_tr = training_frame(d_tr)
         a, ga, b, gb = model_pair(self.name, self.full_grid)
         ev = RegressionEvaluator(metricName="r2")
         self.model_a = train_one(a, ga, d_tr, "target", ev)
@@ -271,9 +287,9 @@ class MetaModel:
         # balanced class weights n / (2 n_c); boosted trees: int(neg / max(pos, 1)) on positives
         w_bal = F.when(F.col(label) == 1, F.lit(n / (2.0 * max(pos, 1)))).otherwise(F.lit(n / (2.0 * max(neg, 1))))
         spw = float(int(neg / max(pos, 1)))
-        tr = tr.withColumn("w_bal", w_bal).withColumn(
+        tr = training_frame(tr.withColumn("w_bal", w_bal).withColumn(
             "w_pos", F.when(F.col(label) == 1, F.lit(spw)).otherwise(F.lit(1.0))).withColumn(
-            "label_d", F.col(label).cast("double")).persist()
+            "label_d", F.col(label).cast("double")))
         sum_w = float(n)  # balanced weights sum to n
         ev = BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label_d")
         lr = LogisticRegression(featuresCol="features", labelCol="label_d", weightCol="w_bal", elasticNetParam=0.0,

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import inverse_normal_cdf, numeric_columns, round_half_up, safe_div
+from ..functions.columns import inverse_normal_cdf, numeric_columns, quantile_expr, round_half_up, safe_div
 from ..sources.contract import ALL_FEATURES, ID_COL, LABEL_COL, MODULES
 
 SAFE = "`{}`"
@@ -26,9 +26,10 @@ def _q(name: str) -> str:
 
 
 def _quantiles(c: Column, probs: Sequence[float], approx: bool) -> Column:
-    if approx:
-        return F.percentile_approx(c, list(probs), 10000)
-    return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
+    """Exact linear quantiles unless ``approx`` or the session switch
+    ``spark.riskloom.exactQuantiles=false`` asks for bounded-memory sketches."""
+    from pyspark.sql import SparkSession
+    return quantile_expr(c, list(probs), SparkSession.getActiveSession(), True if approx else None)
 
 
 STAT_EXPRS = {

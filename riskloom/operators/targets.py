@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.contract import (ID_COL, LABEL_COL, MODULE1_FEATURES, MODULE2_FEATURES,
                                 MODULE3_FEATURES, MODULE4_FEATURES)
+from ..functions.columns import median_expr
 from .features import past_due_severity
 
 BLEND_PROXY = 0.70
@@ -90,7 +91,7 @@ def with_norms(df: DataFrame, cols: list[str], fill_median: bool, prefix: str =
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"_lo_{c}"), F.max(x).alias(f"_hi_{c}")]
         if fill_median:
-            aggs.append(F.median(x).alias(f"_md_{c}"))
+            aggs.append(median_expr(x, df.sparkSession).alias(f"_md_{c}"))
     out = df.crossJoin(F.broadcast(df.agg(*aggs)))
     for c in cols:
         x = F.col(c).cast("double")
@@ -128,7 +129,7 @@ def fused_targets(df: DataFrame, specs: dict, label: str | None = LABEL_COL) ->
             v = F.col(c).cast("double")
             aggs += [F.min(v).alias(f"_lo{k}_{c}"), F.max(v).alias(f"_hi{k}_{c}")]
             if spec.fill_median:
-                aggs.append(F.median(v).alias(f"_md{k}_{c}"))
+                aggs.append(median_expr(v, x.sparkSession).alias(f"_md{k}_{c}"))
     stats = x.agg(*aggs)
     x = x.crossJoin(F.broadcast(stats))
     for out, (k, spec, used, normed) in plans.items():

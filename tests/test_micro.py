@@ -180,3 +180,18 @@ def test_string_mode_fill_c8(spark):
     per_frame = [r[0] for r in PreprocessorModel(st).transform(df).collect()]
     frozen = [r[0] for r in PreprocessorModel(st, fit_mode=True).transform(df).collect()]
     assert per_frame[-1] == "b" and frozen[-1] == "q"
+
+
+def test_quantile_switch_approx_mode(spark):
+    from riskloom.functions.columns import EXACT_QUANTILES_CONF, median_expr
+    from riskloom.operators.profile import describe
+    df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
+    exact = df.agg(median_expr("x", spark)).first()[0]
+    spark.conf.set(EXACT_QUANTILES_CONF, "false")
+    try:
+        approx = df.agg(median_expr("x", spark)).first()[0]
+        d = describe(df, ["x"], ("median", "q25")).first()
+    finally:
+        spark.conf.unset(EXACT_QUANTILES_CONF)
+    assert exact == 5000.0 and abs(approx - 5000.0) <= 1.0
+    assert abs(d["median"] - 5000.0) <= 1.0 and abs(d["q25"] - 2500.0) <= 1.0
