@@ -99,6 +99,8 @@ def remove_outliers(df: DataFrame, ratio_cols: Sequence[str] = tuple(RATIO_COLS)
         else:
             cur = cur.filter((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)))
         if checkpoint_every and (i + 1) % checkpoint_every == 0:
+            from ..session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(cur.sparkSession)
             cur = cur.checkpoint(eager=True)
     return cur
 

@@ -187,7 +187,8 @@ def q_f13(spark, sf_dir):
 # ----------------------------------------------------------------------------- F14-F16
 def _corr_input(spark, sf_dir):
     # Many pair chunks re-read the input: materialise it once (reliable checkpoint).
-    return _d67(spark, sf_dir).select("sample_id", "industry_code", *NUMERIC_67).checkpoint(eager=True)
+    from .datasets import materialize
+    return materialize(_d67(spark, sf_dir).select("sample_id", "industry_code", *NUMERIC_67))
 
 
 @register("F14_correlation_matrix", with_views(

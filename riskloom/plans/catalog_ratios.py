@@ -88,7 +88,8 @@ def _d14_sql() -> str:
 @register("D14_remove_outliers", _d14_sql())
 def q_d14(spark, sf_dir):
     """Sequential 5-sigma filter over the 12 ratios (stats of the survivors)."""
-    ff = FX.financial_features(spark, sf_dir).checkpoint(eager=True)
+    from .datasets import materialize
+    ff = materialize(FX.financial_features(spark, sf_dir))
     return R.remove_outliers(ff)
 
 

@@ -29,6 +29,7 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build):
 
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): cuts lineage, survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
