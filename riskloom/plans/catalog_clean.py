@@ -14,6 +14,11 @@ from .registry import register
 from .sqlgen import q
 
 D67 = ("dataset67",)
+
+
+def _ff_memo(spark, sf_dir):
+    from . import datasets as DS_
+    return DS_.financial_features(spark, sf_dir)
 SP = oversample_ctes() + split_ctes()
 
 # Documented fixture domains of the one-hot columns (FIXTURES.md §3); the Spark side
@@ -99,7 +104,7 @@ def _pp_select(table: str) -> str:
     "FROM dataset67", *D67))
 def q_a4(spark, sf_dir):
     """A4: label contract (non-empty, values in {0,1}) as one aggregate."""
-    return CT.label_check(FX.dataset67(spark, sf_dir))
+    return CT.label_check(DS.dataset67(spark, sf_dir))
 
 
 @register("A1_split_stats", with_views(
@@ -119,7 +124,7 @@ def q_a1(spark, sf_dir):
                 else q(c) for c in CT.ALL_FEATURES) + " FROM dataset67", *D67))
 def q_b5(spark, sf_dir):
     """sample_id, default + the 67 contract features (days_inventory_outstanding dropped)."""
-    return CT.project_contract(FX.dataset67(spark, sf_dir))
+    return CT.project_contract(DS.dataset67(spark, sf_dir))
 
 
 def _coverage_sql(source_cols, ok_at, warn_at):
@@ -141,13 +146,13 @@ CS_COLUMNS = [c for c in D67_COLUMNS if c not in ("cash_conversion_cycle", "tran
 @register("B9_coverage_credit_sample", _coverage_sql(CS_COLUMNS, 100.0, 80.0), digits=2)
 def q_b9(spark, sf_dir):
     """Contract coverage of credit_sample (3 derived features still missing)."""
-    return CT.coverage_report(FX.credit_sample(spark, sf_dir), 100.0, 80.0)
+    return CT.coverage_report(FX.credit_sample(spark, sf_dir, _ff_memo(spark, sf_dir)), 100.0, 80.0)
 
 
 @register("B9b_coverage_dataset67", _coverage_sql(D67_COLUMNS, 80.0, 50.0), digits=2)
 def q_b9b(spark, sf_dir):
     """Coverage of the completed table with the (80, 50) thresholds."""
-    return CT.coverage_report(FX.dataset67(spark, sf_dir), 80.0, 50.0)
+    return CT.coverage_report(DS.dataset67(spark, sf_dir), 80.0, 50.0)
 
 
 @register("I2_missing_features", "SELECT * FROM (VALUES " + ", ".join(
@@ -155,7 +160,7 @@ def q_b9b(spark, sf_dir):
     if f not in CS_COLUMNS) + ") AS t(feature, module, ord)")
 def q_i2(spark, sf_dir):
     """Contract features absent from credit_sample (left_anti on name frames)."""
-    return CT.missing_features(FX.credit_sample(spark, sf_dir))
+    return CT.missing_features(FX.credit_sample(spark, sf_dir, _ff_memo(spark, sf_dir)))
 
 
 # ----------------------------------------------------------------------------- C
@@ -195,7 +200,7 @@ def q_c3(spark, sf_dir):
     "WHEN 'ĐH' THEN 3.0 WHEN 'Master' THEN 4.0 ELSE 2.0 END AS education_level FROM dataset67", *D67))
 def q_c4(spark, sf_dir):
     """C4: ordinal education (unmapped -> 2)."""
-    d = FX.dataset67(spark, sf_dir)
+    d = DS.dataset67(spark, sf_dir)
     return d.select("sample_id", "owner_education", CL.education_ordinal().alias("education_level"))
 
 

@@ -12,6 +12,11 @@ from .registry import register
 D67 = ("dataset67",)
 
 
+def _ff_memo(spark, sf_dir):
+    from . import datasets as DS_
+    return DS_.financial_features(spark, sf_dir)
+
+
 def _clip_sql(e: str, lo, hi) -> str:
     inner = e
     if hi is not None:
@@ -22,7 +27,8 @@ def _clip_sql(e: str, lo, hi) -> str:
 
 
 def _d67(spark, sf_dir):
-    return FX.dataset67(spark, sf_dir)
+    from . import datasets as DS
+    return DS.dataset67(spark, sf_dir)
 
 
 @register("D15_days_sales_outstanding", with_views(
@@ -45,7 +51,7 @@ def q_d16(spark, sf_dir):
     "SELECT sample_id, " + rnd("cash_conversion_cycle") + " AS cash_conversion_cycle FROM dataset67", *D67))
 def q_d17(spark, sf_dir):
     """clip(DSO + DIO - DPO, -30, 180)."""
-    return FX.credit_sample(spark, sf_dir).select("sample_id", FE.cash_conversion_cycle().alias("cash_conversion_cycle"))
+    return FX.credit_sample(spark, sf_dir, _ff_memo(spark, sf_dir)).select("sample_id", FE.cash_conversion_cycle().alias("cash_conversion_cycle"))
 
 
 @register("D18_transaction_regularity", with_views(
@@ -53,7 +59,7 @@ def q_d17(spark, sf_dir):
     *D67))
 def q_d18(spark, sf_dir):
     """clip(5 + 3 tx/max(tx) - 2 vol/max(vol), 1, 10)."""
-    cs = FX.credit_sample(spark, sf_dir)
+    cs = FX.credit_sample(spark, sf_dir, _ff_memo(spark, sf_dir))
     return FE.transaction_regularity_score(cs).select("sample_id", "transaction_regularity_score")
 
 
@@ -67,7 +73,8 @@ PROFILE_CTE = [
 
 
 def _company_profile(spark, sf_dir):
-    raw = FX.financial_raw(spark, sf_dir)
+    from . import datasets as DS
+    raw = DS.financial_raw(spark, sf_dir)
     last = raw.groupBy("ticker").agg(F.max_by("revenue", "year").alias("revenue"))
     d = _d67(spark, sf_dir).select("sample_id", "num_employees", "business_age", "profit_margin")
     return d.join(last, last.ticker == F.concat(F.lit("C"), d.sample_id.cast("string"))).drop("ticker")
@@ -172,7 +179,7 @@ def q_d28(spark, sf_dir):
     "credit_sample", "industry_risk"))
 def q_e1(spark, sf_dir):
     """Left lookup industry -> risk score with the 56 row missing (unmatched -> NULL)."""
-    cs = FX.credit_sample(spark, sf_dir).select("sample_id", "industry_code")
+    cs = FX.credit_sample(spark, sf_dir, _ff_memo(spark, sf_dir)).select("sample_id", "industry_code")
     return FE.industry_risk_lookup(cs, FX.industry_risk(spark, include_56=False))
 
 
@@ -181,5 +188,5 @@ def q_e1(spark, sf_dir):
     "AS industry_risk_score FROM credit_sample", "credit_sample"))
 def q_e2(spark, sf_dir):
     """Constant fallback 56 -> 8, 46 -> 6, else 4 when the lookup table is unavailable."""
-    cs = FX.credit_sample(spark, sf_dir).select("sample_id", "industry_code")
+    cs = FX.credit_sample(spark, sf_dir, _ff_memo(spark, sf_dir)).select("sample_id", "industry_code")
     return FE.industry_risk_lookup(cs, None)

@@ -21,11 +21,13 @@ FF = ("financial_features",)
 
 
 def _d67(spark, sf_dir):
-    return FX.dataset67(spark, sf_dir)
+    from . import datasets as DS
+    return DS.dataset67(spark, sf_dir)
 
 
 def _ff(spark, sf_dir):
-    return FX.financial_features(spark, sf_dir)
+    from . import datasets as DS
+    return DS.financial_features(spark, sf_dir)
 
 
 # ----------------------------------------------------------------------------- F1 F2
@@ -187,8 +189,7 @@ def q_f13(spark, sf_dir):
 # ----------------------------------------------------------------------------- F14-F16
 def _corr_input(spark, sf_dir):
     # Many pair chunks re-read the input: materialise it once (reliable checkpoint).
-    from .datasets import materialize
-    return materialize(_d67(spark, sf_dir).select("sample_id", "industry_code", *NUMERIC_67))
+    return _d67(spark, sf_dir).select("sample_id", "industry_code", *NUMERIC_67)
 
 
 @register("F14_correlation_matrix", with_views(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ratios as R
-from ..sources import fixtures as FX
+from ..sources import fixtures as FX  # noqa: F401
+from . import datasets as DS
 from .oracle_views import rnd, with_views
 from .registry import register
 
@@ -18,7 +19,7 @@ RATIO_SQL = ", ".join(rnd(c) + f" AS {c}" for c in RATIOS)
     "financial_features"))
 def q_d13(spark, sf_dir):
     """The 12 ratios per company-year (financial_features)."""
-    return FX.financial_features(spark, sf_dir)
+    return DS.financial_features(spark, sf_dir)
 
 
 @register("D4_revenue_growth", with_views(
@@ -26,7 +27,7 @@ def q_d13(spark, sf_dir):
     "financial_features"))
 def q_d4(spark, sf_dir):
     """Year-on-year revenue change per ticker, first year 0.10."""
-    return FX.financial_features(spark, sf_dir).select("ticker", "year", "revenue_growth")
+    return DS.financial_features(spark, sf_dir).select("ticker", "year", "revenue_growth")
 
 
 @register("F3_industry_ratio_profile", with_views(
@@ -37,7 +38,7 @@ def q_d4(spark, sf_dir):
     "FROM financial_features GROUP BY industry_code", "financial_features"))
 def q_f3(spark, sf_dir):
     """mean ratio profile per industry."""
-    return R.industry_ratio_profile(FX.financial_features(spark, sf_dir))
+    return R.industry_ratio_profile(DS.financial_features(spark, sf_dir))
 
 
 @register("F3b_industry_raw_profile", with_views(
@@ -46,7 +47,7 @@ def q_f3(spark, sf_dir):
     "financial_raw"), overrides={"avg_revenue": 2, "avg_total_assets": 2})
 def q_f3b(spark, sf_dir):
     """F3 raw variant: average revenue and total assets per industry."""
-    return R.industry_raw_profile(FX.financial_raw(spark, sf_dir))
+    return R.industry_raw_profile(DS.financial_raw(spark, sf_dir))
 
 
 _MONEY = ["total_assets", "current_assets", "total_debt", "current_liabilities", "equity",
@@ -67,7 +68,7 @@ _MONEY = ["total_assets", "current_assets", "total_debt", "current_liabilities",
 def q_a5(spark, sf_dir):
     """Per-industry statement frames stacked with unionByName."""
     from ..sources.io import stack_frames
-    raw = FX.financial_raw(spark, sf_dir)
+    raw = DS.financial_raw(spark, sf_dir)
     return stack_frames([raw.filter(F.col("industry_code") == c) for c in (46, 10, 56)])
 
 
@@ -88,9 +89,7 @@ def _d14_sql() -> str:
 @register("D14_remove_outliers", _d14_sql())
 def q_d14(spark, sf_dir):
     """Sequential 5-sigma filter over the 12 ratios (stats of the survivors)."""
-    from .datasets import materialize
-    ff = materialize(FX.financial_features(spark, sf_dir))
-    return R.remove_outliers(ff)
+    return R.remove_outliers(DS.financial_features(spark, sf_dir))
 
 
 @register("D14b_remove_outliers_single_pass", with_views(
@@ -102,7 +101,7 @@ def q_d14(spark, sf_dir):
            + " FROM financial_features)"]))
 def q_d14b(spark, sf_dir):
     """D14 variant: all bounds from the unfiltered input in one fused pass."""
-    return R.remove_outliers_single_pass(FX.financial_features(spark, sf_dir))
+    return R.remove_outliers_single_pass(DS.financial_features(spark, sf_dir))
 
 
 @register("F28_panel_coverage", with_views(
@@ -111,7 +110,7 @@ def q_d14b(spark, sf_dir):
     "financial_raw"))
 def q_f28(spark, sf_dir):
     """distinct tickers and years in the statement panel."""
-    return R.panel_coverage(FX.financial_raw(spark, sf_dir))
+    return R.panel_coverage(DS.financial_raw(spark, sf_dir))
 
 
 @register("H1_sorted_panel", with_views(
@@ -119,4 +118,4 @@ def q_f28(spark, sf_dir):
     "financial_features"))
 def q_h1(spark, sf_dir):
     """H1: multi-key sort (ticker, year) -- a range-partitioned global sort."""
-    return FX.financial_features(spark, sf_dir).select("ticker", "year", "roa").orderBy("ticker", "year")
+    return DS.financial_features(spark, sf_dir).select("ticker", "year", "roa").orderBy("ticker", "year")

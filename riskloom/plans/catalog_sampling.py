@@ -23,7 +23,7 @@ SP = OS + split_ctes()
     "AS shuffle_pos FROM dataset67", *D67))
 def q_g4(spark, sf_dir):
     """Seeded permutation position of every row (md5(id|seed) order)."""
-    return RK.seeded_shuffle(FX.dataset67(spark, sf_dir).select(ID_COL), [ID_COL])
+    return RK.seeded_shuffle(DS.dataset67(spark, sf_dir).select(ID_COL), [ID_COL])
 
 
 @register("G5_oversample", with_views(
@@ -88,7 +88,7 @@ def q_f12(spark, sf_dir):
     *D67))
 def q_g7(spark, sf_dir):
     """Seeded stratified 5-fold assignment (classifier CV)."""
-    return S.stratified_folds(FX.dataset67(spark, sf_dir).select(ID_COL, "default"))
+    return S.stratified_folds(DS.dataset67(spark, sf_dir).select(ID_COL, "default"))
 
 
 @register("G7b_contiguous_folds", with_views(
@@ -98,7 +98,7 @@ def q_g7(spark, sf_dir):
     *D67))
 def q_g7b(spark, sf_dir):
     """Unshuffled contiguous 5-fold assignment (regression CV)."""
-    return S.contiguous_folds(FX.dataset67(spark, sf_dir).select(ID_COL), ID_COL)
+    return S.contiguous_folds(DS.dataset67(spark, sf_dir).select(ID_COL), ID_COL)
 
 
 @register("I3_renumber_after_union", with_views(

@@ -96,7 +96,7 @@ def scaled_sql(m: str, split: str) -> str:
     "CAST(min(has_collateral) AS DOUBLE) AS lo_h, CAST(max(has_collateral) AS DOUBLE) AS hi_h FROM dataset67) s", *D67))
 def q_j1(spark, sf_dir):
     """Min-max normalisation over the frame (a constant column -> 0)."""
-    d = FX.dataset67(spark, sf_dir).withColumn(
+    d = DS.dataset67(spark, sf_dir).withColumn(
         "_const", ((F.col("industry_lifecycle_stage") == "Growth") & (F.col("industry_code") == 0)).cast("int"))
     n = TG.with_norms(d, ["roa", "has_collateral", "_const"], fill_median=False)
     return n.select("sample_id", F.col("_n_roa").alias("roa_norm"),

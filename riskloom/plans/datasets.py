@@ -34,12 +34,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def dataset67(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "dataset67", lambda: materialize(FX.dataset67(spark, sf_dir)))
+    return _memo(spark, sf_dir, "dataset67", lambda: materialize(
+        FX.with_lookup_features(FX.credit_sample(spark, sf_dir, financial_features(spark, sf_dir)))))
+
+
+def financial_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company-year statements, materialised once (the lineitem join runs once)."""
+    return _memo(spark, sf_dir, "financial_raw", lambda: materialize(FX.financial_raw(spark, sf_dir)))
 
 
 def financial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.ratios import financial_features as ratios16
     return _memo(spark, sf_dir, "financial_features",
-                 lambda: materialize(FX.financial_features(spark, sf_dir)))
+                 lambda: materialize(ratios16(financial_raw(spark, sf_dir))))
 
 
 def oversampled(spark: SparkSession, sf_dir: str, target_rate: float = 0.085, seed: int = 42) -> DataFrame:
