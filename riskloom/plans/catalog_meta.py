@@ -44,7 +44,8 @@ def split_scores(spark, sf_dir):
     def build():
         ranges = train_ranges(spark, sf_dir)
         tg = split_targets(spark, sf_dir)
-        return {k: DS.materialize(MT.scale_targets(tg[k], ranges, keep=("sample_id", "default", "past_bankruptcy")))
+        # a projection over the checkpointed targets: nothing to re-materialise
+        return {k: MT.scale_targets(tg[k], ranges, keep=("sample_id", "default", "past_bankruptcy"))
                 for k in SPLITS}
     return DS._memo(spark, sf_dir, "proxy_scores", build)
 
