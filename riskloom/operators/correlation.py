@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import nan_to_null
+from ..functions.columns import bounded_broadcast, nan_to_null
 from ..sources.contract import LABEL_COL
 
 PAIR_CHUNK = 256
@@ -128,9 +128,9 @@ def correlation_pairs_moments(df: DataFrame, cols: Sequence[str], group_cols: Se
     means = (df.groupBy(*g) if g else df.groupBy()).agg(
         *[F.avg(F.col(c).cast("double")).alias(f"_mu{k}") for k, c in enumerate(cols)])
     base = df.select(*g, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)])
-    # grouped means: one row per group, join strategy left to Catalyst/AQE; global
-    # means: a single row, attached by a bounded broadcast
-    j = base.join(means, g) if g else base.crossJoin(F.broadcast(means))
+    # grouped means: one row per group, broadcast after a size check (a shuffle by group
+    # would put a hot group into one task); global means: a single row
+    j = base.join(bounded_broadcast(means), g) if g else base.crossJoin(F.broadcast(means))
     centred = j.select(*g, *[(F.col(x) - F.col(f"_mu{k}")).alias(x) for k, x in enumerate(xs)])
     gtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in g}
     schema = ", ".join([f"{c} {gtypes[c]}" for c in g] + ["i int", "j int", "n double", "sx double", "sy double",

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import inverse_normal_cdf, numeric_columns, quantile_expr, round_half_up, safe_div
+from ..functions.columns import (bounded_broadcast, inverse_normal_cdf, numeric_columns, quantile_expr,
+                                 round_half_up, safe_div)
 from ..sources.contract import ALL_FEATURES, ID_COL, LABEL_COL, MODULES
 
 SAFE = "`{}`"
@@ -245,7 +246,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, group_cols: Se
                             + ") AS (feature, value)").filter(F.col("value").isNotNull())
     bounds = stacked.groupBy(*g, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
                                                 F.count(F.lit(1)).alias("n"))
-    j = stacked.join(bounds, g + ["feature"])
+    j = stacked.join(bounded_broadcast(bounds), g + ["feature"])   # groups x features rows
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)))
@@ -267,7 +268,8 @@ def boxplot_table(df: DataFrame, col: str, by: str = "industry_code", approx: bo
     """q1, median, q3, whiskers at the last datum within 1.5 IQR, outlier count."""
     qs = df.groupBy(by).agg(_quantiles(F.col(col).cast("double"), [0.25, 0.5, 0.75], approx).alias("_q"))
     qs = qs.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    j = df.select(by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()).join(qs, by)
+    j = df.select(by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()).join(
+        bounded_broadcast(qs), by)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("x") >= lo_f) & (F.col("x") <= hi_f)
@@ -288,7 +290,7 @@ def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     ranked = position_by_value(base, "value", partition_cols=parts, out="_i")
     sizes = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")) if parts else \
         base.agg(F.count(F.lit(1)).alias("n"))
-    j = ranked.join(sizes, parts) if parts else ranked.crossJoin(F.broadcast(sizes))
+    j = ranked.join(bounded_broadcast(sizes), parts) if parts else ranked.crossJoin(F.broadcast(sizes))
     i = F.col("_i") + 1
     nn = F.col("n").cast("double")
     last = F.pow(F.lit(0.5), 1.0 / nn)
@@ -296,7 +298,7 @@ def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     pts = j.select(*parts, F.col("_i").alias("i"), "value", inverse_normal_cdf(m).alias("theoretical"))
     fit = pts.groupBy(*parts).agg(F.regr_slope("value", "theoretical").alias("slope"),
                                   F.regr_intercept("value", "theoretical").alias("intercept"))
-    return pts.join(fit, parts) if parts else pts.crossJoin(F.broadcast(fit))
+    return pts.join(bounded_broadcast(fit), parts) if parts else pts.crossJoin(F.broadcast(fit))
 
 
 def industry_params(features: DataFrame, ratio_cols: Sequence[str], by: str = "industry_code",

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_broadcast
 from ..sources.contract import ID_COL, LABEL_COL
 from .rank import hex_prefix_int, md5_key, position_by_hash, position_by_value
 
@@ -92,8 +93,10 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("industry_code", LA
         clone_col = None
     keyed = df.withColumn("_sk", shuffle_key(id_col, seed, clone_col))
     ranked = position_by_hash(keyed, "_sk", partition_cols=list(strata), out="_pos")
+    # one row per stratum, broadcast after a size check: re-shuffling the ranked rows by
+    # stratum would pull a hot stratum back into a single task
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(sizes, list(strata))
+    j = ranked.join(bounded_broadcast(sizes), list(strata))
     n_train = F.floor(F.col("_n") * F.lit(float(train_size)))
     n_val = F.floor(F.col("_n") * F.lit(float(val_size)))
     split = (F.when(F.col("_pos") < n_train, "train")
