@@ -132,20 +132,23 @@ def round_doubles(df: DataFrame, digits: int = 6, overrides: Mapping[str, int] |
     return df.select(*out)
 
 
+# Coefficients of Acklam's published inverse-normal approximation.
+ACKLAM_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+            1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+ACKLAM_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+            6.680131188771972e+01, -1.328068155288572e+01]
+ACKLAM_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+            -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+ACKLAM_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+            3.754408661907416e+00]
+
+
 def inverse_normal_cdf(p: str | Column) -> Column:
     """Standard normal quantile by Acklam's rational approximation (|rel err| < 1.2e-9).
 
     Pure Column maths so a Q-Q table (F25) never leaves the JVM.
     """
-    # Coefficients of the published approximation.
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00]
+    a, b, c, d = ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D
     p = col_of(p)
     plow = 0.02425
 

@@ -296,6 +296,10 @@ def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     last = F.pow(F.lit(0.5), 1.0 / nn)
     m = F.when(i == 1, 1 - last).when(i == F.col("n"), last).otherwise((i - 0.3175) / (nn + 0.365))
     pts = j.select(*parts, F.col("_i").alias("i"), "value", inverse_normal_cdf(m).alias("theoretical"))
+    # the points feed both the per-group fit and the final join: materialise them once
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(pts.sparkSession)
+    pts = pts.checkpoint(eager=True)
     fit = pts.groupBy(*parts).agg(F.regr_slope("value", "theoretical").alias("slope"),
                                   F.regr_intercept("value", "theoretical").alias("intercept"))
     return pts.join(bounded_broadcast(fit), parts) if parts else pts.crossJoin(F.broadcast(fit))

@@ -413,7 +413,39 @@ def q_f24(spark, sf_dir):
     return P.boxplot_table(_ff(spark, sf_dir), "roa")
 
 
-@register("F25_qq_table_roa")
+def _acklam_sql(p: str) -> str:
+    """The inverse-normal approximation of ``columns.inverse_normal_cdf`` in SQL
+    (same Horner order, so the doubles agree)."""
+    from ..functions.columns import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D
+
+    def poly(coefs, x):
+        acc = repr(coefs[0])
+        for k in coefs[1:]:
+            acc = f"(({acc}) * {x} + {k!r})"
+        return acc
+    qlo = f"sqrt(-2 * ln({p}))"
+    qhi = f"sqrt(-2 * ln(1 - {p}))"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    lower = f"({poly(ACKLAM_C, qlo)}) / (({poly(ACKLAM_D, qlo)}) * {qlo} + 1)"
+    central = f"({poly(ACKLAM_A, r)}) * ({p} - 0.5) / (({poly(ACKLAM_B, r)}) * {r} + 1)"
+    upper = f"-({poly(ACKLAM_C, qhi)}) / (({poly(ACKLAM_D, qhi)}) * {qhi} + 1)"
+    return f"CASE WHEN {p} < 0.02425 THEN {lower} WHEN {p} <= 1 - 0.02425 THEN {central} ELSE {upper} END"
+
+
+def _qq_sql(col: str) -> str:
+    m = ("CASE WHEN i + 1 = 1 THEN 1 - pow(0.5, 1.0 / n) WHEN i + 1 = n THEN pow(0.5, 1.0 / n) "
+         "ELSE (i + 1 - 0.3175) / (n + 0.365) END")
+    pts = (f"SELECT industry_code, i, value, {_acklam_sql('m')} AS theoretical FROM (SELECT *, {m} AS m FROM ("
+           f"SELECT industry_code, CAST({q(col)} AS DOUBLE) AS value, row_number() OVER (PARTITION BY industry_code "
+           f"ORDER BY {q(col)}) - 1 AS i, count(*) OVER (PARTITION BY industry_code) AS n FROM financial_features "
+           f"WHERE {q(col)} IS NOT NULL) a) b")
+    return (f"SELECT p.industry_code, p.i, {rnd('p.value')} AS value, {rnd('p.theoretical')} AS theoretical, "
+            f"{rnd('f.slope')} AS slope, {rnd('f.intercept')} AS intercept FROM ({pts}) p JOIN (SELECT industry_code, "
+            f"regr_slope(value, theoretical) AS slope, regr_intercept(value, theoretical) AS intercept FROM ({pts}) x "
+            f"GROUP BY industry_code) f USING (industry_code)")
+
+
+@register("F25_qq_table_roa", with_views(_qq_sql("roa"), *FF))
 def q_f25(spark, sf_dir):
     """Q-Q table of roa per industry (ordered values vs normal quantiles + fit)."""
     return P.qq_table(_ff(spark, sf_dir), "roa", by="industry_code")
