@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup
+from . import linededup, mixing, warc
 
 QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_warc": warc.op4_warc,
+    "op7_mixing": mixing.op7_mixing,
 }
 
 SQL = {
     "op3_line_dedup": linededup.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
+    "op7_mixing": mixing.OP7_SQL,
 }
