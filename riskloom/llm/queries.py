@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, warc
+from . import linededup, minhash, mixing, warc
 
 QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
     "op7_mixing": mixing.op7_mixing,
+    "op9_minhash": minhash.op9_minhash,
 }
 
 SQL = {
     "op3_line_dedup": linededup.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_minhash": minhash.OP9_SQL,
 }
