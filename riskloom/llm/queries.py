@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import linededup, minhash, mixing, warc
+from . import ann, linededup, minhash, mixing, warc
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
     "op7_mixing": mixing.op7_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_ann": ann.OP1_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
