@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, linededup, minhash, mixing, warc
+from . import ann, decontam, linededup, minhash, mixing, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
     "op7_mixing": mixing.op7_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 
 SQL = {
     "op1_ann": ann.OP1_SQL,
+    "op2_decontamination": decontam.OP2_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
