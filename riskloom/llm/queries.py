@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, linededup, minhash, mixing, warc
+from . import ann, decontam, langid, linededup, minhash, mixing, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op7_mixing": mixing.op7_mixing,
     "op9_minhash": minhash.op9_minhash,
+    "op10_langid": langid.op10_langid,
 }
 
 SQL = {
