@@ -9,7 +9,8 @@
    full shingle sets.
 4. The links so far give components. Only buckets that still hold several components go on: in
    them the sets outside the first component are compared with all the others, in blocks of
-   ``BLOCK`` by ``BLOCK`` signatures, and pairs that may be similar enough are confirmed on full sets.
+   ``BLOCK`` by ``BLOCK`` sets: signatures first, then 32-bit shingle hashes, inside the task, so that
+   similar pairs below the threshold never become rows. What is left is confirmed on full sets.
 5. Components of all confirmed links.
 
 No pair of a bucket is left out, and no pairs within a component are listed. A pair at the
@@ -40,7 +41,7 @@ HASHES = BANDS * ROWS
 SIGMAS = 5.0
 BLOCK = 512
 #: Members of a hub that one task compares; a larger hub's set is sent to several tasks.
-HUB_CHUNK = 256
+HUB_CHUNK = 64
 SEED = 20240229
 
 _rng = np.random.default_rng(SEED)
@@ -161,45 +162,84 @@ def _screen_task(least: float):
     return run
 
 
-def _tile_task(least: float):
-    """Pairs of different components in each tile (key, a, o); one tile is held at a time."""
+def _tile_task(least: float, threshold: tuple[int, int]):
+    """Pairs of different components in each tile (key, a, o); one tile is held at a time.
 
-    def pairs(rows) -> pa.RecordBatch:
+    A pair is looked at in the first of its common buckets. Pairs that pass the signatures are compared
+    on their sets of 32-bit shingle hashes, likely ones first; what a sure link joins is not compared
+    again. Chance collisions of 32 bits decide nothing: links and doubtful pairs go on to ``confirm``.
+    """
+    up, down = threshold
+
+    def pairs(key: int, rows) -> pa.RecordBatch:
         node, comp, other = (np.array(x) for x in zip(*((r[0], r[1], r[3]) for r in rows)))
         sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        us, vs = [], []
-        every = np.flatnonzero(~other)
+        every, found = np.flatnonzero(~other), []
         for k in np.flatnonzero(other):
-            near = every[(comp[every] != comp[k]) & (estimates(sig[k], sig[every]) >= least)]
-            us.append(np.maximum(node[near], node[k]))
-            vs.append(np.minimum(node[near], node[k]))
-        us, vs = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+            e = estimates(sig[k], sig[every])
+            near = np.flatnonzero((comp[every] != comp[k]) & (e >= least))
+            found += zip(e[near].tolist(), [int(k)] * len(near), every[near].tolist())
+        root = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out, keys = [], [frozenset(r[4]) for r in rows]
+        sets: dict[int, np.ndarray] = {}
+        for _, i, j in sorted(found, reverse=True):
+            ci, cj = top(int(comp[i])), top(int(comp[j]))
+            if ci == cj or min(keys[i] & keys[j]) != key:
+                continue
+            x, y = (sets.setdefault(q, np.frombuffer(rows[q][5], np.uint32)) for q in (i, j))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            margin = (up + down) * (1 + len(x) * len(y) / 2 ** 28)  # of both, in the comparison
+            sure = down * both - up * (len(x) + len(y) - both)
+            if sure >= -margin:
+                out.append((max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])))
+                if sure >= margin:
+                    root[ci] = cj
+        us, vs = zip(*out) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(us, pa.int64())], ["hub", "node"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
         for part in parts:
-            for *key, node, comp, sig, other in zip(*(part.column(c).to_pylist() for c in ("key", "a", "o", "node", "component", "sig", "other"))):
-                if key != tile:
+            for *at, node, comp, sig, other, keys, shingles in zip(*(part.column(c).to_pylist() for c in ("key", "a", "o", "node", "component", "sig", "other", "keys", "shingles"))):
+                if at != tile:
                     if rows:
-                        yield pairs(rows)
-                    tile, rows = key, []
-                rows.append((node, comp, sig, other))
+                        yield pairs(tile[0], rows)
+                    tile, rows = at, []
+                rows.append((node, comp, sig, other, keys, shingles))
         if rows:
-            yield pairs(rows)
+            yield pairs(tile[0], rows)
 
     return run
 
 
-def _set_task(n: int):
+def _set_task(n: int, bits: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sets = [shingle_set(t.as_py(), n) for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            kept = sets if bits == 64 else [np.unique(s.astype(np.uint32)) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in kept], pa.binary())], ["node", "shingles"])
 
     return run
 
 
+def shingle_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, n: int, bits: int) -> DataFrame:
+    """node, shingles (packed 64- or 32-bit hashes) of the given nodes, from the texts of one document each."""
+    wanted = stage(nodes.join(reps.select("node", "rep_id"), "node").select("rep_id", "node"), "wanted")
+    size = wanted.count()
+    ids = wanted.select("rep_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(small_side(ids, size, 16), texts["doc_id"].eqNullSafe(ids["rep_id"]), "left_semi")
+    # rows that share a doc_id may hold another text: only wanted sets go on
+    return stage(texts.select("text").mapInArrow(_set_task(n, bits), "node long, shingles binary")
+                 .join(small_side(wanted.select("node"), size, 16), "node", "left_semi"), "sets")
+
+
 def _confirm_task(threshold: tuple[int, int]):
     """Rows come by (hub, chunk), the hub's own set first; only that set is held."""
     up, down = threshold
@@ -230,14 +270,7 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, threshol
     many tasks as it has chunks of HUB_CHUNK members.
     """
     chunks = stage(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_CHUNK).cast("int").alias("chunks")), "hubs")
-    wanted = stage(pairs.select("node").unionByName(chunks.select(F.col("hub").alias("node"))).distinct()
-                   .join(reps.select("node", "rep_id"), "node").select("rep_id", "node"), "wanted")
-    ids = wanted.select("rep_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(small_side(ids, wanted.count(), 16), texts["doc_id"].eqNullSafe(ids["rep_id"]), "left_semi")
-    # rows that share a doc_id may hold another text: only wanted sets go on
-    sets = stage(texts.select("text").mapInArrow(_set_task(n), "node long, shingles binary")
-                 .join(small_side(wanted.select("node"), wanted.count(), 16), "node", "left_semi"), "sets")
+    sets = shingle_sets(docs, reps, pairs.select("node").unionByName(chunks.select(F.col("hub").alias("node"))).distinct(), n, 64)
     members = (pairs.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
                .select("hub", "chunk", "node").join(sets, "node").select("hub", "chunk", "node", "shingles"))
     hubs = (chunks.join(sets.withColumnRenamed("node", "hub"), "hub")
@@ -247,7 +280,7 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, threshol
             .mapInArrow(_confirm_task(threshold), "u long, v long"))
 
 
-def _open_tiles(members: DataFrame, linked: DataFrame, reps: DataFrame) -> DataFrame:
+def _open_tiles(docs: DataFrame, members: DataFrame, linked: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """Members of buckets that hold several components, dealt into tiles (key, a, o).
 
     The largest component of a bucket is its main one. Each tile has a block of the others and a
@@ -259,12 +292,15 @@ def _open_tiles(members: DataFrame, linked: DataFrame, reps: DataFrame) -> DataF
                                          F.max("n").alias("most"), F.count("*").alias("components"))
                .filter("components > 1")
                .select("key", "main", F.expr(f"CAST(CEIL(n / {BLOCK}) AS INT)").alias("as"), F.expr(f"CAST(CEIL((n - most) / {BLOCK}) AS INT)").alias("os")))
-    rows = stage(now.join(stage(buckets, "open_buckets"), "key"), "open_members").join(reps.select("node", "sig"), "node")
+    rows = stage(now.join(stage(buckets, "open_buckets"), "key"), "open_members")
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most BANDS
+    facts = keys.join(reps.select("node", "sig"), "node").join(shingle_sets(docs, reps, rows.select("node").distinct(), n, 32), "node")
     every = rows.withColumn("a", F.expr("CAST(pmod(xxhash64(node, 1), `as`) AS INT)")).withColumn("o", F.explode(F.expr("sequence(0, os - 1)"))).withColumn("other", F.lit(False))
     others = (rows.filter("component <> main").withColumn("o", F.expr("CAST(pmod(xxhash64(node, 2), os) AS INT)"))
               .withColumn("a", F.explode(F.expr("sequence(0, `as` - 1)"))).withColumn("other", F.lit(True)))
-    cols = ["key", "a", "o", "node", "component", "sig", "other"]
-    return every.select(cols).unionByName(others.select(cols)).repartition("key", "a", "o").sortWithinPartitions("key", "a", "o")
+    cols = ["key", "a", "o", "node", "component", "other"]
+    return (every.select(cols).unionByName(others.select(cols)).join(stage(facts, "open_facts"), "node")
+            .repartition("key", "a", "o").sortWithinPartitions("key", "a", "o"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -287,7 +323,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
                 .select("hub", "node", "sig", "hub_sig").mapInArrow(_screen_task(least), "hub long, node long"))
     edges = stage(confirm(docs, reps, stage(screened, "star_pairs"), n, threshold), "star_links")
     linked = stage(connected_components(edges), "star_components")
-    more = stage(_open_tiles(members, linked, reps).mapInArrow(_tile_task(least), "hub long, node long").distinct(), "cross_pairs")
+    more = stage(_open_tiles(docs, members, linked, reps, n).mapInArrow(_tile_task(least, threshold), "hub long, node long").distinct(), "cross_pairs")
     if not more.isEmpty():
         found = stage(confirm(docs, reps, more, n, threshold), "cross_links")
         linked = stage(connected_components(found.unionByName(linked.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
@@ -306,7 +342,8 @@ def op9_minhash(spark, sf_dir):
 
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 1), ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)
