@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, linededup, minhash, mixing, warc
+from . import ann, decontam, langid, linededup, minhash, mixing, toxicity, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
