@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, linededup, minhash, mixing, toxicity, warc
+from . import ann, decontam, langid, linededup, minhash, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mixing,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
