@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, linededup, minhash, mixing, pii, toxicity, warc
+from . import ann, decontam, html_text, langid, linededup, minhash, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html_text": html_text.op8_html_text,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
 }
