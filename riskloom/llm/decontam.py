@@ -133,6 +133,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
             .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns as they are."""
+    bad = stage(contamination(docs.select("doc_id", "text"), benchmark, share).filter("contaminated").select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct(), "contaminated")
+    n = bad.count()
+    side = F.broadcast(bad) if n * 32 <= BROADCAST_BYTES else bad
+    return docs.withColumn("_text_tag", F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_tag") == F.col("_tag")), "left_anti").drop("_text_tag")
+
+
 def op2_decontamination(spark, sf_dir):
     """Benchmark windows in the whole texts of all documents."""
     out = contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))

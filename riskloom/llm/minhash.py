@@ -132,17 +132,17 @@ def _sketch_task(n: int):
                 low = minima(s) if len(s) else None
                 bands.append(None if low is None else band_keys(low))
                 sig.append(None if low is None else signature(low))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
                                               pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                                             ["doc_id", "n_shingles", "node", "bands", "sig"])
+                                             ["doc_id", "tag", "n_shingles", "node", "bands", "sig"])
 
     return run
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (identity of the set), bands, sig: a row for each row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketch_task(n), "doc_id long, n_shingles long, node long, bands array<long>, sig binary")
+    """doc_id, tag (hash of the text), n_shingles, node (identity of the set), bands, sig for each row of ``docs``."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(
+        _sketch_task(n), "doc_id long, tag long, n_shingles long, node long, bands array<long>, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -304,7 +304,7 @@ def _open_tiles(docs: DataFrame, members: DataFrame, linked: DataFrame, reps: Da
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+    """doc_id, tag (hash of the text), n_shingles, component_id, kept for each row of ``docs``.
 
     Linked are documents whose n-word shingle sets have ``threshold`` (a fraction) of their union in
     common; component_id is the smallest doc_id of the component, ``kept`` marks that document.
@@ -330,14 +330,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     named = reps.select("node", "rep_id").join(linked, "node", "left").select("node", "rep_id", F.coalesce("component", "node").alias("component"))
     first = stage(named.groupBy("component").agg(F.min("rep_id").alias("component_id")), "component_ids")
     named = stage(named.join(first, "component").select("node", "component_id"), "named_sets")
-    return (rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return (rows.select("doc_id", "tag", "n_shingles", "node").join(named, "node", "left")
+            .select("doc_id", "tag", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs`` that their group of near-duplicates keeps, all columns as they are.
+
+    Of rows with one doc_id and one text one stays.
+    """
+    found = stage(near_duplicates(docs, n, threshold).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), "classes")
+    gone = found.filter(~F.col("kept")).select("_id", "_tag").distinct()
+    again = found.filter("kept").groupBy("_id", "_tag").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_tag")
+    tagged = docs.withColumn("_text_tag", F.xxhash64("text"))
+
+    def on(side):
+        return F.col("doc_id").eqNullSafe(side["_id"]) & (F.col("_text_tag") == side["_tag"])
+
+    n_gone, n_again = gone.count(), again.count()
+    out = tagged.join(small_side(gone, n_gone, 32), on(gone), "left_anti") if n_gone else tagged
+    if n_again:
+        again = small_side(stage(again, "repeated_rows"), n_again, 32)
+        out = out.join(again, on(again), "left_anti").unionByName(out.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "_text_tag"]))
+    return out.drop("_text_tag")
+
+
 def op9_minhash(spark, sf_dir):
     """Near-duplicate classes of all documents on 2-word shingles."""
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=2)
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=2).drop("tag")
 
 
 OP9_SQL = r"""
