@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import BROADCAST_BYTES, stage
 
 BITS_PER_LINE = 12
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 28
@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     found = stage(repeated_lines(docs, min_chars, min_docs), "repeated_lines")
     n = found.count()
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    if n * 120 <= 64 * 1024 * 1024:  # a bounded table: digest -> keeper
+    if n * 120 <= BROADCAST_BYTES:  # a bounded table: digest -> keeper
         table = spark.sparkContext.broadcast({r["line"]: r["keeper"] for r in found.select("line", "keeper").collect()})
 
         def drop(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
