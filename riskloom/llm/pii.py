@@ -183,7 +183,7 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None, remove: float = RE
     spark = docs.sparkSession
     docs = docs.drop("spans", "sanitised")
     terms = stage(disclosing_terms(docs) if terms is None else terms, "terms")
-    schema = docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("spans"), F.lit("").alias("sanitised")).schema
+    schema = docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("spans"), F.lit(None).cast("string").alias("sanitised")).schema
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 100), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         table = spark.sparkContext.broadcast({r["term"]: r["disclosure"] for r in terms.collect()})

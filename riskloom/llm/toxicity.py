@@ -89,7 +89,8 @@ class Sparse:
 def train(docs: list[dict[str, float]], labels: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
     """Fit on the word weights of documents and 0/1 labels; both classes weigh the same."""
     if not len(docs) or labels.min() == labels.max():
-        return Model(np.zeros(1, np.float32), float(np.log((labels.mean() if len(docs) else 0) + 1e-9)))
+        share = labels.mean() if len(docs) else 0.0
+        return Model(np.zeros(1, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     seen = Counter(w for d in docs for w in d)
     vocab = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
     d_row, d_col, d_val = [], [], []
