@@ -57,26 +57,17 @@ def row_sample_std(cols: Iterable[str | Column]) -> Column:
     return F.sqrt(ss / F.lit(float(n - 1)))
 
 
-EXACT_QUANTILES_CONF = "spark.riskloom.exactQuantiles"
 APPROX_ACCURACY = 100_000
 
 
-def exact_quantiles(spark) -> bool:
-    """Session switch: exact (value->count map per group; matches pandas / the oracle,
-    the default) vs bounded-memory sketches for groups of billions of distinct values.
-    A cluster sets ``spark.riskloom.exactQuantiles=false``."""
-    if spark is None:
-        return True
-    return str(spark.conf.get(EXACT_QUANTILES_CONF, "true")).lower() != "false"
-
-
 def quantile_expr(c: str | Column, probs, spark=None, approx: bool | None = None) -> Column:
-    """Linear-interpolated quantile(s) of ``c`` (= pandas / DuckDB ``quantile_cont``), or
-    ``percentile_approx`` when ``approx`` (or the session switch) asks for it."""
+    """Linear-interpolated quantile(s) of ``c`` (= pandas / DuckDB ``quantile_cont``).
+
+    Only a caller that passes ``approx=True`` gets ``percentile_approx``; no setting does.
+    """
     x = col_of(c)
-    use_approx = approx if approx is not None else not exact_quantiles(spark)
     many = isinstance(probs, (list, tuple))
-    if use_approx:
+    if approx:
         return F.percentile_approx(x, list(probs) if many else probs, APPROX_ACCURACY)
     if many:
         return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
@@ -87,13 +78,19 @@ def median_expr(c: str | Column, spark=None, approx: bool | None = None) -> Colu
     return quantile_expr(c, 0.5, spark, approx)
 
 
-BROADCAST_MAX_ROWS = 1_000_000
-
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson r over the rows where both sides are present; NULL where either is constant there.
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check: the side is counted first (cheap for a
-    lookup) and left to Catalyst/AQE's shuffle join when it exceeds ``max_rows``."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    ``corr`` divides by zero on a constant side (an error under ANSI), and rounding noise can pass
+    for variance; smallest = largest decides, and the centred sums come from one streaming pass.
+    """
+    x, y = col_of(x).cast("double"), col_of(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    r = nan_to_null(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    # least and greatest skip NULL: the clamp must not make a number of it
+    return F.when(varied & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clip, map_values, median_expr, safe_div
+from ..functions.columns import clip, map_values, median_expr, safe_corr, safe_div
 from ..sources.contract import ID_COL, LABEL_COL
 
 # Ordinal education map (T2: unmapped or NULL -> 2), money columns that
@@ -70,7 +70,7 @@ def debt_burden_diagnostics(df: DataFrame) -> DataFrame:
     """Share of rows at the 3.0 cap and Pearson r(original, recalculated)."""
     return df.agg(
         F.avg(F.when(F.col(DEBT_COL) == DEBT_CAP, 1.0).otherwise(0.0)).alias("pct_at_cap"),
-        F.corr(F.col(DEBT_COL), debt_recalc_expr()).alias("corr"),
+        safe_corr(DEBT_COL, debt_recalc_expr()).alias("corr"),
     )
 
 

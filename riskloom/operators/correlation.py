@@ -14,45 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_broadcast, nan_to_null
+from ..functions.columns import safe_corr
 from ..sources.contract import LABEL_COL
 
-PAIR_CHUNK = 256
-MOMENTS_MIN_PAIRS = 300
-
-
 def pairs_of(cols: Sequence[str]) -> list[tuple[int, int, str, str]]:
     return [(i, j, cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
-                      chunk: int = PAIR_CHUNK, method: str = "auto") -> DataFrame:
-    """long-form upper triangle (group..., i, j, feature_1, feature_2, corr).
-
-    ``method='agg'``: Spark ``corr`` aggregates, ``chunk`` pairs per pass (exact
-    streaming update; best for few pairs). ``method='moments'``: one pass -- per
-    partition pairwise-complete moment matrices, summed by a shuffle of
-    (partitions x pairs) rows; best for wide tables. ``auto`` picks by pair count.
-    A constant column gives NaN in pandas; here it is NULL.
-    """
-    pairs = pairs_of(list(cols))
-    if method == "moments" or (method == "auto" and len(pairs) > MOMENTS_MIN_PAIRS):
-        return correlation_pairs_moments(df, cols, group_cols)
-    g = list(group_cols)
-    frames = []
-    for start in range(0, len(pairs), chunk):
-        part = pairs[start:start + chunk]
-        aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}")
-                for i, j, a, b in part]
-        wide = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
-        stack_args = ", ".join(f"{i}, {j}, '{a}', '{b}', `c{i}_{j}`" for i, j, a, b in part)
-        frames.append(wide.selectExpr(
-            *[f"`{c}`" for c in g],
-            f"stack({len(part)}, {stack_args}) AS (i, j, feature_1, feature_2, corr)"))
-    out = reduce(lambda a, b: a.unionByName(b), frames)
-    return out.withColumn("corr", nan_to_null("corr"))
-
-
 def high_correlations(corr_long: DataFrame, threshold: float = 0.90, top_k: int | None = 10,
                       group_cols: Sequence[str] = ()) -> DataFrame:
     """Pairs with |r| > threshold, by |r| desc (ties in feature order); top k
@@ -70,11 +38,11 @@ def high_correlations(corr_long: DataFrame, threshold: float = 0.90, top_k: int
 def target_correlations(df: DataFrame, cols: Sequence[str], label: str = LABEL_COL,
                         top_k: int = 20) -> DataFrame:
     """F16: corr(feature, default), top k by |r|, Strong (>0.5) / Moderate (>0.3) / Weak."""
-    aggs = [F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"t{k}")
+    aggs = [safe_corr(c, label).alias(f"t{k}")
             for k, c in enumerate(cols)]
     args = ", ".join(f"{k}, '{c}', `t{k}`" for k, c in enumerate(cols))
     long = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {args}) AS (ord, feature, corr)")
-    long = long.withColumn("corr", nan_to_null("corr")).filter(F.col("corr").isNotNull())
+    long = long.filter(F.col("corr").isNotNull())
     a = F.abs("corr")
     strength = F.when(a > 0.5, "Strong").when(a > 0.3, "Moderate").otherwise("Weak")
     return (long.withColumn("abs_corr", a).withColumn("strength", strength)
@@ -108,21 +76,28 @@ def _moment_rows(cols: list[str], gcols: list[str]):
                 k = key if isinstance(key, tuple) else (key,)
                 a = acc.get(k)
                 part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
-                acc[k] = part if a is None else tuple(p + q for p, q in zip(a, part))
-        for k, (n, sx, sxx, sxy) in acc.items():
+                low = np.stack([np.where(m[:, [c]] & m, x, np.inf).min(axis=0, initial=np.inf) for c in range(d)], axis=1)
+                high = np.stack([np.where(m[:, [c]] & m, x, -np.inf).max(axis=0, initial=-np.inf) for c in range(d)], axis=1)
+                acc[k] = (part, low, high) if a is None else (
+                    tuple(p + q for p, q in zip(a[0], part)), np.minimum(a[1], low), np.maximum(a[2], high))
+        for k, ((n, sx, sxx, sxy), low, high) in acc.items():
             out = pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"),
                                 "n": n[iu, ju], "sx": sx[iu, ju], "sy": sx[ju, iu],
-                                "sxx": sxx[iu, ju], "syy": sxx[ju, iu], "sxy": sxy[iu, ju]})
+                                "sxx": sxx[iu, ju], "syy": sxx[ju, iu], "sxy": sxy[iu, ju],
+                                "lx": low[iu, ju], "hx": high[iu, ju], "ly": low[ju, iu], "hy": high[ju, iu]})
             for g, v in zip(gcols, k):
                 out.insert(0, g, v)
             yield out
     return run
 
 
-def correlation_pairs_moments(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """F14 in one pass: centre every column by its (group) mean, then each task sums
+def correlation_pairs(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """long-form upper triangle (group..., i, j, feature_1, feature_2, corr).
+
+    One pass for any number of columns: centre every column by its (group) mean, then each task sums
     n, sum x, sum y, sum x^2, sum y^2, sum xy over rows where both sides are present,
-    for all pairs at once (BLAS on Arrow batches); a groupBy adds the task partials."""
+    for all pairs at once (BLAS on Arrow batches), and their extremes; a groupBy adds the task
+    partials. NULL where a side is constant over the pair's rows (pandas: NaN)."""
     cols, g = list(cols), list(group_cols)
     xs = [f"_x{k}" for k in range(len(cols))]
     means = (df.groupBy(*g) if g else df.groupBy()).agg(
@@ -130,18 +105,20 @@ def correlation_pairs_moments(df: DataFrame, cols: Sequence[str], group_cols: Se
     base = df.select(*g, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)])
     # grouped means: one row per group, broadcast after a size check (a shuffle by group
     # would put a hot group into one task); global means: a single row
-    j = base.join(bounded_broadcast(means), g) if g else base.crossJoin(F.broadcast(means))
+    j = base.join(means, g) if g else base.crossJoin(F.broadcast(means))
     centred = j.select(*g, *[(F.col(x) - F.col(f"_mu{k}")).alias(x) for k, x in enumerate(xs)])
     gtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in g}
     schema = ", ".join([f"{c} {gtypes[c]}" for c in g] + ["i int", "j int", "n double", "sx double", "sy double",
-                                                          "sxx double", "syy double", "sxy double"])
+                                                          "sxx double", "syy double", "sxy double", "lx double", "hx double", "ly double", "hy double"])
     parts = centred.mapInPandas(_moment_rows(xs, g), schema)
-    tot = parts.groupBy(*g, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    tot = parts.groupBy(*g, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+                                          F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy"))
     n = F.col("n")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    r = F.when((n >= 2) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    varied = (F.col("lx") < F.col("hx")) & (F.col("ly") < F.col("hy"))
+    r = F.when(varied & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
     names = F.create_map(*[v for k, c in enumerate(cols) for v in (F.lit(k), F.lit(c))])
     return tot.select(*g, "i", "j", names[F.col("i")].alias("feature_1"), names[F.col("j")].alias("feature_2"),
-                      F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("corr"))
+                      F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("corr"))

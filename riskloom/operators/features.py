@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_broadcast, clip, map_values, quantile_expr, safe_div
+from ..functions.columns import clip, map_values, quantile_expr, safe_div
 
 CURRENT_YEAR = 2024
 # District -> zone and district -> risk tier membership.
@@ -157,30 +157,33 @@ def supplier_with_bonus(base: str = "supplier_relationships", code: str = "indus
 def dedupe_lookup_last(lookup: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
     """``dict(zip(keys, values))``: one value per key, the *last* row wins.
 
-    Row order is only meaningful with an ordering column; without one we keep
-    ``max(value)`` per key so the result is deterministic.
+    Row order is only meaningful with an ordering column, which is required where a key
+    repeats with different values.
     """
     if order is None:
-        return lookup.groupBy(key).agg(F.max(value).alias(value))
+        once = lookup.groupBy(key).agg(F.max(value).alias(value), F.min(value).alias("_least"))
+        if not once.filter(~F.col(value).eqNullSafe(F.col("_least"))).isEmpty():
+            raise ValueError(f"{key} repeats with different values: pass the column that orders the rows")
+        return once.select(key, value)
     return lookup.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
 def industry_risk_lookup(df: DataFrame, risk: DataFrame | None, code: str = "industry_code",
-                         out: str = "industry_risk_score", fallback_when_missing: bool = False) -> DataFrame:
+                         out: str = "industry_risk_score", fallback_when_missing: bool = False,
+                         order: str | None = None) -> DataFrame:
     """Left lookup industry_code -> risk_score (unmatched -> NULL).
 
     E2: with ``risk=None`` (table unavailable) the constant fallback 56->8, 46->6,
     else 4 is used; ``fallback_when_missing`` also applies it to unmatched keys.
-    The lookup is deduplicated per key and broadcast only after a row-count check, so
-    the fact side never shuffles for a small lookup and a large one falls back to a
-    shuffle join.
+    The lookup is deduplicated per key (the last row by ``order`` wins); Spark broadcasts it
+    if its size allows.
     """
     fallback = (F.when(F.col(code) == 56, F.lit(8)).when(F.col(code) == 46, F.lit(6))
                 .otherwise(F.lit(RISK_FALLBACK_DEFAULT)))
     if risk is None:
         return df.withColumn(out, fallback)
-    lk = dedupe_lookup_last(risk, "vsic_code", "risk_score") \
+    lk = dedupe_lookup_last(risk, "vsic_code", "risk_score", order) \
         .withColumnRenamed("vsic_code", "_lk_code").withColumnRenamed("risk_score", "_lk_risk")
-    j = df.join(bounded_broadcast(lk), F.col(code) == F.col("_lk_code"), "left")
+    j = df.join(lk, F.col(code) == F.col("_lk_code"), "left")
     val = F.coalesce(F.col("_lk_risk"), fallback) if fallback_when_missing else F.col("_lk_risk")
     return j.withColumn(out, val).drop("_lk_code", "_lk_risk")

@@ -33,22 +33,11 @@ from .targets import (MODULE_SPECS, ModuleSpec, apply_post_rule, fit_target_scal
 SEED = 42
 R2_GAP = 0.03
 AUC_GAP = 0.02
-ROWS_PER_TRAIN_PARTITION = 1_000_000
 
 
 def training_frame(df: DataFrame) -> DataFrame:
-    """Persisted training input with partitions sized to the data (~1M rows each).
-
-    Tree learners run several jobs per iteration; on small inputs the per-task cost
-    dominates, so extra partitions are merged without a shuffle (``coalesce``). Large
-    inputs keep (or exceed) their partitioning -- nothing is ever collapsed below
-    ``rows / ROWS_PER_TRAIN_PARTITION`` tasks.
-    """
-    import math
-    n = df.count()
-    k = max(1, math.ceil(n / ROWS_PER_TRAIN_PARTITION))
-    out = df.coalesce(k) if k < df.rdd.getNumPartitions() else df
-    return out.persist()
+    """Persisted training input, in the partitions it comes in."""
+    return df.persist()
 
 
 # ----------------------------------------------------------------------------- builders
@@ -344,36 +333,34 @@ class MetaModel:
         return sorted(zip(FEATURE_COLS, self.lr.coefficients.toArray().tolist()), key=lambda kv: -kv[1])
 
     def linear_attribution(self, scores: DataFrame) -> DataFrame:
-        """L20 (LR): per-feature contribution coef * (x - mean) on the standardized design
-        (means are 0 after scaling), reduced to mean |contribution| per feature."""
+        """L20 (LR): per-feature contribution coef * (x - mean), centred on the explained frame,
+        reduced to mean |contribution| per feature."""
         d = standardize(engineer_features(scores), self.state.scaler)
         coefs = self.lr.coefficients.toArray().tolist()
-        aggs = [F.avg(F.abs(F.lit(c) * F.col(f))).alias(f) for f, c in zip(FEATURE_COLS, coefs)]
+        means = d.agg(*[F.avg(f).alias(f) for f in FEATURE_COLS]).first()
+        aggs = [F.avg(F.abs(F.lit(c) * (F.col(f) - F.lit(float(means[f] or 0.0))))).alias(f) for f, c in zip(FEATURE_COLS, coefs)]
         args = ", ".join(f"'{f}', `{f}`" for f in FEATURE_COLS)
         return d.agg(*aggs).selectExpr(f"stack({len(FEATURE_COLS)}, {args}) AS (feature, mean_abs_contribution)")
 
-    def tree_attribution(self, scores: DataFrame, background: int = 16, seed: int = SEED) -> DataFrame:
-        """L20 (trees): exact interventional Shapley values over all 2^8 coalitions.
+    def tree_attribution(self, scores: DataFrame) -> DataFrame:
+        """L20 (chosen model): exact Shapley values over all 2^8 coalitions.
 
-        Each explained row is expanded by generators (no join): ``explode`` over the 256
-        coalition masks and over a fixed background of ``background`` rows (the one
-        deliberately bounded input: a background distribution, chosen by a seeded hash
-        and carried as a literal array). One ``transform`` scores all mixed vectors;
-        coalition means are combined with Shapley weights per feature. The expansion is a
-        constant factor (256 x background) per row. Output: mean |phi| per feature.
+        The baseline is the explained frame's mean row, so every row has its part in it. Each
+        row is expanded by a generator (no join) over the 256 coalition masks; one ``transform``
+        scores the mixed vectors, and Shapley weights combine them per feature. The model is
+        the chosen one, of an ensemble the heavier. Output: mean |phi| per feature.
         """
         from math import factorial
         k = len(FEATURE_COLS)
         d = standardize(engineer_features(scores), self.state.scaler).withColumn("_rid", F.monotonically_increasing_id())
-        bg_rows = (d.withColumn("_h", F.xxhash64(*[F.col(c) for c in FEATURE_COLS], F.lit(seed)))
-                   .orderBy("_h").limit(background).select(*FEATURE_COLS).collect())
-        bg = F.array(*[F.struct(*[F.lit(float(r[c])).alias(c) for c in FEATURE_COLS]) for r in bg_rows])
-        x = (d.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << k) - 1))))
-              .withColumn("_bg", F.explode(bg)))
-        mixed = [F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.col("_bg")[c]).alias(c)
+        means = d.agg(*[F.avg(c).alias(c) for c in FEATURE_COLS]).first()
+        x = d.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << k) - 1))))
+        mixed = [F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.lit(float(means[c] or 0.0))).alias(c)
                  for i, c in enumerate(FEATURE_COLS)]
         design = self.assembler.transform(x.select("_rid", "_mask", *mixed))
-        model = self.gbt if self.state.strategy == "B" else self.lr
+        st = self.state
+        trees = st.strategy == "B" or (st.strategy not in ("A", "B") and st.w_b >= st.w_a)
+        model = self.gbt if trees else self.lr
         v = (model.setProbabilityCol("_p").setPredictionCol("_pp").setRawPredictionCol("_rp").transform(design)
              .select("_rid", "_mask", vector_to_array("_p")[1].alias("_f"))
              .groupBy("_rid", "_mask").agg(F.avg("_f").alias("_v")))

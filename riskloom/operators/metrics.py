@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_corr
 from .rank import quantile_bucket, running_totals
 
 
@@ -97,7 +98,7 @@ def sanity_check(df: DataFrame, score: str, label: str) -> DataFrame:
     y = F.col(label)
     agg = df.agg(F.avg(F.when(y == 0, F.col(score))).alias("mean_0"),
                  F.avg(F.when(y == 1, F.col(score))).alias("mean_1"),
-                 F.corr(F.col(score), y.cast("double")).alias("corr"))
+                 safe_corr(score, y).alias("corr"))
     gap = F.col("mean_0") - F.col("mean_1")
     return agg.withColumn("gap", gap).withColumn(
         "status", F.when(gap > 0.01, "PASS").when(gap > 0, "OK").otherwise("WEAK"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (bounded_broadcast, inverse_normal_cdf, numeric_columns, quantile_expr,
+from ..functions.columns import (inverse_normal_cdf, numeric_columns, quantile_expr,
                                  round_half_up, safe_div)
 from ..sources.contract import ALL_FEATURES, ID_COL, LABEL_COL, MODULES
 
@@ -28,7 +28,7 @@ def _q(name: str) -> str:
 
 def _quantiles(c: Column, probs: Sequence[float], approx: bool) -> Column:
     """Exact linear quantiles unless ``approx`` or the session switch
-    ``spark.riskloom.exactQuantiles=false`` asks for bounded-memory sketches."""
+    ``approx=True`` asks for bounded-memory sketches."""
     from pyspark.sql import SparkSession
     return quantile_expr(c, list(probs), SparkSession.getActiveSession(), True if approx else None)
 
@@ -165,10 +165,10 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, first_n: int = 10,
                         max_levels: int = 10) -> DataFrame:
-    """per categorical column: distinct count, and value counts if <= max_levels.
+    """per categorical column its distinct count, and value counts if <= max_levels.
 
-    One pass of ``groupBy(col)`` per column over an unpivot of only the categorical
-    columns (few, narrow); distinct counts come from the same grouped frame.
+    A column with more levels has one row, value and count NULL. One ``groupBy`` over the
+    categorical columns (few, narrow); distinct counts come from the grouped frame.
     """
     from ..functions.columns import string_columns
     cols = list(cols or string_columns(df))[:first_n]
@@ -176,8 +176,10 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, first_
         f"stack({len(cols)}, " + ", ".join(f"'{c}', {_q(c)}" for c in cols) + ") AS (feature, value)")
     counts = stacked.filter(F.col("value").isNotNull()).groupBy("feature", "value").count()
     levels = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
-    j = counts.join(levels, "feature")
-    return j.filter(F.col("n_distinct") <= max_levels).select("feature", "n_distinct", "value", "count")
+    listed = counts.join(levels.filter(F.col("n_distinct") <= max_levels), "feature")
+    many = levels.filter(F.col("n_distinct") > max_levels).select(
+        "feature", "n_distinct", F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("count"))
+    return listed.select("feature", "n_distinct", "value", "count").unionByName(many)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, group_cols: Se
                             + ") AS (feature, value)").filter(F.col("value").isNotNull())
     bounds = stacked.groupBy(*g, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
                                                 F.count(F.lit(1)).alias("n"))
-    j = stacked.join(bounded_broadcast(bounds), g + ["feature"])   # groups x features rows
+    j = stacked.join(bounds, g + ["feature"])   # groups x features rows
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)))
@@ -269,7 +271,7 @@ def boxplot_table(df: DataFrame, col: str, by: str = "industry_code", approx: bo
     qs = df.groupBy(by).agg(_quantiles(F.col(col).cast("double"), [0.25, 0.5, 0.75], approx).alias("_q"))
     qs = qs.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     j = df.select(by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()).join(
-        bounded_broadcast(qs), by)
+        qs, by)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("x") >= lo_f) & (F.col("x") <= hi_f)
@@ -290,7 +292,7 @@ def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     ranked = position_by_value(base, "value", partition_cols=parts, out="_i")
     sizes = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")) if parts else \
         base.agg(F.count(F.lit(1)).alias("n"))
-    j = ranked.join(bounded_broadcast(sizes), parts) if parts else ranked.crossJoin(F.broadcast(sizes))
+    j = ranked.join(sizes, parts) if parts else ranked.crossJoin(F.broadcast(sizes))
     i = F.col("_i") + 1
     nn = F.col("n").cast("double")
     last = F.pow(F.lit(0.5), 1.0 / nn)
@@ -302,7 +304,7 @@ def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     pts = pts.checkpoint(eager=True)
     fit = pts.groupBy(*parts).agg(F.regr_slope("value", "theoretical").alias("slope"),
                                   F.regr_intercept("value", "theoretical").alias("intercept"))
-    return pts.join(bounded_broadcast(fit), parts) if parts else pts.crossJoin(F.broadcast(fit))
+    return pts.join(fit, parts) if parts else pts.crossJoin(F.broadcast(fit))
 
 
 def industry_params(features: DataFrame, ratio_cols: Sequence[str], by: str = "industry_code",

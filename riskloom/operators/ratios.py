@@ -58,7 +58,8 @@ def calculate_ratios(raw: DataFrame, keep_raw: bool = True) -> DataFrame:
     padded, w = revenue_growth()
     df = raw.withColumn("_rev_pad", padded)
     prev = F.lag("_rev_pad").over(w)
-    growth = (F.when(prev.isNull(), F.lit(FIRST_YEAR_GROWTH))
+    # 0 after 0 is undefined, like a first year, and takes the same fill; anything else after 0 is NULL
+    growth = (F.when(prev.isNull() | ((prev == 0) & (F.col("_rev_pad") == 0)), F.lit(FIRST_YEAR_GROWTH))
               .otherwise(safe_div(F.col("_rev_pad"), prev) - 1))
     base = raw.columns if keep_raw else KEY_COLS
     out = df.select(*base, *[exprs[r].alias(r) if r != "revenue_growth" else growth.alias(r)

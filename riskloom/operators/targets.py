@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.contract import (ID_COL, LABEL_COL, MODULE1_FEATURES, MODULE2_FEATURES,
                                 MODULE3_FEATURES, MODULE4_FEATURES)
-from ..functions.columns import median_expr
+from ..functions.columns import median_expr, safe_corr
 from .features import past_due_severity
 
 BLEND_PROXY = 0.70
@@ -180,7 +180,7 @@ def scale_target(df: DataFrame, lo: float, hi: float, col: str = "target_raw", o
 def target_diagnostics(df: DataFrame, col: str = "target", label: str = LABEL_COL) -> DataFrame:
     """Mean, population std and Pearson r with the label."""
     return df.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
-                  F.corr(F.col(col), F.col(label).cast("double")).alias("corr_default"))
+                  safe_corr(col, label).alias("corr_default"))
 
 
 def apply_post_rule(score: Column, df_cols: list[str], spec: ModuleSpec) -> Column:

@@ -157,7 +157,8 @@ def _categorical_profile_sql():
     parts = [f"SELECT '{c}' AS feature, {q(c)} AS value, count(*) AS count FROM dataset67 "
              f"WHERE {q(c)} IS NOT NULL GROUP BY {q(c)}" for c in cats]
     return ("SELECT feature, n_distinct, value, count FROM (SELECT *, count(*) OVER (PARTITION BY feature) "
-            "AS n_distinct FROM (" + "\nUNION ALL\n".join(parts) + ") t) u WHERE n_distinct <= 10")
+            "AS n_distinct FROM (" + "\nUNION ALL\n".join(parts) + ") t) u WHERE n_distinct <= 10 UNION ALL "
+            "SELECT feature, count(*), NULL, NULL FROM (" + "\nUNION ALL\n".join(parts) + ") v GROUP BY feature HAVING count(*) > 10")
 
 
 # string columns of dataset67 in column order
@@ -166,7 +167,7 @@ CATEGORICAL_FEATURES_ORDERED = [c for c in D67_COLUMNS if c in CATEGORICAL_FEATU
 
 @register("F11_categorical_profile", with_views(_categorical_profile_sql(), *D67))
 def q_f11(spark, sf_dir):
-    """distinct counts and value counts (<= 10 levels) of categorical columns."""
+    """distinct count of every categorical column, value counts of those with <= 10 levels."""
     return P.categorical_profile(_d67(spark, sf_dir))
 
 

@@ -182,16 +182,65 @@ def test_string_mode_fill_c8(spark):
     assert per_frame[-1] == "b" and frozen[-1] == "q"
 
 
-def test_quantile_switch_approx_mode(spark):
-    from riskloom.functions.columns import EXACT_QUANTILES_CONF, median_expr
-    from riskloom.operators.profile import describe
+def test_quantiles_are_exact_unless_asked(spark):
+    from riskloom.functions.columns import median_expr
     df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
-    exact = df.agg(median_expr("x", spark)).first()[0]
-    spark.conf.set(EXACT_QUANTILES_CONF, "false")
+    spark.conf.set("spark.riskloom.exactQuantiles", "false")  # no setting changes an answer
     try:
-        approx = df.agg(median_expr("x", spark)).first()[0]
-        d = describe(df, ["x"], ("median", "q25")).first()
+        exact = df.agg(median_expr("x", spark)).first()[0]
     finally:
-        spark.conf.unset(EXACT_QUANTILES_CONF)
-    assert exact == 5000.0 and abs(approx - 5000.0) <= 1.0
-    assert abs(d["median"] - 5000.0) <= 1.0 and abs(d["q25"] - 2500.0) <= 1.0
+        spark.conf.unset("spark.riskloom.exactQuantiles")
+    assert exact == 5000.0
+    assert abs(df.agg(median_expr("x", spark, approx=True)).first()[0] - 5000.0) <= 1.0
+
+
+CONSTANT = [(0.1, 1.0, 5.0, None, 1), (0.1, 2.0, 5.0, None, 1), (0.1, 4.0, 5.0, None, 1), (None, 3.0, 6.0, 1.0, 1)]
+
+
+def test_correlation_with_constant_columns_is_null(spark):
+    """Constant, constant where both sides are present, all NULL: NULL at every site, no error."""
+    from riskloom.operators import correlation as CR
+    df = spark.createDataFrame(CONSTANT, "a double, b double, c double, d double, default int")
+    got = {(r["feature_1"], r["feature_2"]): r["corr"] for r in CR.correlation_pairs(df, ["a", "b", "c", "d"]).collect()}
+    assert all(v is None for k, v in got.items() if k != ("b", "c"))
+    assert abs(got["b", "c"] - 0.2581988897471611) < 1e-12
+    grouped = CR.correlation_pairs(df.withColumn("g", F.lit("x")), ["a", "b", "c"], ["g"]).collect()
+    assert sum(r["corr"] is not None for r in grouped) == 1
+    assert CR.target_correlations(df, ["a", "b", "c"]).count() == 0  # one class
+    assert MX.sanity_check(df, "b", "default").first()["corr"] is None
+    assert TG.target_diagnostics(df, "b").first()["corr_default"] is None
+
+
+def test_zero_revenue_after_zero_takes_the_fill(spark):
+    from riskloom.operators.ratios import calculate_ratios
+    from riskloom.sources.fixtures import financial_raw
+    raw = financial_raw(spark, "/root/testdata/sf0.001")
+    key = raw.groupBy("ticker").count().filter("count >= 3").orderBy("ticker").first()["ticker"]
+    zero = raw.filter(F.col("ticker") == key).withColumn("revenue", F.lit(0.0))
+    got = [r["revenue_growth"] for r in calculate_ratios(zero).collect()]
+    assert len(got) >= 3 and all(abs(x - 0.10) < 1e-12 for x in got)
+
+
+def test_lookup_takes_the_last_row_and_asks_for_the_order(spark):
+    from riskloom.operators.features import industry_risk_lookup
+    df = spark.createDataFrame([(10,), (46,)], "industry_code int")
+    risk = spark.createDataFrame([(10, 9, 1), (10, 4, 2), (46, 6, 1), (46, 6, 2)], "vsic_code int, risk_score int, line int")
+    with pytest.raises(ValueError):
+        industry_risk_lookup(df, risk)
+    got = {r["industry_code"]: r["industry_risk_score"] for r in industry_risk_lookup(df, risk, order="line").collect()}
+    assert got == {10: 4, 46: 6}
+
+
+def test_categorical_profile_keeps_columns_with_many_levels(spark):
+    from riskloom.operators.profile import categorical_profile
+    df = spark.createDataFrame([(f"v{k % 12}", "ab"[k % 2]) for k in range(48)], "many string, few string")
+    got = sorted(tuple(r) for r in categorical_profile(df).filter("feature = 'few'").collect())
+    assert got == [("few", 2, "a", 24), ("few", 2, "b", 24)]
+    assert [tuple(r) for r in categorical_profile(df).filter("feature = 'many'").collect()] == [("many", 12, None, None)]
+
+
+def test_training_keeps_its_partitions(spark):
+    from riskloom.operators.learners import training_frame
+    frame = training_frame(spark.range(1000).repartition(16))
+    assert frame.rdd.getNumPartitions() == 16
+    frame.unpersist()
