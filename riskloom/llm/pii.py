@@ -132,8 +132,8 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, min_contexts: int =
     both = (near.select("term", "entity", "row").distinct().join(small_side(pairs, n_terms, size // n_terms), ["term", "entity"])
             .groupBy("term", "entity").agg(F.count("*").alias("n_both")))
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = rows.distinct().select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(small_side(pairs.select("term").distinct(), n_terms, size // n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    words = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+    terms = words.join(small_side(pairs.select("term").distinct(), n_terms, size // n_terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     total = rows.select("row").distinct().count()
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     return (both.join(entities, "entity").join(terms, "term")
@@ -190,8 +190,8 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None, remove: float = RE
         return docs.mapInArrow(_mark_task(lambda part: [table.value] * part.num_rows, remove), schema)
     # more terms than a task should hold: give each document those that stand in it
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    own = (rows.select("_row", "text").distinct().select("_row", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-           .join(terms, "term").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_known")))
+    own = (rows.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+           .join(terms, "term").select("_row", "term", "disclosure").distinct().groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_known")))
     return rows.join(own, "_row", "left").drop("_row").mapInArrow(_mark_task(lambda part: [dict(x or ()) for x in part.column("_known").to_pylist()], remove), schema)
 
 
