@@ -112,14 +112,6 @@ def scale_targets(t: DataFrame, ranges: dict, keep: tuple = ("sample_id", "defau
     return t.select(*keep, *cols)
 
 
-def target_ranges(train_frame: DataFrame) -> dict:
-    """Train min/max of every module's raw target (one aggregate row)."""
-    t = with_module_targets(train_frame)
-    row = t.agg(*[F.min(f"{m}_raw").alias(f"lo_{m}") for m in MODULE_SPECS],
-                *[F.max(f"{m}_raw").alias(f"hi_{m}") for m in MODULE_SPECS]).first()
-    return {m: (row[f"lo_{m}"], row[f"hi_{m}"]) for m in MODULE_SPECS}
-
-
 def pd_standin(df: DataFrame, out: str = "pd_score") -> DataFrame:
     """PD stand-in without a learner: 1 - weighted_avg, clipped to [0, 1]."""
     return df.withColumn(out, clip(F.lit(1.0) - F.col("weighted_avg"), 0.0, 1.0))

@@ -282,6 +282,22 @@ def boxplot_table(df: DataFrame, col: str, by: str = "industry_code", approx: bo
     )
 
 
+def boxplot_tables(df: DataFrame, cols: Sequence[str], by: str = "industry_code") -> DataFrame:
+    """F24 for several columns in two passes: all quartiles in one wide aggregate, then all
+    whiskers and outlier counts in another; only the aggregated rows are stacked."""
+    quartiles = df.groupBy(by).agg(*[_quantiles(F.col(c).cast("double"), [0.25, 0.5, 0.75], False).alias(f"_q{k}")
+                                     for k, c in enumerate(cols)])
+    aggs = []
+    for k, c in enumerate(cols):
+        x, q1, q3 = F.col(c).cast("double"), F.col(f"_q{k}")[0], F.col(f"_q{k}")[2]
+        inside = (x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))
+        aggs += [F.min(F.when(inside, x)).alias(f"_l{k}"), F.max(F.when(inside, x)).alias(f"_h{k}"),
+                 F.count(F.when(x.isNotNull() & ~inside, 1)).alias(f"_o{k}")]
+    wide = df.select(by, *cols).join(quartiles, by).groupBy(by, *[f"_q{k}" for k in range(len(cols))]).agg(*aggs)
+    args = ", ".join(f"'{c}', _q{k}[0], _q{k}[1], _q{k}[2], _l{k}, _h{k}, _o{k}" for k, c in enumerate(cols))
+    return wide.selectExpr(by, f"stack({len(cols)}, {args}) AS (feature, q1, median, q3, whisker_low, whisker_high, outliers)")
+
+
 def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """ordered values vs theoretical normal quantiles (scipy probplot positions:
     Filliben's medians) + the fitted least-squares line per group."""

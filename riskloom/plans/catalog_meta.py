@@ -165,11 +165,10 @@ def q_l5(spark, sf_dir):
 
 
 @register("K9_bankruptcy_cap", with_views(
-    "SELECT sample_id, " + rnd("S4") + " AS S4 FROM sc_va WHERE past_bankruptcy = 1", *D67, extra=SCORES))
+    "SELECT sample_id, " + rnd("S4") + " AS S4 FROM sc_va", *D67, extra=SCORES))
 def q_k9(spark, sf_dir):
-    """K9: S4 of bankrupt companies after the min(S4, 0.30) rule (val)."""
-    s = split_scores(spark, sf_dir)["va"]
-    return s.filter(F.col("past_bankruptcy") == 1).select("sample_id", "S4")
+    """K9: S4 after the min(S4, 0.30) rule for bankrupt companies; the others' stays (val)."""
+    return split_scores(spark, sf_dir)["va"].select("sample_id", "S4")
 
 
 @register("C11_standardized_meta_val", with_views(

@@ -414,6 +414,17 @@ def q_f24(spark, sf_dir):
     return P.boxplot_table(_ff(spark, sf_dir), "roa")
 
 
+# The ratios of the reference's box plots, in its order.
+BOX_RATIOS = ["roa", "roe", "profit_margin", "current_ratio", "debt_to_equity", "asset_turnover"]
+
+
+@register("F24b_boxplot_key_ratios", with_views(
+    "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, * FROM ({_box_sql(c)}) b_{c}" for c in BOX_RATIOS), *FF))
+def q_f24b(spark, sf_dir):
+    """box-plot tables of the six key ratios per industry."""
+    return P.boxplot_tables(_ff(spark, sf_dir), BOX_RATIOS)
+
+
 def _acklam_sql(p: str) -> str:
     """The inverse-normal approximation of ``columns.inverse_normal_cdf`` in SQL
     (same Horner order, so the doubles agree)."""

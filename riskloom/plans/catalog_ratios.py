@@ -72,9 +72,6 @@ def q_a5(spark, sf_dir):
     return stack_frames([raw.filter(F.col("industry_code") == c) for c in (46, 10, 56)])
 
 
-_D14_SQL_STEPS = []
-
-
 def _d14_sql() -> str:
     ctes = ["o0 AS (SELECT * FROM financial_features)"]
     for i, c in enumerate(RATIOS, start=1):

@@ -200,11 +200,6 @@ def with_lookup_features(sample: DataFrame, risk: DataFrame | None = None) -> Da
     return out
 
 
-def raw_with_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements + ratios (the input of the outlier filter when raw columns are needed)."""
-    return calculate_ratios(financial_raw(spark, sf_dir))
-
-
 def dataset67(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full labelled 67-feature table (credit_sample + D17, D18, E1)."""
     return with_lookup_features(credit_sample(spark, sf_dir))
