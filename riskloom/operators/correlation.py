@@ -1,15 +1,13 @@
 """Correlation operators.
 
-Pearson with pairwise-complete observations (Spark ``corr`` skips a row when either
-side is NULL, like pandas). All pairs of a chunk are one aggregate pass; chunks keep
-each aggregate narrow enough for codegen (67 features = 2,211 pairs). Persist or
-checkpoint a wide input before calling with many chunks.
+Pearson with pairwise-complete observations (a row counts for a pair when both sides are present,
+like pandas). Pair matrices of any width are one pass of per-task moments; a few columns against
+one target are one aggregate of ``safe_corr``. A side that is constant over its rows gives NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ratios import calculate_ratios, financial_features as _ratios16
+from ..operators.ratios import financial_features as _ratios16
 from .tables import read_table
 
 DEC_MONEY = "decimal(12,2)"
