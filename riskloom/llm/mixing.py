@@ -107,7 +107,8 @@ def schedule(spark, need: Sequence[int]) -> DataFrame:
     got = {r["idx"]: r["n"] for r in counts.groupBy("idx").agg(F.sum("n").alias("n")).collect()}  # a row a source
     before = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("chunk", "idx", "offset")
-    drawn = (chunks.mapInPandas(_chunk_slots(bounds, slots, False), "chunk long, idx int, slot long, nth long")
+    # written first: Spark would take what a task makes of a small range for small, and broadcast it
+    drawn = (stage(chunks.mapInPandas(_chunk_slots(bounds, slots, False), "chunk long, idx int, slot long, nth long"), "slots")
              .join(stage(offsets, "slot_offsets"), ["chunk", "idx"])
              .select("slot", "idx", (F.col("offset") + F.col("nth")).alias("rank")))
     tail, at = [], slots
