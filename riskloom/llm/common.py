@@ -15,12 +15,25 @@ from ..sources.tables import table_path
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
+#: Rows that a task hands to Python at once: texts and sets are long, and a batch is held whole.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share."""
+    small_batches(spark)
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 # Element names of HTML by their role here.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object".split())
@@ -239,6 +239,7 @@ def _smallest_around(nodes: set[int], parent: list[int]) -> int:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Every column of ``pages`` (with html) and main_text (replacing a column of that name)."""
+    small_batches(pages.sparkSession)
     pages = pages.drop("main_text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

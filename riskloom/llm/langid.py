@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read
+from .common import crc_mod, read, small_batches
 
 ORDER = 4
 MIN_COUNT = 24
@@ -151,6 +151,7 @@ class ContextTrees:
 
 def fit(train: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_docs: int = MAX_DOCS) -> ContextTrees | None:
     """Trees from ``train`` (doc_id, text, lang); None if it has no usable row."""
+    small_batches(train.sparkSession)
     rows = train.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
     sizes = rows.groupBy("lang").count().collect()  # a row a language
     if not sizes:
@@ -167,6 +168,7 @@ def fit(train: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_do
 
 def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     """Every column of ``docs`` with lang_pred and score (replacing columns of those names)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     if trees is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))

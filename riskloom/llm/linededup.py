@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stage
+from .common import BROADCAST_BYTES, small_batches, stage
 
 BITS_PER_LINE = 12
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 28
@@ -104,6 +104,7 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """line (128-bit digest), n_docs, keeper (largest doc_id): the keys of at least ``min_docs`` documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id is not null and length(text) >= %d" % min_chars)
     lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << int(lines * BITS_PER_LINE).bit_length()))

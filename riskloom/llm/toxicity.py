@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, small_side
+from .common import crc_mod, read, small_batches, small_side
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -142,6 +142,7 @@ def _count_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.coalesce(*(F.when(F.col("toxic") == k, F.lit(int(min(1.0, max_docs / max(1, sizes.get(k, 0))) * 1_000_000))) for k in (0, 1)))
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every column of ``docs`` and ``score`` (replacing a column of that name)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

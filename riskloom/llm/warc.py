@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, read, small_side, stage
+from .common import new_folder, read, small_batches, small_side, stage
 
 CHUNK_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -178,6 +178,7 @@ def _read_task(chunk_bytes: int, batch_bytes: int = 4 << 20):
 
 def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table (CHUNKS) of the archives that ``manifest`` lists, a file a task."""
+    small_batches(manifest.sparkSession)
     n = manifest.count()
     return manifest.select("file").repartition(max(1, min(n, 20_000))).mapInArrow(_read_task(chunk_bytes), CHUNKS)
 
