@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each page is parsed into a tree in its task. Parts that are never article text (scripts, menus, page
-headers and footers, sidebars, forms, and blocks whose class, id or role names them as adverts, notices,
-comments and the like) are taken out. Every node then has its composite density, the characters per
+headers and footers, sidebars, forms of less than two thirds of the page, hidden elements, and blocks whose
+class, id or role names them as adverts, notices, comments and the like) are taken out. Every node then has its composite density, the characters per
 tag of its subtree, adjusted for the share of characters and tags in links:
 
     C / T * log_b(C * T / (LC * LT)),  b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
@@ -39,7 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
-DROPPED = frozenset("head nav aside footer form button select menu dialog datalist".split())
+FOREIGN = frozenset("svg math".split())
+DROPPED = frozenset("head nav aside footer button select menu dialog datalist".split())
 SAME_LEVEL = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
               "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_SCOPE = frozenset("article aside blockquote body dd details div figure footer form header li main nav section table td th button".split())
@@ -52,8 +53,8 @@ REPLIES = frozenset("comment comments commentlist disqus replies respond hidden"
 NEGATED = frozenset("no not has with without".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>]+))?|/\s*(\Z)""")
+_NO_DISPLAY = re.compile(r"(?:\A|;)\s*display\s*:\s*none\b", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
@@ -64,6 +65,7 @@ class Tree:
         self.tag, self.parent, self.attrs = ["#root"], [-1], [""]
         self.pieces: list[tuple[int, str]] = []  # (node, text); (node, "\n") marks a block's start or end
         self.open: Counter[str] = Counter()
+        unended: set[str] = set()  # of FOREIGN, those without an end tag in the rest of the page
         stack, at, end = [0], 0, len(page)
         while at < end:
             m = _TOKEN.search(page, at)
@@ -89,8 +91,13 @@ class Tree:
             self.tag.append(tag), self.parent.append(stack[-1]), self.attrs.append(m[3] or m[6] or "")
             if tag in BLOCK:
                 self.pieces.append((node, "\n"))
+            if tag in FOREIGN and (tag in unended or _self_closing(self.attrs[node])):
+                continue
             if tag in RAW:
                 done = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+                if not done and tag in FOREIGN:
+                    unended.add(tag)
+                    continue
                 at = done.end() if done else end
             elif tag not in VOID:
                 stack.append(node)
@@ -126,19 +133,45 @@ class Tree:
                 return
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """The first value of every attribute, "" for one without; nothing inside a value is an attribute."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return found
+
+
+def _self_closing(attrs: str) -> bool:
+    """Whether a slash that is no part of a value ends the tag."""
+    return attrs.rstrip().endswith("/") and any(m[3] is not None for m in _ATTRIBUTE.finditer(attrs))
+
+
 def _named(attrs: str) -> set[str]:
-    """The words of NAMED in class, id and role; a class like ``no-sidebar`` names nothing."""
+    """The words of NAMED in class, id and role, and ``hidden``; a class like ``no-sidebar`` names nothing."""
     found: set[str] = set()
-    for m in _NAMES.finditer(attrs):
-        for word in m[1].lower().strip("\"'").split():
+    values = _attributes(attrs)
+    for key in ("class", "id", "role"):
+        for word in values.get(key, "").lower().split():
             parts = set(_PART.findall(word))
             if NEGATED.isdisjoint(parts):
                 found |= parts & NAMED
-    if attrs and _HIDDEN.search(attrs):
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(values.get("style", "")):
         found.add("hidden")
     return found
 
 
+def _sizes(tree: Tree, gone: list[bool]) -> list[int]:
+    """Characters in each subtree, without the text of nodes that are gone."""
+    size = [0] * len(gone)
+    for k, text in tree.pieces:
+        if not gone[k]:
+            size[k] += len(text)
+    for k in range(len(gone) - 1, 0, -1):
+        size[tree.parent[k]] += size[k]
+    return size
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, joined by one space."""
     if not page:
@@ -154,18 +187,16 @@ def main_text(page: str | None) -> str:
         p, t = parent[k], tag[k]
         inside[k] = inside[p] or t in ("article", "main")
         gone[k] = gone[p] or t in RAW or t in DROPPED or (t == "header" and not inside[p])
-    size = [0] * n
-    for k, text in tree.pieces:
-        if not gone[k]:
-            size[k] += len(text)
-    for k in range(n - 1, 0, -1):
-        size[parent[k]] += size[k]
+    size = _sizes(tree, gone)
     for k in range(1, n):
         gone[k] = gone[k] or gone[parent[k]]
         if not gone[k] and not holds[k] and tree.attrs[k] and tag[k] not in ("html", "body", "article", "main"):
             # without an article element, what holds most of the page is no advert, whatever it is called
             names = _named(tree.attrs[k])
             gone[k] = bool(names & REPLIES) or bool(names) and (holds[0] or 3 * size[k] < 2 * size[0])
+    size = _sizes(tree, gone)
+    for k in range(1, n):  # a form around most of what is left is not one to fill in
+        gone[k] = gone[k] or gone[parent[k]] or tag[k] == "form" and not holds[k] and 3 * size[k] < 2 * size[0]
     chars, tags, link_chars, link_tags, in_link = [0] * n, [1] * n, [0] * n, [0] * n, [False] * n
     for k in range(1, n):
         in_link[k] = in_link[parent[k]] or tag[k] == "a"

@@ -208,6 +208,25 @@ def test_main_text(main):
     assert html_text.main_text(PAGE.replace("{main}", main % STORY).replace("</body></html>", "").replace("</footer>", "")) == TEXT
 
 
+@pytest.mark.parametrize("wrap", ['<div style="overflow:hidden">%s</div>', '<div class="overflow-hidden">%s</div>', '<div title="The hidden cost">%s</div>', "<div data-hidden=no>%s</div>",
+                                  "<div title='x aria-hidden=true display:none class=\"comment\"'>%s</div>", '<div title="The hidden cost>%s</div>',
+                                  '<svg width="1"/>%s', '<svg />%s<svg></svg>', "<math/>%s", "<svg>%s", "<form action=/>%s</form>", "<div><form id=f>%s</form></div>"])
+@pytest.mark.parametrize("main", ["<article>%s</article>", "<div>%s</div>"])
+def test_story_in_what_only_looks_hidden(main, wrap):
+    assert html_text.main_text(PAGE.replace("{main}", main % (wrap % STORY))) == TEXT
+    assert html_text.main_text(PAGE.replace("{main}", wrap % (main % STORY))) == TEXT
+
+
+@pytest.mark.parametrize("part", ["<div hidden>no</div>", "<div HIDDEN=''>no</div>", '<p id=a aria-hidden="true">no</p>', "<div style='color:red; display : none'>no</div>", "<svg width=1/>no</svg>",
+                                  '<svg><path d="/"/>no</svg>', "<form>no <input name=x/></form>"])
+def test_what_is_hidden_stays_out(part):
+    assert html_text.main_text(PAGE.replace("{main}", "<article>%s%s</article>" % (part, STORY))) == TEXT
+
+
+def test_unended_drawings_are_read_once():
+    assert html_text.main_text("<svg>" * 50_000 + "x") == "x"
+
+
 def test_html_edges(spark):
     assert [html_text.main_text(x) for x in (None, "", " ", "plain  text", "<p>", "<article></article>", "a < b & c &amp; d")] == ["", "", "", "plain text", "", "", "a < b & c & d"]
     for x in ("<div>" * 20_000 + "x", "<a " * 50_000, "<!--" * 50_000, '<a b="' * 50_000, "<p>x</b>" * 30_000, "</div>" * 50_000, "<script>" * 20_000):
