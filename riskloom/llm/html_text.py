@@ -10,8 +10,9 @@ tag of its subtree, adjusted for the share of characters and tags in links:
 (C characters, T tags, LC and LT those in links, each at least 1). The node whose children's densities
 have the largest sum is the core. The smallest density on the path from the body to it is the
 threshold: every node above the threshold adds the subtree of largest sum within it, and the
-text is that of the smallest subtree that holds all these (the article or main element around the core,
-if there is one).
+text is that of the smallest subtree that holds all these, or of the article, else main, element around
+that subtree and the articles beside it that are not mostly links. The density selects; the tags only widen
+what it selected, so a page whose text stands in several articles gives all of it.
 
 Work is linear in the page, also for unclosed, nested or broken markup; nothing is cut or sampled.
 
@@ -233,23 +234,28 @@ def main_text(page: str | None) -> str:
     for k in range(n - 1, 0, -1):
         if not gone[k]:
             top[parent[k]] = max(top[parent[k]], top[k])
-    core = -max([top[k] for k in range(1, n) if inside[k] and not inside[parent[k]] and chars[k] and not gone[k]] or [top[body]])[1]
+    core = -top[body][1]
     path = [core]
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
-    root = next((k for k in path if tag[k] == "article"), next((k for k in path if tag[k] == "main"), None))
-    if root is None:
-        least = min(density[k] for k in path)
-        wanted = {core}
-        for k in range(body, n):
-            if not gone[k] and chars[k] and density[k] >= least:
-                wanted.add(-top[k][1])
-        root = _smallest_around(wanted, parent)
+    least = min(density[k] for k in path)
+    wanted = {core}
+    for k in range(body, n):
+        if not gone[k] and chars[k] and density[k] >= least:
+            wanted.add(-top[k][1])
+    root = _smallest_around(wanted, parent)
+    around = [root]
+    while around[-1] > 0:
+        around.append(parent[around[-1]])
+    root = next((k for k in around if tag[k] == "article"), next((k for k in around if tag[k] == "main"), root))
+    roots = {root}
+    if tag[root] == "article":  # further articles beside it, unless most of their text is links
+        roots |= {k for k in range(1, n) if tag[k] == "article" and parent[k] == parent[root] and 2 * link_chars[k] < chars[k]}
     within = [False] * n
-    within[root] = True
+    within[0] = root == 0
     out: list[str] = []
-    for k in range(root + 1, n):
-        within[k] = within[parent[k]] and not gone[k]
+    for k in range(1, n):
+        within[k] = (k in roots or within[parent[k]]) and not gone[k]
     for k, text in tree.pieces:
         if text == "\n":
             out.append(" ")

@@ -247,6 +247,30 @@ def test_pages_are_their_articles(spark, sf_dir):
         assert r["main_text"] == " ".join(html.unescape(re.sub(r"<b>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", inner))).split())
 
 
+def test_text_in_several_articles():
+    """Density selects, not the tag: every article that holds some of the text is in."""
+    parts = [f"<p>{w} paragraph that is about as long as the other one, with no link in it.</p><p>And {w} sentence after it, which is long enough to be text.</p>" for w in ("One", "Two", "Three")]
+    want = " ".join(re.sub("<[^>]*>", " ", "".join(parts)).split())
+    for a in ("article", "div", "section"):
+        assert html_text.main_text(PAGE.replace("{main}", "".join(f"<{a}>{x}</{a}>" for x in parts))) == want
+        assert html_text.main_text(PAGE.replace("{main}", f"<div><main>{parts[0]}</main></div>" + "".join(f"<{a}>{x}</{a}>" for x in parts[1:]))) == want
+    short = "<article><p>Short end.</p></article><article><a href=x>Another story</a></article>"
+    assert html_text.main_text(PAGE.replace("{main}", f"<article>{''.join(parts)}</article>{short}")) == want + " Short end."
+
+
+def test_pages_without_article_tags(spark, sf_dir):
+    """All pages of the table with the article renamed to div: a run of the same words, over all pages 99 % of them."""
+    rows = [r["html"] for r in read(spark, sf_dir, "pages").select("html").collect()]
+    all_words = kept = 0
+    for page in rows:
+        want = html_text.main_text(page)
+        got = html_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"))
+        assert got and got in want
+        all_words += len(want.split())
+        kept += len(got.split())
+    assert kept >= 0.99 * all_words
+
+
 # --- language
 
 
