@@ -53,6 +53,11 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def hash_bound(rows: int, most: float) -> int:
+    """The largest xxhash64 of those that keep about ``most`` of ``rows`` distinct rows; all, if there are no more."""
+    return max(-(1 << 63), min(1 << 64, int(most * (1 << 64) // max(1, rows))) - (1 << 63) - 1)
+
+
 def blocks(rows: int, size: int) -> int:
     return max(1, ceil(rows / size))
 

@@ -9,8 +9,8 @@ walk the tree from each byte backwards to its longest known context, look up the
 every language, add up. The shortest code names the language; its score is the share
 ``2^-bits / sum(2^-bits)``.
 
-Training reads at most about ``MAX_DOCS`` whole documents of each language (chosen by a hash of the
-doc_id; all, if there are fewer). Counting is a Spark aggregation; the driver holds one number for each
+Training reads at most about ``MAX_DOCS`` whole documents of each language (chosen by a hash of
+doc_id and text; all, if there are fewer; a doc_id with the same text on several rows counts once). Counting is a Spark aggregation; the driver holds one number for each
 distinct byte string of ``ORDER + 1`` bytes of that sample.
 
 Before that, texts are lower-cased and every run of ASCII characters other than letters is one space.
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, small_batches
+from .common import crc_mod, hash_bound, read, small_batches
 
 ORDER = 4
 MIN_COUNT = 24
@@ -150,18 +150,18 @@ class ContextTrees:
 
 
 def fit(train: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_docs: int = MAX_DOCS) -> ContextTrees | None:
-    """Trees from ``train`` (doc_id, text, lang); None if it has no usable row."""
+    """Trees from ``train`` (doc_id, text, lang); None if it has no usable row, ValueError if a language's sample has none."""
     small_batches(train.sparkSession)
-    rows = train.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().collect()  # a row a language
+    rows = train.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null").withColumn("at", F.xxhash64("doc_id", "text"))
+    sizes = rows.select("lang", "doc_id", "at").distinct().groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, max_docs / r["count"]) * 1_000_000))) for r in sizes))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    bound = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(hash_bound(r["count"], max_docs))) for r in sizes))
+    sample = rows.filter(F.col("at") <= bound).dropDuplicates(["lang", "doc_id", "at"])
     found = sample.select("lang", "text").mapInArrow(_count_task(order), "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n")).toArrow()
-    if not found.num_rows:
-        return None
     lang = np.array(found.column("lang").to_pylist())
+    if missing := {r["lang"] for r in sizes} - set(lang.tolist()):
+        raise ValueError(f"no training row was drawn of {sorted(missing)}; raise max_docs")
     string, n = found.column("string").to_numpy(), found.column("n").to_numpy()
     return ContextTrees({x: (string[lang == x], n[lang == x]) for x in sorted(set(lang.tolist()))}, order, min_count)
 

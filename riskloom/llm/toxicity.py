@@ -4,7 +4,8 @@ A word's vector is the mean of the vectors of its subwords (the word itself and
 of 3 to 5 characters, word ends marked), a document's the mean of its words' vectors (a word that
 stands there n times weighs 1 + ln n), and a linear softmax on it gives the two classes. Vectors and
 softmax are trained together (numpy, full-batch Adam, a penalty that keeps idle subwords at zero) on a
-bounded sample: at most about ``MAX_DOCS`` documents of each class, chosen by a hash of the doc_id. Since a misspelt word shares most n-grams with the word it was made from, it lands near it.
+bounded sample: at most about ``MAX_DOCS`` documents of each class, chosen by a hash of doc_id and text (a
+doc_id with the same text on several rows counts once). Since a misspelt word shares most n-grams with the word it was made from, it lands near it.
 
 Scoring needs one number a subword bucket: its vector times the difference of the two class vectors.
 Every whole text is scored in its task, words in a bounded cache.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, small_batches, small_side
+from .common import crc_mod, hash_bound, read, small_batches, small_side, stage
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -141,14 +142,18 @@ def _count_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ValueError if the sample of a class that has rows has none."""
     small_batches(docs.sparkSession)
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.coalesce(*(F.when(F.col("toxic") == k, F.lit(int(min(1.0, max_docs / max(1, sizes.get(k, 0))) * 1_000_000))) for k in (0, 1)))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = (docs.select("doc_id", "text").filter("text is not null").join(small_side(sample, 2 * max_docs, 32), "doc_id")
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").distinct()
+    texts = docs.select("doc_id", "text").filter("text is not null").withColumn("at", F.xxhash64("doc_id", "text"))
+    labelled = stage(texts.select("doc_id", "at").join(known, "doc_id").select("toxic", "doc_id", "at").distinct(), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    bound = F.coalesce(*(F.when(F.col("toxic") == k, F.lit(hash_bound(sizes.get(k, 0), max_docs))) for k in (0, 1)))
+    sample = labelled.filter(F.col("at") <= bound)
+    rows = (texts.join(small_side(sample, 2 * max_docs, 32), ["doc_id", "at"]).dropDuplicates(["toxic", "doc_id", "at"])
             .select("toxic", "text").mapInArrow(_count_task, "toxic int, words array<string>, counts array<double>").toArrow())
+    if missing := set(sizes) - set(rows.column("toxic").to_pylist()):
+        raise ValueError(f"no training row was drawn of class {sorted(missing)}; raise max_docs")
     found = sorted(((t, dict(zip(w, n))) for t, w, n in zip(*(rows.column(c).to_pylist() for c in ("toxic", "words", "counts")))),
                    key=lambda x: (x[0], sorted(x[1].items())))  # the same order whatever order the tasks end in
     return train([d for _, d in found], np.array([t for t, _ in found]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from llm_cases import EDGES, documents
 
 from riskloom.llm import ann, html_text, langid, mixing, pii, toxicity, warc
-from riskloom.llm.common import read
+from riskloom.llm.common import hash_bound, read
 
 # --- nearest neighbours
 
@@ -336,6 +336,40 @@ def test_language_edges_and_accuracy(spark):
     assert langid.identify(documents(spark, []), trees).count() == 0
 
 
+# --- both samples
+
+
+def hot_documents(spark):
+    """One doc_id on a third of the rows, each with another text, and once more with one text on 300 rows."""
+    rows = [(7 if k % 3 == 0 else 1000 + k, f"{'hot' if k % 3 == 0 else 'cold'} words of text number {k}") for k in range(1200)]
+    return documents(spark, rows + [(8, "same words of text")] * 300)
+
+
+def test_sample_of_a_hot_doc_id(spark, monkeypatch):
+    docs, drawn = hot_documents(spark), []
+    monkeypatch.setattr(toxicity, "train", lambda found, labels: drawn.extend(zip(labels.tolist(), found)))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") == 1001, 1).otherwise(0).alias("toxic"))
+    toxicity.fit(docs, labels, max_docs=60)
+    assert [t for t, _ in drawn].count(1) == 1
+    assert sum("same" in d for _, d in drawn) <= 1
+    assert 30 <= len(drawn) <= 100 and 5 <= sum("hot" in d for _, d in drawn) <= 45
+    monkeypatch.setattr(langid, "ContextTrees", lambda counts, *a: {k: int(n[s == int.from_bytes(b"text ", "big")].sum()) for k, (s, n) in counts.items()})
+    train = docs.drop("lang").withColumn("lang", F.when(F.col("doc_id").isin(7, 8), "hot").otherwise("cold"))
+    found = langid.fit(train, max_docs=60)
+    assert set(found) == {"hot", "cold"} and all(30 <= n <= 100 for n in found.values())
+
+
+def test_small_shares_keep_rows_or_raise(spark):
+    assert [hash_bound(n, 1000) for n in (0, 1000)] == [(1 << 63) - 1] * 2
+    for n in (10**6, 10**10, 10**15):
+        assert abs((hash_bound(n, 1000) + (1 << 63) + 1) * n / (1 << 64) - 1000) < 1
+    docs = hot_documents(spark).drop("lang").withColumn("lang", F.lit("xx"))
+    with pytest.raises(ValueError):
+        langid.fit(docs, max_docs=1e-9)
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), max_docs=1e-9)
+
+
 # --- toxicity
 
 
