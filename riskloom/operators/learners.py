@@ -343,7 +343,7 @@ class MetaModel:
         return d.agg(*aggs).selectExpr(f"stack({len(FEATURE_COLS)}, {args}) AS (feature, mean_abs_contribution)")
 
     def tree_attribution(self, scores: DataFrame) -> DataFrame:
-        """L20 (chosen model): exact Shapley values over all 2^8 coalitions.
+        """L20 (chosen model): single-baseline Shapley values over all 2^8 coalitions.
 
         The baseline is the explained frame's mean row, so every row has its part in it. Each
         row is expanded by a generator (no join) over the 256 coalition masks; one ``transform``

@@ -110,7 +110,7 @@ def q_l20(spark, sf_dir):
 
 @register("L20b_tree_attribution")
 def q_l20b(spark, sf_dir):
-    """L20 (trees): exact Shapley over all 2^8 coalitions x a 16-row background, val rows."""
+    """L20 (trees): single-baseline Shapley over all 2^8 coalitions, the mean row as baseline, val rows."""
     t = trained(spark, sf_dir)
     return t["meta"].tree_attribution(t["scores"]["val"])
 
