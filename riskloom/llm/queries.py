@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, html_text, langid, linededup, minhash, mixing, pii, toxicity, warc
+from . import ann, decontam, html_text, langid, linededup, merkle, minhash, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op4_warc": warc.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_minhash": minhash.OP9_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
