@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, html_text, langid, linededup, merkle, minhash, mixing, pii, toxicity, warc
+from . import ann, decontam, html_text, langid, lexical, linededup, merkle, minhash, mixing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
     "op11_merkle": merkle.op11_merkle,
+    "op12_quality": quality.op12_quality,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 SQL = {
@@ -26,4 +28,5 @@ SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_minhash": minhash.OP9_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op13_lexical": lexical.OP13_SQL,
 }

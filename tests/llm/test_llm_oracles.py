@@ -19,6 +19,6 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 def test_all_queries_are_registered():
     from __spark_entry__ import oracle_sql, queries
 
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 12))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(SQL) <= set(oracle_sql())
