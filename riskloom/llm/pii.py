@@ -132,8 +132,12 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, min_contexts: int =
     both = (near.select("term", "entity", "row").distinct().join(small_side(pairs, n_terms, size // n_terms), ["term", "entity"])
             .groupBy("term", "entity").agg(F.count("*").alias("n_both")))
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(small_side(pairs.select("term").distinct(), n_terms, size // n_terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # a term's documents are counted before they meet the pairs; a row that is there c times counts as one cth
+    copies = stage(rows.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    again = rows.join(small_side(copies, copies.count(), 24), "row", "left")
+    words = again.select("copies", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+    counts = words.groupBy("term", F.coalesce("copies", F.lit(1)).alias("copies")).agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_term"))
+    terms = counts.join(small_side(pairs.select("term").distinct(), n_terms, size // n_terms), "term", "left_semi")
     total = rows.select("row").distinct().count()
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     return (both.join(entities, "entity").join(terms, "term")
