@@ -2,13 +2,14 @@
 
 Each page is parsed into a tree in its task. Parts that are never article text (scripts, menus, page
 headers and footers, sidebars, forms of less than two thirds of the page, hidden elements, and blocks whose
-class, id or role names them as adverts, notices, comments and the like) are taken out. Every node then has its composite density, the characters per
+class, id or role as a whole names them as adverts, comments and the like, articles among them) are taken out;
+a notice, banner or disclaimer goes only if it is not denser than the threshold. Every node then has its composite density, the characters per
 tag of its subtree, adjusted for the share of characters and tags in links:
 
     C / T * log_b(C * T / (LC * LT)),  b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
-(C characters, T tags, LC and LT those in links, each at least 1). The node whose children's densities
-have the largest sum is the core. The smallest density on the path from the body to it is the
+(C characters, T tags, LC and LT those in links, each at least 1). The block whose child blocks' densities
+have the largest sum is the core (of equal ones the first). The smallest density on the path from the body to it is the
 threshold: every node above the threshold adds the subtree of largest sum within it, and the
 text is that of the smallest subtree that holds all these, or of the article, else main, element around
 that subtree and the articles beside it that are not mostly links. The density selects; the tags only widen
@@ -49,14 +50,17 @@ P_SCOPE = frozenset("article aside blockquote body dd details div figure footer
 NAMED = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo "
                   "cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination "
                   "popup promo promoted recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-
 REPLIES = frozenset("comment comments commentlist disqus replies respond hidden".split())
-NEGATED = frozenset("no not has with without".split())
+#: Names that a story's own sections may have: their blocks go only if their density is no higher than the threshold.
+DOUBTED = frozenset("banner complementary disclaimer notice notices notification".split())
+# Words that a name may be joined with and still be the name of the whole block (comment-list, promo_box).
+JOINED = frozenset("area article aside author bar block body bottom box col column container content el feed footer form group header holder inner item items left level link links list main meta "
+                   "module outer pane panel post posts right row section site slot strip text thread title top unit widget wrap wrapper".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>]+))?|/\s*(\Z)""")
 _NO_DISPLAY = re.compile(r"(?:\A|;)\s*display\s*:\s*none\b", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W_]+")
 
 
 class Tree:
@@ -149,13 +153,17 @@ def _self_closing(attrs: str) -> bool:
 
 
 def _named(attrs: str) -> set[str]:
-    """The words of NAMED in class, id and role, and ``hidden``; a class like ``no-sidebar`` names nothing."""
+    """The words of NAMED in class, id and role, and ``hidden``.
+
+    A name is a whole word, alone or joined with others that only say what kind of block it is: ``comments-area`` is
+    one, ``no-sidebar`` and ``share-price`` are none.
+    """
     found: set[str] = set()
     values = _attributes(attrs)
     for key in ("class", "id", "role"):
         for word in values.get(key, "").lower().split():
-            parts = set(_PART.findall(word))
-            if NEGATED.isdisjoint(parts):
+            parts = {p for p in _PART.findall(word) if not p.isdigit()}
+            if parts <= NAMED | JOINED:
                 found |= parts & NAMED
     if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(values.get("style", "")):
         found.add("hidden")
@@ -188,16 +196,29 @@ def main_text(page: str | None) -> str:
         p, t = parent[k], tag[k]
         inside[k] = inside[p] or t in ("article", "main")
         gone[k] = gone[p] or t in RAW or t in DROPPED or (t == "header" and not inside[p])
-    size = _sizes(tree, gone)
+    size, doubted = _sizes(tree, gone), []
     for k in range(1, n):
         gone[k] = gone[k] or gone[parent[k]]
-        if not gone[k] and not holds[k] and tree.attrs[k] and tag[k] not in ("html", "body", "article", "main"):
-            # without an article element, what holds most of the page is no advert, whatever it is called
+        if not gone[k] and tree.attrs[k] and tag[k] not in ("html", "body", "main"):
+            # what holds most of the page is no advert, whatever it is called, nor what holds the articles
             names = _named(tree.attrs[k])
-            gone[k] = bool(names & REPLIES) or bool(names) and (holds[0] or 3 * size[k] < 2 * size[0])
+            small, story = 3 * size[k] < 2 * size[0], holds[k] or tag[k] == "article"
+            if names & REPLIES or names - DOUBTED and (small or holds[0] and not story):
+                gone[k] = True
+            elif names and (small or holds[0] and not story):
+                doubted.append(k)
     size = _sizes(tree, gone)
     for k in range(1, n):  # a form around most of what is left is not one to fill in
         gone[k] = gone[k] or gone[parent[k]] or tag[k] == "form" and not holds[k] and 3 * size[k] < 2 * size[0]
+    found = _select(tree, gone, doubted)
+    if found is None and doubted:  # some of them are no text: without them
+        found = _select(tree, gone, [])
+    return found or ""
+
+
+def _select(tree: Tree, gone: list[bool], doubted: list[int]) -> str | None:
+    """The text that the densities select; None if blocks of ``doubted`` are not dense enough, which are then marked as gone."""
+    tag, parent, n = tree.tag, tree.parent, len(tree.tag)
     chars, tags, link_chars, link_tags, in_link = [0] * n, [1] * n, [0] * n, [0] * n, [False] * n
     for k in range(1, n):
         in_link[k] = in_link[parent[k]] or tag[k] == "a"
@@ -226,10 +247,11 @@ def main_text(page: str | None) -> str:
             c, lc, t = chars[k], max(1, link_chars[k]), tags[k]
             base = log(c / max(1, c - lc) * lc + link_share * c + e)
             density[k] = max(0.0, c / t * log(max(e, c * t / (lc * max(1, link_tags[k])))) / max(1e-9, log(max(base, 1 + 1e-9))))
-        if k and not gone[k]:
+        if k and not gone[k] and tag[k] in BLOCK:
             total[parent[k]] += density[k]
-    # the subtree of largest sum in every node (itself included; nodes without element children have their own density)
-    best = [(total[k] or density[k], -k) for k in range(n)]
+    # the subtree of largest sum in every node (itself included; without blocks in it a block has its own density);
+    # bold words, links and the like are text of the block they stand in, not nodes to select
+    best = [(total[k] or density[k] if tag[k] in BLOCK or not k else 0.0, -k) for k in range(n)]
     top = list(best)
     for k in range(n - 1, 0, -1):
         if not gone[k]:
@@ -239,9 +261,15 @@ def main_text(page: str | None) -> str:
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
     least = min(density[k] for k in path)
+    if thin := [k for k in doubted if not gone[k] and density[k] <= least]:
+        for k in thin:
+            gone[k] = True
+        for k in range(1, n):
+            gone[k] = gone[k] or gone[parent[k]]
+        return None
     wanted = {core}
     for k in range(body, n):
-        if not gone[k] and chars[k] and density[k] >= least:
+        if not gone[k] and chars[k] and density[k] >= least and (tag[k] in BLOCK or not k):
             wanted.add(-top[k][1])
     root = _smallest_around(wanted, parent)
     around = [root]

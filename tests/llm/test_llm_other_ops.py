@@ -247,6 +247,118 @@ def test_pages_are_their_articles(spark, sf_dir):
         assert r["main_text"] == " ".join(html.unescape(re.sub(r"<b>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", inner))).split())
 
 
+@pytest.mark.parametrize("name", ["related-work", "share-price", "notice-board", "search-strategy", "social-history", "comment-period", "respond-rates", "banner-ads-law", "login-shell", "overlay-network",
+                                  "disclaimer", "no-sidebar", "with_comments", "ad-hoc", "cookie-recipes", "menu-of-options"])
+@pytest.mark.parametrize("key", ["class", "id"])
+def test_sections_of_a_story_stay(name, key):
+    section = f'<section {key}="{name}"><p>A section of the story with a sentence of its own, which is as long as those around it are.</p></section>'
+    for main in ("<article>%s</article>", "<div>%s</div>"):
+        text = html_text.main_text(PAGE.replace("{main}", main % (STORY.replace("<p>And the last", section + "<p>And the last"))))
+        assert text == TEXT.replace("And the last", "A section of the story with a sentence of its own, which is as long as those around it are. And the last")
+
+
+REMARK = "<p>I have read this story twice now and must say that I do not agree with most of what it says.</p>"
+
+
+@pytest.mark.parametrize("where, part", [
+    ("after", f'<div id="comments"><ol><li><article class="comment-body">{REMARK}</article><li><article class="comment-body">{REMARK}</article></ol></div>'),
+    ("inside", f'<section class="comments"><article class="comment">{REMARK}</article></section>'), ("after", f'<article class="comment">{REMARK}</article><article class="comment">{REMARK}</article>'),
+    ("after", f'<div class="sidebar"><article class="teaser">{REMARK}</article></div>'), ("inside", f'<div class="promo-box"><article>{REMARK}</article></div>'),
+    ("after", f'<ol class="comment-list">{REMARK * 9}</ol>'), ("inside", '<div class="notice">Short notice.</div>'), ("inside", f'<div class="ad_slot-3">{REMARK}</div>')])
+def test_replies_and_sidebars_stay_out_with_their_articles(where, part):
+    story = STORY + part if where == "inside" else STORY
+    for main in ("<article>%s</article>", "<main><article>%s</article></main>"):
+        assert html_text.main_text(PAGE.replace("{main}", main % story + (part if where == "after" else ""))) == TEXT
+
+
+def plain_density(page):
+    """Composite text density of a well-formed page without anything to take out, by the definition."""
+    from html.parser import HTMLParser
+
+    nodes = [{"tag": "#", "up": None, "text": "", "kids": []}]
+
+    class Reader(HTMLParser):
+        at = 0
+
+        def handle_starttag(self, tag, attrs):
+            nodes.append({"tag": tag, "up": self.at, "text": "", "kids": []})
+            nodes[self.at]["kids"].append(len(nodes) - 1)
+            self.at = len(nodes) - 1
+
+        def handle_endtag(self, tag):
+            self.at = nodes[self.at]["up"]
+
+        def handle_data(self, data):
+            nodes[self.at]["text"] += " ".join(data.split())
+
+    Reader().feed(page)
+
+    def all_of(k, what):
+        return what(k) + sum(all_of(j, what) for j in nodes[k]["kids"])
+
+    def linked(k):
+        return k is not None and (nodes[k]["tag"] == "a" or linked(nodes[k]["up"]))
+
+    body = next(k for k, x in enumerate(nodes) if x["tag"] == "body")
+
+    def figures(k):
+        return (all_of(k, lambda j: len(nodes[j]["text"])), all_of(k, lambda j: 1), all_of(k, lambda j: len(nodes[j]["text"]) * linked(j)), all_of(k, lambda j: nodes[j]["tag"] == "a"))
+
+    share = figures(body)[2] / figures(body)[0]
+
+    def density(k):
+        c, t, lc, lt = figures(k)
+        if not c:
+            return 0
+        lc, lt = max(1, lc), max(1, lt)
+        return c / t * np.log(c * t / (lc * lt)) / np.log(np.log(c / max(1, c - lc) * lc + share * c + np.e))
+
+    total = {k: sum(density(j) for j in x["kids"]) or density(k) for k, x in enumerate(nodes) if x["tag"] not in ("a", "b")}
+    below = {k: [k, *(i for j in x["kids"] for i in [j, *below_of(nodes, j)])] for k, x in enumerate(nodes)}
+    core = max((k for k in below[body] if k in total), key=lambda k: (total[k], -k))
+    path = [core]
+    while path[-1] != body:
+        path.append(nodes[path[-1]]["up"])
+    least = min(density(k) for k in path)
+    wanted = {max((j for j in below[k] if j in total), key=lambda j: (total[j], -j)) for k in below[body] if k in total and density(k) >= least and figures(k)[0]} | {core}
+    root = max(k for k in below if wanted <= set(below[k]))
+    return " ".join(" ".join(nodes[k]["text"] for k in [root, *below_of(nodes, root)]).split())
+
+
+def below_of(nodes, k):
+    return [i for j in nodes[k]["kids"] for i in [j, *below_of(nodes, j)]]
+
+
+def test_density_against_the_definition():
+    rng = random.Random(12)
+
+    def words(n):
+        return " ".join(rng.choice(["alpha", "be", "gamma", "delta", "of", "epsilon"]) for _ in range(n))
+
+    def block(deep):
+        kind = rng.random()
+        if deep and kind < 0.45:
+            return f"<{(t := rng.choice(['div', 'section']))}>{''.join(block(deep - 1) for _ in range(rng.randint(1, 4)))}</{t}>"
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li><a>{words(rng.randint(1, 3))}</a></li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        return f"<p>{words(rng.randint(3, 60))}</p>"
+
+    for _ in range(400):
+        page = f"<html><body>{''.join(block(3) for _ in range(rng.randint(1, 4)))}</body></html>"
+        assert html_text.main_text(page) == plain_density(page), page
+
+
+def test_pages_without_their_tags_are_the_same(spark, sf_dir):
+    """Density alone gives every page's text: the article renamed to div."""
+    for r in read(spark, sf_dir, "pages").select("html").collect():
+        assert html_text.main_text(r["html"].replace("<article>", "<div>").replace("</article>", "</div>")) == html_text.main_text(r["html"])
+
+
+def test_clashing_main_text(spark):
+    rows = spark.createDataFrame([(1, "<p>a b</p>", 7), (1, "<p>a b</p>", 8)], "page_id long, html string, main_text int")
+    assert [(r["main_text"], r["page_id"]) for r in html_text.extract(rows).collect()] == [("a b", 1)] * 2
+
+
 def test_text_in_several_articles():
     """Density selects, not the tag: every article that holds some of the text is in."""
     parts = [f"<p>{w} paragraph that is about as long as the other one, with no link in it.</p><p>And {w} sentence after it, which is long enough to be text.</p>" for w in ("One", "Two", "Three")]
