@@ -67,6 +67,9 @@ def nearest_in_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.n
     qi, qs, qe, _ = quantise(q / qn[:, None])
     ci, cs, ce, cb = quantise(c / cn[:, None])
     out: dict[int, dict[int, float]] = {}
+    by_id = np.argsort(c_ids, kind="stable")  # ids may repeat: a k-th place of rows isn't one of ids
+    _, first_of = np.unique(c_ids[by_id], return_index=True)
+    ids = len(first_of)
     for at in range(0, len(q), 256):  # 256 rows of bounds at a time
         rows = slice(at, at + 256)
         rough = int8_products(qi[rows], ci) * qs[rows, None] * cs
@@ -74,9 +77,9 @@ def nearest_in_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.n
         bound = ce[None, :] + qe[rows, None] * cb[None, :] + ROUNDING
         own = q_ids[rows, None] == c_ids[None, :]
         low = np.where(own, -np.inf, rough - bound)
-        # ids may repeat among the candidates: then a k-th place of rows isn't one of ids
-        ids = len(np.unique(c_ids))
-        kth = np.partition(low, -k, axis=1)[:, -k] if ids == len(c_ids) and len(c_ids) >= k else np.full(low.shape[0], -np.inf)
+        if ids < len(c_ids):
+            low = np.maximum.reduceat(low[:, by_id], first_of, axis=1)
+        kth = np.partition(low, -k, axis=1)[:, -k] if ids >= k else np.full(low.shape[0], -np.inf)
         i, j = np.nonzero((rough + bound >= kth[:, None]) & ~own)
         for s in range(0, len(i), 1 << 16):  # survivors: exact, 65,536 pairs at a time
             a, b = i[s:s + (1 << 16)] + at, j[s:s + (1 << 16)]

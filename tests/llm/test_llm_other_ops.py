@@ -53,6 +53,28 @@ def test_bounds_hold():
         assert (np.abs(ann.int8_products(ai, bi) * s[:, None] * t - a @ b.T) <= be[None, :] + ae[:, None] * bb[None, :] + ann.ROUNDING).all()
 
 
+def test_a_repeated_id_leaves_the_bounds_at_work(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, c = rng.normal(size=(64, 32)), rng.normal(size=(4096, 32))
+    ids = np.arange(4096) + 10_000
+    seen = []
+    real = ann.dots
+    monkeypatch.setattr(ann, "dots", lambda a, b: seen.append(len(a)) or real(a, b))
+
+    def recomputed(c_ids):
+        seen.clear()
+        found = ann.nearest_in_tile(np.arange(64), q, c_ids, c, 5)
+        return sum(seen) - 64 - 4096, found
+
+    plain, _ = recomputed(ids)
+    twice, found = recomputed(np.where(ids == 10_007, 10_003, ids))
+    assert plain < 64 * 4096 / 50 and twice < 1.2 * plain + 64
+    cos = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
+    cos[:, 3] = np.maximum(cos[:, 3], cos[:, 7])
+    cos[:, 7] = -9
+    assert {(x, y) for x, y, _ in found} == {(x, 10_000 + y) for x in range(64) for y in np.argsort(-cos[x])[:5].tolist()}
+
+
 # --- WARC
 
 
