@@ -18,10 +18,12 @@ score is the share of class 1 among the labels (0 without labels).
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +46,24 @@ SPARSITY = 2e-6
 #: Added to a text's weight of words, so that one word of a very short text does not decide it.
 PRIOR_WORDS = 10
 CACHE_WORDS = 400_000
+#: The words' values of the last model that this Python worker scored with: the next task need not hash them again.
+_CACHES: dict[str, dict[str, float]] = {}
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
+#: 1 + ln n of small counts.
+_DAMPED = [0.0, *(1 + log(n) for n in range(1, 64))]
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of the word and its character n-grams; very long words are read in full."""
     marked = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    end = len(marked)
-    out = [xxhash.xxh32_intdigest(marked) % buckets]
-    for n in GRAMS:
-        out += [xxhash.xxh32_intdigest(marked[k:k + 4 * n]) % buckets for k in range(0, end - 4 * n + 1, 4)]
-    return out
+    end, digest = len(marked), xxhash.xxh32_intdigest
+    return [digest(marked) % buckets, *(digest(marked[k:k + 4 * n]) % buckets for n in GRAMS for k in range(0, end - 4 * n + 1, 4))]
 
 
 def word_weights(text: str | None) -> dict[str, float]:
     """The lower-cased words of the whole text, each with 1 + ln of its count."""
-    return {w: 1 + log(n) for w, n in Counter(_WORD.findall((text or "").lower())).items()}
+    return {w: _DAMPED[n] if n < len(_DAMPED) else 1 + log(n) for w, n in Counter(_WORD.findall((text or "").lower())).items()}
 
 
 @dataclass
@@ -163,24 +166,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every column of ``docs`` and ``score`` (replacing a column of that name)."""
     small_batches(docs.sparkSession)
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-
-        class Cache(dict):
-            def __missing__(self, word):
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                v = self[word] = model.word(word)
-                return v
-
-        cache = Cache()
+        if name not in _CACHES:
+            _CACHES.clear()
+            _CACHES[name] = {}
+        cache = _CACHES[name]
         for part in parts:
             logits = []
             for t in part.column("text"):
                 found = word_weights(t.as_py())
-                logits.append(model.bias + sum(cache[w] * n for w, n in found.items()) / (sum(found.values()) + PRIOR_WORDS))
+                if new := found.keys() - cache.keys():
+                    if len(cache) + len(new) > CACHE_WORDS:
+                        cache.clear()
+                        new = found.keys()
+                    for w in new:
+                        cache[w] = model.word(w)
+                logits.append(model.bias + sum(map(mul, map(cache.__getitem__, found), found.values())) / (sum(found.values()) + PRIOR_WORDS))
             p = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
 
