@@ -34,19 +34,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def grams(hashes: Column, n: int) -> Column:
-    """Hashes of the n-grams of an array of word hashes; n is part of the hash."""
-    def at(i: Column) -> Column:
-        return F.xxhash64(F.lit(n), *(F.get(hashes, i + k if k else i) for k in range(n)))
+def _pairs(df: DataFrame, name: str, left: str, right: str, ahead: int, of) -> DataFrame:
+    """Add ``name``: ``of`` each entry of ``left`` and the one of ``right`` that stands ``ahead`` places further."""
+    n = F.greatest(F.lit(0), F.least(F.size(left), F.size(right) - ahead))
+    return df.withColumn(name, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(ahead + 1), n), of))
 
-    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), at)).otherwise(F.array().cast("array<bigint>"))
 
+def add_grams(df: DataFrame, most: int = GRAM) -> DataFrame:
+    """Add g``most`` and the shorter ones it needs: hashes of the n-grams of the word hashes ``h``, put together from shorter ones."""
+    df = df.withColumn("g1", F.col("h"))
+    for n in _NEEDS[most]:
+        if f"g{n}" not in df.columns:
+            a, b = _MADE_OF[n]
+            df = _pairs(df, f"g{n}", f"g{a}", f"g{b}", a, lambda x, y: F.xxhash64(x, y))
+    return df
 
-def winnowed(gram_hashes: Column) -> Column:
-    """The distinct minima of the sliding windows."""
-    return F.when(F.size(gram_hashes) >= WINDOW, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(gram_hashes) - (WINDOW - 1)), lambda i: F.array_min(F.slice(gram_hashes, i, WINDOW))))
-    ).otherwise(F.array().cast("array<bigint>"))
+
+#: An n-gram is an a-gram and the b-gram behind it; the grams that one needs.
+_MADE_OF = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2)}
+_NEEDS = {1: (), 2: (2,), 3: (2, 3), 4: (2, 4), 5: (2, 4, 5), 6: (2, 4, 6)}
+
+
+def add_winnowed(df: DataFrame, gram_hashes: str, name: str) -> DataFrame:
+    """Add the distinct minima of the windows of ``WINDOW`` = 8 hashes: minima of two, of four, of eight."""
+    for k, (a, b) in enumerate(((gram_hashes, "_m2"), ("_m2", "_m4"), ("_m4", "_m8"))):
+        df = _pairs(df, b, a, a, 1 << k, lambda x, y: F.least(x, y))
+    return df.withColumn(name, F.array_distinct("_m8")).drop("_m2", "_m4", "_m8")
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -55,20 +68,31 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 def item_fingerprints(items: DataFrame) -> DataFrame:
     """item (row key), pos, gram, n (gram's words): where an item's looked-up grams stand."""
-    rows = items.filter(F.size("h") > 0).withColumn("g", grams(F.col("h"), GRAM))
-    long = (rows.filter(F.size("h") >= SPAN).withColumn("f", winnowed(F.col("g")))
-            .select("item", "f", F.posexplode("g").alias("pos", "gram")).filter(F.array_contains("f", F.col("gram")))
+    rows = items.filter(F.size("h") > 0)
+    long = (add_winnowed(add_grams(rows.filter(F.size("h") >= SPAN)), f"g{GRAM}", "f")
+            .select("item", "f", F.posexplode(f"g{GRAM}").alias("pos", "gram")).filter(F.array_contains("f", F.col("gram")))
             .select("item", "pos", "gram", F.lit(GRAM).alias("n")))
     short = rows.filter(F.size("h") < SPAN).withColumn("n", F.least(F.size("h"), F.lit(GRAM)))
-    first = F.coalesce(*(F.when(F.col("n") == n, F.get(grams(F.col("h"), n), F.lit(0))) for n in range(1, GRAM + 1)))
+    for n in range(1, GRAM + 1):
+        short = add_grams(short, n)
+    first = F.coalesce(*(F.when(F.col("n") == n, F.get(f"g{n}", F.lit(0))) for n in range(1, GRAM + 1)))
     return long.unionByName(short.select("item", F.lit(0).alias("pos"), first.alias("gram"), "n"))
 
 
+#: Up to so many grams of items under 13 words are picked out of each document's grams at once.
+PICKED_GRAMS = 1000
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, tag (hash of the text), item_id, start, length: every occurrence of an item's window.
 
     docs: doc_id, text. benchmark: item_id, text.
     """
+    return _find(docs, benchmark)[0]
+
+
+def _find(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows as above, doc_id, tag and n_words of every row of ``docs``)."""
     items = stage(_hashed(benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text"))
                   .withColumn("item", F.struct("item_id", F.xxhash64("text").alias("tag"))).filter(F.size("w") > 0)
                   .select("item", "w", "h").distinct(), "items")
@@ -80,21 +104,28 @@ def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if fits else df
 
-    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).filter("text is not null")
-    hashed = _hashed(tagged).withColumn("g", grams(F.col("h"), GRAM))
-    looked_up = [winnowed(F.col("g")), *(grams(F.col("h"), n) if n < GRAM else F.col("g") for n in sorted(shorter))]
-    looked_up = F.array_distinct(F.concat(*looked_up)) if len(looked_up) > 1 else looked_up[0]
-    sketch = hashed.select("doc_id", "tag", F.explode(looked_up).alias("gram"))
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    hashed = _hashed(tagged)
+    for n in sorted({GRAM, *shorter}, reverse=True):
+        hashed = add_grams(hashed, n)
+    hashed, looked_up = add_winnowed(hashed, f"g{GRAM}", "f"), ["f"]
+    for n in sorted(shorter):  # of short items any place of a document may be the window: all its grams are compared
+        own = prints.join(items, "item").filter((F.size("w") < SPAN) & (F.col("n") == n)).select("gram").distinct()
+        few = [r["gram"] for r in own.limit(PICKED_GRAMS + 1).collect()]
+        looked_up.append(F.array_intersect(f"g{n}", F.array(*map(F.lit, few)).cast("array<bigint>")) if len(few) <= PICKED_GRAMS else F.col(f"g{n}"))
+    # what is written is the winnowed sketch and the words' number: the texts are not read again for either
+    sketches = stage(hashed.select("doc_id", "tag", F.size("w").cast("long").alias("n_words"), F.array_distinct(F.concat(*looked_up)).alias("f") if len(looked_up) > 1 else F.col("f")), "sketches")
+    sketch = sketches.select("doc_id", "tag", F.explode("f").alias("gram"))
     known = prints.select("gram").distinct()
     candidates = stage(sketch.join(side(known), "gram", "left_semi").select("doc_id", "tag").distinct(), "candidates")
     n = candidates.count()
     few = F.broadcast(candidates) if n * 48 <= BROADCAST_BYTES else candidates
-    kept = stage(_hashed(tagged.join(few, tagged["doc_id"].eqNullSafe(few["doc_id"]) & (tagged["tag"] == few["tag"]), "left_semi").distinct())
+    kept = stage(_hashed(tagged.filter("text is not null").join(few, tagged["doc_id"].eqNullSafe(few["doc_id"]) & (tagged["tag"] == few["tag"]), "left_semi").distinct())
                  .select("doc_id", "tag", "w", "h"), "candidate_words")
 
     hits = None
     for n in sorted({GRAM, *shorter}):
-        at = (kept.withColumn("g", grams(F.col("h"), n)).select("doc_id", "tag", F.posexplode("g").alias("at", "gram"))
+        at = (add_grams(kept, n).select("doc_id", "tag", F.posexplode(f"g{n}").alias("at", "gram"))
               .join(side(prints.filter(F.col("n") == n)), "gram").select("doc_id", "tag", "item", (F.col("at") - F.col("pos")).alias("shift")))
         hits = at if hits is None else hits.unionByName(at)
     hits = stage(hits.distinct(), "diagonals")
@@ -109,8 +140,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                        F.slice("dw", F.col("shift") + F.col("low") + 1, F.col("high") - F.col("low")).alias("dw")))
     same = F.zip_with("iw", "dw", lambda x, y: x == y)
     starts = F.filter(F.sequence(F.lit(1), F.size("same") - F.col("length") + 1), lambda i: F.forall(F.slice("same", i, F.col("length")), lambda x: x))
-    return (aligned.withColumn("same", same).select("doc_id", "tag", "item", "length", F.explode(starts).alias("i"), "shift", "low")
-            .select("doc_id", "tag", F.col("item.item_id").alias("item_id"), (F.col("shift") + F.col("low") + F.col("i") - 1).alias("start"), "length"))
+    windows = (aligned.withColumn("same", same).select("doc_id", "tag", "item", "length", F.explode(starts).alias("i"), "shift", "low")
+               .select("doc_id", "tag", F.col("item.item_id").alias("item_id"), (F.col("shift") + F.col("low") + F.col("i") - 1).alias("start"), "length"))
+    return windows, sketches.select("doc_id", "tag", "n_words")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
@@ -119,14 +151,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     items: the item_ids with occurring windows as a sorted array of strings. contaminated: at least one
     word is hit, and one in ``share`` words or more.
     """
-    found = stage(find_windows(docs, benchmark), "windows")
+    found, rows = _find(docs, benchmark)
+    found = stage(found, "windows")
     spots = (found.select("doc_id", "tag", F.explode(F.expr("sequence(start, start + length - 1)")).alias("at")).distinct()
              .groupBy("doc_id", "tag").agg(F.count("*").alias("n_hit")))
     items = (found.select("doc_id", "tag", "item_id").distinct().groupBy("doc_id", "tag")
              .agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("items")))
     hit = stage(spots.withColumnsRenamed({"doc_id": "d", "tag": "t"}).join(items, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")))
                 .select("d", "t", "n_hit", "n_items", "items"), "hit_documents")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     return (rows.join(hit, rows["doc_id"].eqNullSafe(hit["d"]) & (rows["tag"] == hit["t"]), "left")
             .select("doc_id", "tag", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"))
