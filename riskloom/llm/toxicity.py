@@ -45,7 +45,7 @@ RATES = (1.0, 0.005, 0.02)
 SPARSITY = 2e-6
 #: Added to a text's weight of words, so that one word of a very short text does not decide it.
 PRIOR_WORDS = 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: The words' values of the last model that this Python worker scored with: the next task need not hash them again.
 _CACHES: dict[str, dict[str, float]] = {}
 THRESHOLD = 0.7
@@ -178,10 +178,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             logits = []
             for t in part.column("text"):
                 found = word_weights(t.as_py())
-                if new := found.keys() - cache.keys():
+                if new := [w for w in found if w not in cache]:
                     if len(cache) + len(new) > CACHE_WORDS:
                         cache.clear()
-                        new = found.keys()
+                        new = list(found)
                     for w in new:
                         cache[w] = model.word(w)
                 logits.append(model.bias + sum(map(mul, map(cache.__getitem__, found), found.values())) / (sum(found.values()) + PRIOR_WORDS))

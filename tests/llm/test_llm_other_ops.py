@@ -533,3 +533,39 @@ def test_toxicity_learns_subwords(spark):
     one = toxicity.fit(documents(spark, rows), labels.filter("toxic = 1"))
     assert all(r["score"] > 0.99 for r in toxicity.score(documents(spark, EDGES), one).collect())
     assert toxicity.score(documents(spark, []), toxicity.fit(documents(spark, []), labels)).count() == 0
+
+
+# --- clashing names, and sides too large to broadcast
+
+
+def test_clashing_result_columns(spark):
+    rows = spark.createDataFrame([(1, "mail a@b.org now", "x", 3, 0.5)], "doc_id long, text string, spans string, sanitised int, lang_pred double")
+    got = pii.sanitise(rows.drop("lang_pred")).first()
+    assert got["sanitised"] == "mail [EMAIL] now" and [s["kind"] for s in got["spans"]] == ["email"]
+    train = spark.createDataFrame([(k, "le la les des une " * 9 if k % 2 else "the and of with that " * 9, "fr" if k % 2 else "en", "s", 0) for k in range(40)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    found = langid.identify(rows.drop("spans", "sanitised"), langid.fit(train)).first()
+    assert found["lang_pred"] in ("fr", "en") and found["doc_id"] == 1
+
+
+def test_sides_too_large_to_broadcast(spark, monkeypatch, tmp_path):
+    from riskloom.llm import common, minhash
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(50)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(60)]
+    rows = [(k, texts[k % 60] if k % 3 else texts[k % 60] + " end") for k in range(150)] + [(None, texts[0]), (7, None)]
+    docs = documents(spark, rows)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+
+    def results(path):
+        archive = warc.read_warc(warc.write_warc(pages, str(tmp_path / path))).filter("last").select("page_id", "bytes_so_far", "digest_so_far", "record_type", "refers_to")
+        model = toxicity.fit(docs, labels)
+        return [sorted(map(str, x.collect())) for x in (mixing.taken_words(docs, block_words=32), archive, toxicity.score(docs.select("doc_id", "text"), model), minhash.one_of_each(docs.select("doc_id", "text"), n=2, threshold=(80, 100)))]
+
+    broadcast = results("a")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    for module in (mixing, warc, toxicity, minhash):
+        if hasattr(module, "BROADCAST_BYTES"):
+            monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert results("b") == broadcast
