@@ -22,12 +22,12 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from math import log
 from operator import mul
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +46,49 @@ SPARSITY = 2e-6
 #: Added to a text's weight of words, so that one word of a very short text does not decide it.
 PRIOR_WORDS = 10
 CACHE_WORDS = 200_000
+HASHED_CHARS = 1 << 18
 #: The words' values of the last model that this Python worker scored with: the next task need not hash them again.
 _CACHES: dict[str, dict[str, float]] = {}
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
+#: The base of the words' hash polynomials: any odd number with many bits.
+_FACTOR = 0x5851F42D4C957F2D
 #: 1 + ln n of small counts.
 _DAMPED = [0.0, *(1 + log(n) for n in range(1, 64))]
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the word and its character n-grams; very long words are read in full."""
-    marked = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    end, digest = len(marked), xxhash.xxh32_intdigest
-    return [digest(marked) % buckets, *(digest(marked[k:k + 4 * n]) % buckets for n in GRAMS for k in range(0, end - 4 * n + 1, 4))]
+def _mixed(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of 64-bit numbers, all bits of them mixed."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, bucket) of every word and all its character n-grams; very long words are read in full.
+
+    All words are hashed at once: a polynomial in their code points, word ends marked, for each n.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    starts = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(code)) - starts[word]
+    left = sizes[word] - at  # characters from here to the word's end
+    power = np.cumprod(np.full(max(int(sizes.max()), max(GRAMS)), _FACTOR, np.uint64))
+    rows, ids = [np.arange(len(words))], [_mixed(np.add.reduceat(code * power[at], starts), buckets)]
+    for n in GRAMS:
+        if len(code) < n:
+            continue
+        inside = np.flatnonzero(left[:len(code) - n + 1] >= n)
+        h = np.full(len(inside), np.uint64(n) << np.uint64(57))
+        for k in range(n):
+            h += code[inside + k] * power[k]
+        rows.append(word[inside])
+        ids.append(_mixed(h, buckets))
+    return np.concatenate(rows), np.concatenate(ids)
 
 
 def word_weights(text: str | None) -> dict[str, float]:
@@ -71,8 +101,20 @@ class Model:
     weights: np.ndarray  # a number a bucket
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.weights[subwords(word, len(self.weights))].mean())
+    def words(self, words: list[str]) -> list[float]:
+        """Each word's value: the mean of its subwords' weights; HASHED_CHARS characters (or one word) are hashed at a time."""
+        out: list[float] = []
+        while len(out) < len(words):
+            some = list(islice(words, len(out), len(out) + 1))
+            size = len(some[0])
+            for w in islice(words, len(out) + 1, None):
+                size += len(w) + 2
+                if size > HASHED_CHARS:
+                    break
+                some.append(w)
+            row, bucket = subwords(some, len(self.weights))
+            out += (np.bincount(row, self.weights[bucket], len(some)) / np.bincount(row, minlength=len(some))).tolist()
+        return out
 
 
 class Sparse:
@@ -103,15 +145,11 @@ def train(docs: list[dict[str, float]], labels: np.ndarray, steps: int = STEPS,
         for w, n in d.items():
             if w in vocab:
                 d_row.append(k), d_col.append(vocab[w]), d_val.append(n / (total + PRIOR_WORDS))
-    s_row, s_col, s_val = [], [], []
-    for w, k in vocab.items():
-        ids = subwords(w)
-        s_row += [k] * len(ids)
-        s_col += ids
-        s_val += [1 / len(ids)] * len(ids)
+    s_row, s_col = subwords(list(vocab))
+    s_val = 1 / np.bincount(s_row, minlength=len(vocab))[s_row]
     used, s_col = np.unique(s_col, return_inverse=True)
     n_docs, n_words, n_used = len(docs), len(vocab), len(used)
-    d_row, d_col, d_val, s_row, s_val = (np.array(x) for x in (d_row, d_col, d_val, s_row, s_val))
+    d_row, d_col, d_val = (np.array(x) for x in (d_row, d_col, d_val))
     doc_word, word_doc = Sparse(d_row, d_col, d_val, (n_docs, n_words)), Sparse(d_col, d_row, d_val, (n_words, n_docs))
     word_sub, sub_word = Sparse(s_row, s_col, s_val, (n_words, n_used)), Sparse(s_col, s_row, s_val, (n_used, n_words))
     rng = np.random.default_rng(seed)
@@ -175,16 +213,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             _CACHES[name] = {}
         cache = _CACHES[name]
         for part in parts:
-            logits = []
-            for t in part.column("text"):
-                found = word_weights(t.as_py())
-                if new := [w for w in found if w not in cache]:
-                    if len(cache) + len(new) > CACHE_WORDS:
-                        cache.clear()
-                        new = list(found)
-                    for w in new:
-                        cache[w] = model.word(w)
-                logits.append(model.bias + sum(map(mul, map(cache.__getitem__, found), found.values())) / (sum(found.values()) + PRIOR_WORDS))
+            texts = [word_weights(t.as_py()) for t in part.column("text")]
+            new = list({w for found in texts for w in found if w not in cache})
+            values = dict(zip(new, model.words(new)))
+            # the first words of a corpus are its frequent ones: once the cache is full it stays as it is
+            cache.update(islice(values.items(), max(0, CACHE_WORDS - len(cache))))
+            value = (cache if len(cache) < CACHE_WORDS else cache | values).__getitem__
+            logits = [model.bias + sum(map(mul, map(value, found), found.values())) / (sum(found.values()) + PRIOR_WORDS) for found in texts]
             p = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
 

@@ -507,6 +507,22 @@ def test_small_shares_keep_rows_or_raise(spark):
 # --- toxicity
 
 
+def test_words_are_hashed_alone_as_in_company(monkeypatch):
+    words = ["a", "grumpf", "grumpfed", "Ünï😀", "x" * 5000, "", "fed"]
+    row, bucket = toxicity.subwords(words)
+    for k, w in enumerate(words):
+        alone = toxicity.subwords([w])[1]
+        marked = f"<{w}>"
+        assert np.array_equal(np.sort(bucket[row == k]), np.sort(alone)) and len(alone) == 1 + sum(max(0, len(marked) - n + 1) for n in toxicity.GRAMS)
+    shared = set(bucket[row == 1]) & set(bucket[row == 2])
+    assert len(shared) >= 10 and len(set(bucket.tolist())) > 50
+    model = toxicity.Model(np.random.default_rng(0).normal(size=toxicity.BUCKETS), 0.0)
+    want = [model.weights[toxicity.subwords([w])[1]].mean() for w in words]
+    assert np.allclose(model.words(words), want)
+    monkeypatch.setattr(toxicity, "HASHED_CHARS", 9)
+    assert np.allclose(model.words(words), want) and model.words([]) == []
+
+
 def test_toxicity_learns_subwords(spark):
     rng = random.Random(2)
     syllables = ["ba", "do", "ki", "lu", "mer", "ta", "no", "vi", "sa", "re"]
