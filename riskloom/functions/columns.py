@@ -60,22 +60,9 @@ def row_sample_std(cols: Iterable[str | Column]) -> Column:
 APPROX_ACCURACY = 100_000
 
 
-def quantile_expr(c: str | Column, probs, spark=None, approx: bool | None = None) -> Column:
-    """Linear-interpolated quantile(s) of ``c`` (= pandas / DuckDB ``quantile_cont``).
-
-    Only a caller that passes ``approx=True`` gets ``percentile_approx``; no setting does.
-    """
-    x = col_of(c)
-    many = isinstance(probs, (list, tuple))
-    if approx:
-        return F.percentile_approx(x, list(probs) if many else probs, APPROX_ACCURACY)
-    if many:
-        return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-    return F.percentile(x, F.lit(float(probs)))
-
-
-def median_expr(c: str | Column, spark=None, approx: bool | None = None) -> Column:
-    return quantile_expr(c, 0.5, spark, approx)
+def approx_quantiles(c: str | Column, probs) -> Column:
+    """Sketched quantiles, for callers that ask for them; ``operators.quantiles`` has the exact ones."""
+    return F.percentile_approx(col_of(c), list(probs), APPROX_ACCURACY)
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:

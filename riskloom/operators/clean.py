@@ -1,11 +1,12 @@
 """Fit-on-train / apply-everywhere preprocessing (C1-C13) as a Spark ML Estimator/Model.
 
 Fit runs a handful of small aggregate jobs (mode, correlation, minima, category
-sets, medians) over the de-duplicated train frame -- each returns O(columns) values
-to the driver -- and freezes them in a JSON-serialisable state. ``transform`` is a
-pure projection over that state plus, where the reference recomputes a statistic per
-split (T5 mode, C3 median), a one-row aggregate joined by broadcast. No step shuffles
-the data except the train-only de-duplication.
+counts, medians) over the de-duplicated train frame -- each returns O(columns) values
+to the driver -- and freezes them in a JSON-serialisable state. What the reference
+recomputes per split (T5 mode, C3 median, C8 modes) is a ``SplitStatistics``: computed once a split
+by grouped counts and exact quantiles, then an explicit input of ``apply``, which is a
+projection without aggregates or joins. No step shuffles whole rows except the
+train-only de-duplication, and that one only rows whose digest occurs again.
 
 Reference quirks reproduced by default (SURVEY §0.1): T3 dedup after split, T5 mode
 per split, T6 medians kept only when train had NULLs, T7 log of a value below the
@@ -22,8 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clip, map_values, median_expr, safe_corr, safe_div
+from ..functions.columns import clip, map_values, safe_corr, safe_div
+from ..session import staged
 from ..sources.contract import ID_COL, LABEL_COL
+from .duplicates import distinct_rows
+from .quantiles import grouped_modes, medians
 
 # Ordinal education map (T2: unmapped or NULL -> 2), money columns that
 # are log-transformed, and the one-hot columns, in the reference's order.
@@ -39,6 +43,8 @@ ONE_HOT_COLS = ["business_zone", "industry_lifecycle_stage", "collateral_type"]
 DEBT_COL = "debt_burden_ratio"
 DEBT_CAP = 3.0
 DEBT_CORR_MIN = 0.3
+#: A one-hot column with more values than this is refused: each value becomes a column.
+MAX_CATEGORIES = 1000
 PASSTHROUGH = (ID_COL, LABEL_COL)
 NON_FEATURE = ("clone_ord", "split")
 
@@ -46,19 +52,21 @@ NON_FEATURE = ("clone_ord", "split")
 # --------------------------------------------------------------------------- steps
 def fix_collateral_type(df: DataFrame, mode_value: str | None = None) -> DataFrame:
     """has_collateral = 0 and NULL type -> 'None'; remaining NULLs -> the mode of this
-    frame (ties -> smallest), or ``mode_value`` when given (leak-free variant)."""
+    frame (ties -> smallest), or ``mode_value`` when given."""
     if "collateral_type" not in df.columns:
         return df
+    out = _without_collateral(df)
+    if mode_value is None:
+        mode_value = grouped_modes(out, ["collateral_type"])["collateral_type"]
+    return out.withColumn("collateral_type", F.coalesce(F.col("collateral_type"), F.lit(mode_value)))
+
+
+def _without_collateral(df: DataFrame) -> DataFrame:
+    """C2, first half: no collateral and no type is the type 'None'."""
+    if "collateral_type" not in df.columns or "has_collateral" not in df.columns:
+        return df
     c = F.col("collateral_type")
-    if "has_collateral" in df.columns:
-        c = F.when((F.col("has_collateral") == 0) & c.isNull(), F.lit("None")).otherwise(c)
-    out = df.withColumn("collateral_type", c)
-    if mode_value is not None:
-        return out.withColumn("collateral_type", F.coalesce(F.col("collateral_type"), F.lit(mode_value)))
-    mode = out.agg(F.mode("collateral_type", deterministic=True).alias("_ct_mode"))
-    return (out.crossJoin(F.broadcast(mode))
-            .withColumn("collateral_type", F.coalesce(F.col("collateral_type"), F.col("_ct_mode")))
-            .drop("_ct_mode"))
+    return df.withColumn("collateral_type", F.when((F.col("has_collateral") == 0) & c.isNull(), F.lit("None")).otherwise(c))
 
 
 def debt_recalc_expr() -> Column:
@@ -76,7 +84,7 @@ def debt_burden_diagnostics(df: DataFrame) -> DataFrame:
 
 def apply_debt_strategy(df: DataFrame, strategy: str | None, median: float | None = None) -> DataFrame:
     """C3 apply: 'drop' removes the column; 'recalc' recomputes it and fills NULLs with
-    this frame's median (reference) or a frozen ``median`` (streaming / leak-free)."""
+    this frame's median, or ``median`` when given."""
     if DEBT_COL not in df.columns or strategy is None:
         return df
     if strategy == "drop":
@@ -84,11 +92,9 @@ def apply_debt_strategy(df: DataFrame, strategy: str | None, median: float | Non
     if "avg_monthly_deposits" not in df.columns:
         return df
     out = df.withColumn(DEBT_COL, debt_recalc_expr())
-    if median is not None:
-        return out.withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.lit(float(median))))
-    med = out.agg(median_expr(DEBT_COL, out.sparkSession).alias("_dbr_med"))
-    return (out.crossJoin(F.broadcast(med))
-            .withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.col("_dbr_med"))).drop("_dbr_med"))
+    if median is None:
+        median = medians(out, {DEBT_COL: F.col(DEBT_COL)})[DEBT_COL]
+    return out.withColumn(DEBT_COL, F.coalesce(F.col(DEBT_COL), F.lit(median).cast("double")))
 
 
 def education_ordinal(col: str = "owner_education") -> Column:
@@ -145,25 +151,33 @@ class PreprocessorState:
         return cls(**json.loads(text))
 
 
+@dataclass(frozen=True)
+class SplitStatistics:
+    """What scoring takes from the frame it scores: C2's mode, C3's median (recalc) and C8's modes."""
+
+    collateral_mode: str | None = None
+    debt_median: float | None = None
+    string_modes: dict = field(default_factory=dict)
+
+
 class Preprocessor(Estimator):
     """Fit order C1 -> label split -> C2 -> C3 -> C4/C5 -> C6 -> C7/C8."""
 
-    def __init__(self, fit_mode: bool = False, always_medians: bool = False, approx_medians: bool = False):
+    def __init__(self, fit_mode: bool = False, always_medians: bool = False):
         super().__init__()
         self.fit_mode = fit_mode
         self.always_medians = always_medians
-        self.approx_medians = approx_medians
 
     def _fit(self, dataset: DataFrame) -> "PreprocessorModel":
         drop = [c for c in NON_FEATURE if c in dataset.columns]
-        train = dataset.drop(*drop).dropDuplicates()                      # C1 (T3)
-        train = train.persist()
+        train = staged(distinct_rows(dataset.drop(*drop)), "distinct_train")   # C1 (T3)
         st = PreprocessorState()
         features = [c for c in train.columns if c not in PASSTHROUGH]
 
-        x = fix_collateral_type(train)                                     # C2
-        if "collateral_type" in x.columns:   # kept for frozen (streaming / leak-free) use
-            st.collateral_mode = x.agg(F.mode("collateral_type", deterministic=True)).first()[0]
+        x = train                                                          # C2
+        if "collateral_type" in x.columns:
+            st.collateral_mode = grouped_modes(_without_collateral(x), ["collateral_type"])["collateral_type"]
+            x = fix_collateral_type(x, st.collateral_mode)
 
         if DEBT_COL in features:                                           # C3
             if "total_outstanding_debt" in features and "avg_monthly_deposits" in features:
@@ -173,17 +187,22 @@ class Preprocessor(Estimator):
                 st.debt_strategy = "recalc" if ok else "drop"
             else:
                 st.debt_strategy = "drop"
-        x = apply_debt_strategy(x, st.debt_strategy)
-        if st.debt_strategy == "recalc" and DEBT_COL in x.columns:
-            st.debt_median = x.agg(median_expr(DEBT_COL, x.sparkSession,
-                                               True if self.approx_medians else None)).first()[0]
+        if st.debt_strategy == "recalc":
+            st.debt_median = medians(x, {DEBT_COL: debt_recalc_expr()})[DEBT_COL]
+        x = apply_debt_strategy(x, st.debt_strategy, st.debt_median)
 
         if "owner_education" in x.columns:                                 # C4
             x = x.withColumn("owner_education", education_ordinal())
         present = [c for c in ONE_HOT_COLS if c in x.columns]              # C5
         if present:
-            vals = x.select(*present).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in present]).first()
-            st.categories = {c: list(vals[c]) for c in present}
+            st.categories = {c: [] for c in present}
+            pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in present))).alias("p")
+            kinds = x.select(pairs).select("p.*").filter("v is not null").groupBy("c", "v").count()
+            many = kinds.groupBy("c").count().filter(F.col("count") > MAX_CATEGORIES).select("c").collect()
+            if many:
+                raise ValueError(f"more than {MAX_CATEGORIES} categories in {sorted(r['c'] for r in many)}")
+            for r in kinds.orderBy("c", "v").select("c", "v").collect():   # bounded by MAX_CATEGORIES
+                st.categories[r["c"]].append(r["v"])
         x = one_hot(x, st.categories)
 
         money = [c for c in LOG_TRANSFORM_COLS if c in x.columns]          # C6
@@ -199,37 +218,52 @@ class Preprocessor(Estimator):
         st.string_cols = [f.name for f in x.schema.fields
                           if isinstance(f.dataType, T.StringType) and f.name not in PASSTHROUGH]
         if st.string_cols:
-            modes = x.agg(*[F.mode(c, deterministic=True).alias(c) for c in st.string_cols]).first()
-            st.string_modes = {c: modes[c] for c in st.string_cols}
+            st.string_modes = grouped_modes(x, st.string_cols)
         if numeric:                                                        # C7
-            approx = True if self.approx_medians else None
-            aggs = [F.sum(sum([F.col(c).isNull().cast("int") for c in numeric], F.lit(0))).alias("_nulls")]
-            aggs += [median_expr(F.col(c).cast("double"), x.sparkSession, approx).cast("double").alias(c)
-                     for c in numeric]
-            row = x.agg(*aggs).first()
-            if self.always_medians or (row["_nulls"] or 0) > 0:
-                st.medians = {c: row[c] for c in numeric if row[c] is not None}
+            nulls = x.agg(F.sum(sum([F.col(c).isNull().cast("int") for c in numeric], F.lit(0)))).first()[0]
+            if self.always_medians or (nulls or 0) > 0:
+                st.medians = {c: m for c, m in medians(x, {c: F.col(c) for c in numeric}).items() if m is not None}
         st.feature_names_out = [c for c in x.columns if c not in PASSTHROUGH]
-        train.unpersist()
         return PreprocessorModel(st, fit_mode=self.fit_mode)
 
 
 class PreprocessorModel(Model):
-    """Frozen C3/C5/C6/C7 state; per-split mode/median (T5) unless ``fit_mode`` --
-    then every statistic is train's and ``transform`` is a pure projection (works on
-    streams)."""
+    """Frozen C3/C5/C6/C7 state. ``apply`` takes the frame's statistics (T5) and is a projection;
+    ``transform`` computes them first, or with ``fit_mode`` takes train's (works on streams)."""
 
     def __init__(self, state: PreprocessorState, fit_mode: bool = False):
         super().__init__()
         self.state = state
         self.fit_mode = fit_mode
 
+    def train_statistics(self) -> SplitStatistics:
+        st = self.state
+        return SplitStatistics(st.collateral_mode, st.debt_median, dict(st.string_modes))
+
+    def statistics(self, dataset: DataFrame) -> SplitStatistics:
+        """The frame's own statistics: one pass for the modes, and one for the median if it is wanted."""
+        st, x = self.state, _without_collateral(dataset)
+        plain = [c for c in st.string_cols if c in x.columns]
+        modes = grouped_modes(x, plain + (["collateral_type"] if "collateral_type" in x.columns else []))
+        median = None
+        if st.debt_strategy == "recalc" and {DEBT_COL, "total_outstanding_debt", "avg_monthly_deposits"} <= set(x.columns):
+            median = medians(x, {DEBT_COL: debt_recalc_expr()})[DEBT_COL]
+        return SplitStatistics(modes.get("collateral_type"), median, {c: modes[c] for c in plain})
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.apply(dataset, self.train_statistics() if self.fit_mode else self.statistics(dataset))
+
+    def apply(self, dataset: DataFrame, statistics: SplitStatistics, keep: tuple = ()) -> DataFrame:
+        """C10 as a projection: ids and label, ``keep``, then the features of train in their order."""
         st = self.state
-        keep = [c for c in PASSTHROUGH if c in dataset.columns]
-        x = dataset.drop(*[c for c in NON_FEATURE if c in dataset.columns])
-        x = fix_collateral_type(x, st.collateral_mode if self.fit_mode else None)
-        x = apply_debt_strategy(x, st.debt_strategy, st.debt_median if self.fit_mode else None)
+        keep = [c for c in (*PASSTHROUGH, *keep) if c in dataset.columns]
+        x = dataset.drop(*[c for c in NON_FEATURE if c in dataset.columns and c not in keep])
+        if "collateral_type" in x.columns:
+            x = _without_collateral(x).withColumn("collateral_type", F.coalesce(F.col("collateral_type"), F.lit(statistics.collateral_mode)))
+        if st.debt_strategy == "recalc" and DEBT_COL in x.columns and "avg_monthly_deposits" in x.columns:
+            x = x.withColumn(DEBT_COL, F.coalesce(debt_recalc_expr(), F.lit(statistics.debt_median).cast("double")))
+        elif st.debt_strategy == "drop":
+            x = x.drop(DEBT_COL)
         if "owner_education" in x.columns:
             x = x.withColumn("owner_education", education_ordinal())
         x = one_hot(x, st.categories)
@@ -237,16 +271,9 @@ class PreprocessorModel(Model):
         for c, m in st.medians.items():                                   # C7
             if c in x.columns:
                 x = x.withColumn(c, F.coalesce(F.col(c), F.lit(float(m))))
-        strings = [c for c in st.string_cols if c in x.columns]           # C8
-        if strings and self.fit_mode:
-            for c in strings:
-                x = x.withColumn(c, F.coalesce(F.col(c), F.lit(st.string_modes.get(c)), F.lit("Unknown")))
-        elif strings:
-            modes = x.agg(*[F.mode(c, deterministic=True).alias(f"_m_{c}") for c in strings])
-            x = x.crossJoin(F.broadcast(modes))
-            for c in strings:
-                x = x.withColumn(c, F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit("Unknown")))
-            x = x.drop(*[f"_m_{c}" for c in strings])
+        for c in st.string_cols:                                          # C8
+            if c in x.columns:
+                x = x.withColumn(c, F.coalesce(F.col(c), F.lit(statistics.string_modes.get(c)), F.lit("Unknown")))
         cols = []                                                         # B4
         for c in st.feature_names_out:
             cols.append(F.col(c) if c in x.columns else F.lit(0).alias(c))

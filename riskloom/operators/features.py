@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, map_values, quantile_expr, safe_div
+from ..functions.columns import approx_quantiles, clip, map_values, safe_div
+from .quantiles import quantile_row
 
 CURRENT_YEAR = 2024
 # District -> zone and district -> risk tier membership.
@@ -66,13 +67,14 @@ def employee_productivity_score(df: DataFrame, revenue: str = "revenue",
                                 approx: bool = False) -> DataFrame:
     """Revenue per employee scaled by its 5%/95% quantiles onto 1..10, clipped.
 
-    Exact quantiles use linear interpolation (= pandas); ``approx=True`` switches to
-    ``percentile_approx`` (bounded memory) for very large frames.
+    Exact quantiles with linear interpolation (= pandas); ``approx=True`` asks for ``percentile_approx``.
     """
     rpe = safe_div(F.col(revenue), F.col(employees))
     base = df.withColumn("_rpe", rpe)
-    q = quantile_expr("_rpe", [0.05, 0.95], df.sparkSession, True if approx else None)
-    s = with_frame_stats(base, q.alias("_q"))
+    if approx:
+        s = with_frame_stats(base, approx_quantiles("_rpe", [0.05, 0.95]).alias("_q"))
+    else:
+        s = base.crossJoin(F.broadcast(quantile_row(base, {"_q": F.col("_rpe")}, [0.05, 0.95])))  # one row
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     score = clip(safe_div(F.col("_rpe") - lo, hi - lo) * 9 + 1, 1.0, 10.0)
     return s.withColumn(out, score).drop("_rpe", "_q")

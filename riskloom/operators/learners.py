@@ -1,95 +1,51 @@
-"""Tier-1 module learners and the tier-2 meta-model on Spark ML.
-
-xgboost / lightgbm / sklearn are not used: each reference estimator is mapped to a
-Spark ML learner (SURVEY §7.4) -- gradient-boosted trees for XGB/LightGBM, random
-forests for RF, logistic regression for LR. Training is distributed by Spark ML
-(histogram aggregation per tree level); the only driver-side logic is choosing between
-two fitted models from two validation scalars (K6/L8).
-Grids default to one point (the reference's first grid point); ``full_grid=True``
-restores the reference's grids, cross-validated with ``CrossValidator``.
+"""Tier-1 module learners and the tier-2 meta-model.
+
+xgboost / lightgbm / sklearn are not used: boosted and bagged trees are ``trees.py``, their grid search and
+final training ``search.py`` (a Spark task a model, on a bounded sample of the training rows), logistic
+regression is Spark ML's, on all rows. Scores are row projections: the trees run in an Arrow function over
+a batch's inputs.
+
+The whole grids are the default; ``grids`` takes smaller ones (``first_points()``: the first point of each, with its tree counts).
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from ..session import staged
+from ..sources.contract import ID_COL
+from . import search as G
+from . import trees as T
 from .meta import FEATURE_COLS, engineer_features, fit_standard_scaler, standardize
 from .metrics import binary_curve, curve_metrics, regression_metrics
-from .targets import (MODULE_SPECS, ModuleSpec, apply_post_rule, fit_target_scaler, scale_target,
-                      select_columns, target_raw)
+from .sampling import CLONE_COL, contiguous_folds, stratified_folds
+from .targets import MODULE_SPECS, ModuleSpec, apply_post_rule, fused_targets, scale_target, select_columns, target_raw
 
-SEED = 42
+# The gaps above which one model alone is taken.
 R2_GAP = 0.03
 AUC_GAP = 0.02
+#: Rows that stand for absent features when trees are explained; more are refused.
+MAX_BACKGROUND = 256
 
 
-def training_frame(df: DataFrame) -> DataFrame:
-    """Persisted training input, in the partitions it comes in."""
-    return df.persist()
-
-
-# ----------------------------------------------------------------------------- builders
-def _xgb_like(depth=3, trees=100, lr=0.1, subsample=1.0):
-    return GBTRegressor(maxDepth=depth, maxIter=trees, stepSize=lr, subsamplingRate=subsample, seed=SEED)
-
-
-def _lgbm_like(leaves=31, trees=100, lr=0.05, min_child=20):
-    depth = 5 if leaves <= 31 else 6
-    return GBTRegressor(maxDepth=depth, maxIter=trees, stepSize=lr, minInstancesPerNode=min_child, seed=SEED)
-
-
-def _rf_like(trees=100, depth=10, leaf=5):
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED)
-
-
-def model_pair(name: str, full_grid: bool = False):
-    """K1-K4: (estimator A, grid A, estimator B, grid B) per module."""
-    def grid(est, **axes):
-        g = ParamGridBuilder()
-        if full_grid:
-            for p, vals in axes.items():
-                g = g.addGrid(est.getParam(p), vals)
-        return g.build()
+def first_points() -> dict:
+    """The grids cut down to their first points and tree counts, for quick runs."""
+    return {m: tuple(e.first_point() for e in pair) for m, pair in G.GRIDS.items()}
 
-    if name == "S1":
-        a, b = _xgb_like(), _lgbm_like()
-        return (a, grid(a, maxDepth=[3, 5, 7], maxIter=[100, 300], stepSize=[0.05, 0.1], minInfoGain=[0.0, 1e-4]),
-                b, grid(b, maxDepth=[5, 6], maxIter=[100, 300], stepSize=[0.05, 0.1], minInstancesPerNode=[20, 50]))
-    if name == "S2":
-        a, b = _xgb_like(), _rf_like()
-        return (a, grid(a, maxDepth=[3, 5, 7], maxIter=[100, 300], stepSize=[0.05, 0.1], minInfoGain=[0.0, 1e-4]),
-                b, grid(b, numTrees=[100, 300], maxDepth=[15, 10, 20], minInstancesPerNode=[5, 20]))
-    if name == "S3":
-        a, b = _rf_like(), _lgbm_like()
-        return (a, grid(a, numTrees=[100, 300], maxDepth=[15, 10, 20], minInstancesPerNode=[5, 20]),
-                b, grid(b, maxDepth=[5, 6], maxIter=[100, 300], stepSize=[0.05, 0.1], minInstancesPerNode=[20, 50]))
-    if name == "S4":
-        a, b = _xgb_like(depth=4, subsample=0.8), _lgbm_like()
-        return (a, grid(a, maxIter=[100, 300], maxDepth=[4, 6], stepSize=[0.05, 0.1], subsamplingRate=[0.8, 1.0]),
-                b, grid(b, maxDepth=[5, 6], maxIter=[100, 300], stepSize=[0.05, 0.1], minInstancesPerNode=[20, 50]))
-    raise KeyError(name)
 
-
-def train_one(est, grid, train: DataFrame, label: str, evaluator, parallelism: int = 2):
-    """K5: grid search with k-fold CV when the grid has more than one point, else fit."""
-    est = est.copy().setFeaturesCol("features").setLabelCol(label)
-    if len(grid) > 1:
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator.setLabelCol(label),
-                            numFolds=5, seed=SEED, parallelism=parallelism)
-        return cv.fit(train).bestModel
-    return est.fit(train)
+def first_meta_points() -> tuple:
+    return tuple(e.first_point() for e in G.META_GRIDS)
 
 
 def decide_strategy(score_a: float, score_b: float, gap: float) -> tuple[str, float, float]:
@@ -103,6 +59,23 @@ def decide_strategy(score_a: float, score_b: float, gap: float) -> tuple[str, fl
     return "ensemble", score_a / total, score_b / total
 
 
+def _matrix(inputs: pa.Array, width: int) -> np.ndarray:
+    return T.filled(inputs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(inputs), width))
+
+
+def forest_column(inputs: Sequence[Column], parts: Sequence[tuple[float, T.Forest]], classes: bool = False) -> Column:
+    """Weighted sum of forests' predictions of a row's inputs (probabilities if ``classes``)."""
+    width, parts = len(inputs), list(parts)
+
+    @F.arrow_udf("double")
+    def run(rows: pa.Array) -> pa.Array:
+        x = _matrix(rows, width)
+        out = sum(w * G.predict("boost_classes" if classes else "boost", f, x, len(f.roots)) for w, f in parts)
+        return pa.array(out, pa.float64())
+
+    return run(F.array(*inputs))
+
+
 # ----------------------------------------------------------------------------- tier 1
 @dataclass
 class ModuleState:
@@ -113,78 +86,46 @@ class ModuleState:
     strategy: str
     w_a: float
     w_b: float
-    r2_a: float
-    r2_b: float
-    mae_a: float
-    mae_b: float
-    extra: dict = field(default_factory=dict)
+    r2_a: float | None
+    r2_b: float | None
+    mae_a: float | None
+    mae_b: float | None
+    point_a: dict = field(default_factory=dict)
+    point_b: dict = field(default_factory=dict)
+    cv_a: float | None = None
+    cv_b: float | None = None
 
 
 class ScoreModule:
-    """K7: select -> target -> scale -> fit A -> fit B -> decide; K8/K9 scoring."""
+    """K7: select -> target -> scale -> search and fit A and B -> decide; K8/K9 scoring."""
 
-    def __init__(self, name: str, full_grid: bool = False):
+    def __init__(self, name: str):
         self.name = name
         self.spec: ModuleSpec = MODULE_SPECS[name]
-        self.full_grid = full_grid
         self.state: ModuleState | None = None
-        self.model_a = None
-        self.model_b = None
-        self.assembler: VectorAssembler | None = None
-
-    def fit(self, train: DataFrame, val: DataFrame) -> "ScoreModule":
-        cols = select_columns(self.spec, train.columns)
-        self.assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-        t_tr = target_raw(train, self.spec)
-        lo, hi = fit_target_scaler(t_tr)
-        t_tr = scale_target(t_tr, lo, hi)
-        t_vl = scale_target(target_raw(val, self.spec), lo, hi)
-        d_tr = self.assembler.transform(t_tr.select(*[F.col(c).cast("double").alias(c) if c in t_tr.columns
-                                                      else F.lit(0.0).alias(c) for c in cols], "target"))
-        d_vl = self.assembler.transform(t_vl.select(*[F.col(c).cast("double").alias(c) if c in t_vl.columns
-                                                      else F.lit(0.0).alias(c) for c in cols], "target"))
-        d_tr = training_frame(d_tr)
-        a, ga, b, gb = model_pair(self.name, self.full_grid)
-        ev = RegressionEvaluator(metricName="r2")
-        self.model_a = train_one(a, ga, d_tr, "target", ev)
-        self.model_b = train_one(b, gb, d_tr, "target", ev)
-        ma = regression_metrics(self.model_a.transform(d_vl), "target", "prediction").first()
-        mb = regression_metrics(self.model_b.transform(d_vl), "target", "prediction").first()
-        strategy, wa, wb = decide_strategy(ma["r2"] or 0.0, mb["r2"] or 0.0, R2_GAP)
-        self.state = ModuleState(self.name, cols, lo, hi, strategy, wa, wb,
-                                 ma["r2"], mb["r2"], ma["mae"], mb["mae"])
-        d_tr.unpersist()
+        self.model_a: T.Forest | None = None
+        self.model_b: T.Forest | None = None
+
+    def fit(self, train: DataFrame, val: DataFrame, grids: Mapping | None = None, max_rows: int = G.MAX_ROWS) -> "ScoreModule":
+        fitted = fit_modules(train, val, (self.name,), grids, max_rows)[self.name]
+        self.state, self.model_a, self.model_b = fitted.state, fitted.model_a, fitted.model_b
         return self
 
+    def inputs(self, df: DataFrame) -> list[Column]:
+        """The module's inputs; an absent column is 0.0."""
+        return [F.col(f"`{c}`").cast("double") if c in df.columns else F.lit(0.0) for c in self.state.columns]
+
     def append_score(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        """K8/K9 as a column append: inputs (absent -> 0.0, T10), this module's own
-        feature vector, A/B predictions, weighted or single, clipped, post rule. Keeps
-        every input column, so the four modules chain without joins."""
-        out = out or self.name
-        st, n = self.state, self.name
-        tmp = {c: f"_in_{n}_{c}" for c in st.columns}
-        x = df.select("*", *[(F.col(c).cast("double") if c in df.columns else F.lit(0.0)).alias(tmp[c])
-                             for c in st.columns])
-        fcol = f"_feat_{n}"
-        x = VectorAssembler(inputCols=list(tmp.values()), outputCol=fcol, handleInvalid="keep").transform(x)
-        pa, pb = f"_pa_{n}", f"_pb_{n}"
-        if st.strategy in ("A", "ensemble"):
-            x = self.model_a.copy().setFeaturesCol(fcol).setPredictionCol(pa).transform(x)
-        if st.strategy in ("B", "ensemble"):
-            x = self.model_b.copy().setFeaturesCol(fcol).setPredictionCol(pb).transform(x)
-        raw = {"A": F.col(pa) if st.strategy != "B" else None, "B": F.col(pb) if st.strategy != "A" else None}
-        if st.strategy == "ensemble":
-            r = F.lit(st.w_a) * raw["A"] + F.lit(st.w_b) * raw["B"]
-        else:
-            r = raw[st.strategy]
-        score = apply_post_rule(clip(r, 0.0, 1.0), x.columns, self.spec)
-        x = x.withColumn(out, score)
-        return x.drop(*tmp.values(), fcol, *[c for c in (pa, pb) if c in x.columns])
+        """K8/K9 as a column append: weighted or single prediction, clipped, post rule."""
+        st = self.state
+        parts = [(w, m) for w, m in ((st.w_a, self.model_a), (st.w_b, self.model_b)) if w]
+        raw = forest_column(self.inputs(df), parts)
+        return df.withColumn(out or self.name, apply_post_rule(clip(raw, 0.0, 1.0), df.columns, self.spec))
 
     def predict_score(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        """K8/K9: id/label + one score column in [0, 1]."""
+        """K8/K9: ids, label and one score column in [0, 1]."""
         out = out or self.name
-        keep = [c for c in ("sample_id", "default") if c in df.columns]
+        keep = [c for c in (ID_COL, CLONE_COL, "default") if c in df.columns]
         return self.append_score(df, out).select(*keep, out)
 
     def validate(self, val: DataFrame) -> dict:
@@ -195,38 +136,73 @@ class ScoreModule:
         return {"r2": round(r["r2"], 4) if r["r2"] is not None else None, "mae": round(r["mae"], 4)}
 
     def feature_importance(self) -> list[tuple[str, float]]:
-        """Sorted importances; an ensemble reports model A's (as the reference)."""
+        """Sorted importances; an ensemble reports model A's."""
         m = self.model_b if self.state.strategy == "B" else self.model_a
-        imp = m.featureImportances.toArray().tolist()
-        return sorted(zip(self.state.columns, imp), key=lambda kv: -kv[1])
+        return sorted(zip(self.state.columns, m.importance(len(self.state.columns)).tolist()), key=lambda kv: -kv[1])
 
     # A9 persistence
     def save(self, path: str) -> None:
-        self.model_a.write().overwrite().save(f"{path}/model_a")
-        self.model_b.write().overwrite().save(f"{path}/model_b")
+        spark = SparkSession.getActiveSession()
+        G.fitted_rows(spark, {(self.name, "A"): self.model_a, (self.name, "B"): self.model_b}).coalesce(1).write.mode("overwrite").parquet(f"{path}/models")
         _write_json(f"{path}/state", asdict(self.state))
 
     @classmethod
     def load(cls, spark, path: str) -> "ScoreModule":
-        from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-        st = ModuleState(**_read_json(spark, f"{path}/state"))
-        mod = cls(st.name)
-        mod.state = st
-        mod.assembler = VectorAssembler(inputCols=st.columns, outputCol="features", handleInvalid="keep")
-
-        def load_any(p):
-            for kind in (GBTRegressionModel, RandomForestRegressionModel):
-                try:
-                    return kind.load(p)
-                except Exception:  # noqa: BLE001 - try the other persisted model type
-                    continue
-            raise IOError(p)
-        mod.model_a, mod.model_b = load_any(f"{path}/model_a"), load_any(f"{path}/model_b")
+        state = ModuleState(**_read_json(spark, f"{path}/state"))
+        mod = cls(state.name)
+        models = G.forests(spark.read.schema(G.FITTED).parquet(f"{path}/models"))
+        mod.state, mod.model_a, mod.model_b = state, models[state.name, "A"], models[state.name, "B"]
         return mod
 
 
+def module_samples(train: DataFrame, names: Sequence[str], max_rows: int = G.MAX_ROWS) -> tuple[dict, dict, dict]:
+    """(samples, columns, target ranges) by module: contiguous folds in the order of the ids, scaled targets."""
+    keyed = contiguous_folds(train, ID_COL, G.FOLDS, out="_fold")
+    with_targets = staged(fused_targets(keyed, {f"_t_{m}": MODULE_SPECS[m] for m in names}), "module_targets")
+    ends = with_targets.agg(*(f(f"_t_{m}").alias(f"{k}{m}") for m in names for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    samples, columns, ranges = {}, {}, {}
+    for m in names:
+        columns[m], ranges[m] = select_columns(MODULE_SPECS[m], train.columns), (ends[f"lo{m}"], ends[f"hi{m}"])
+        inputs = with_targets.select(ID_COL, "_fold", f"_t_{m}", *(F.col(f"`{c}`") if c in train.columns else F.lit(0.0).alias(c) for c in columns[m]))
+        scaled = scale_target(inputs, *ranges[m], col=f"_t_{m}", out="_y").filter("_y is not null")
+        samples[m] = G.sample(scaled, [ID_COL], columns[m], "_y", "_fold", max_rows)
+    return samples, columns, ranges
+
+
+def module_grid_search(spark, samples: Mapping, grids: Mapping) -> DataFrame:
+    """K5: module, model, point, fold, n, score (R² on the fold) of every point of the modules' grids."""
+    estimators = {(m, side): est for m in samples for side, est in zip("AB", grids[m])}
+    return staged(G.r2_by_fold(staged(G.out_of_fold(spark, samples, estimators), "out_of_fold")), "module_grid")
+
+
+def fit_modules(train: DataFrame, val: DataFrame, names: Sequence[str] = tuple(G.GRIDS), grids: Mapping | None = None, max_rows: int = G.MAX_ROWS) -> dict[str, ScoreModule]:
+    """K1-K7 for several modules in one search job, one training job and one validation pass."""
+    spark, grids = train.sparkSession, grids or G.GRIDS
+    samples, columns, ranges = module_samples(train, names, max_rows)
+    points = G.best_points(module_grid_search(spark, samples, grids))
+    chosen = {(m, side): est.only(est.points()[points[m, side][0]]) for m in names for side, est in zip("AB", grids[m])}
+    models = G.forests(staged(G.refit(spark, samples, chosen), "refit"))
+    found = {m: ScoreModule(m) for m in names}
+    t = fused_targets(val, {f"_t_{m}": MODULE_SPECS[m] for m in names})
+    aggs = []
+    for m, mod in found.items():
+        mod.model_a, mod.model_b = models[m, "A"], models[m, "B"]
+        mod.state = ModuleState(m, columns[m], *ranges[m], "A", 1.0, 0.0, None, None, None, None, chosen[m, "A"].points()[0], chosen[m, "B"].points()[0], points[m, "A"][1], points[m, "B"][1])
+        t = scale_target(t, *ranges[m], col=f"_t_{m}", out=f"_y_{m}")
+        for side, model in (("A", mod.model_a), ("B", mod.model_b)):
+            t = t.withColumn(f"_p_{m}{side}", forest_column(mod.inputs(val), [(1.0, model)]))
+            y, p = F.col(f"_y_{m}"), F.col(f"_p_{m}{side}")
+            total = F.count(y) * F.var_pop(y)
+            aggs += [F.when(F.min(y) < F.max(y), 1 - F.try_divide(F.sum((y - p) * (y - p)), total)).alias(f"r2_{m}{side}"), F.avg(F.abs(y - p)).alias(f"mae_{m}{side}")]
+    row = t.agg(*aggs).first()
+    for m, mod in found.items():
+        st = mod.state
+        st.r2_a, st.r2_b, st.mae_a, st.mae_b = (row[f"{k}_{m}{side}"] for k in ("r2", "mae") for side in "AB")
+        st.strategy, st.w_a, st.w_b = decide_strategy(st.r2_a or 0.0, st.r2_b or 0.0, R2_GAP)
+    return found
+
+
 def _write_json(path: str, obj: dict) -> None:
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(obj),)], "state string").coalesce(1).write.mode("overwrite").json(path)
 
@@ -242,159 +218,162 @@ class MetaState:
     strategy: str
     w_a: float
     w_b: float
-    auc_a: float
-    auc_b: float
+    auc_a: float | None
+    auc_b: float | None
     threshold: float
     pos_weight: float
     lr_coefficients: list
+    point_a: dict = field(default_factory=dict)
+    point_b: dict = field(default_factory=dict)
+    cv_a: float | None = None
+    cv_b: float | None = None
 
 
 class MetaModel:
     """LR (balanced weights) vs boosted trees (positive weight), AUC-based choice,
     best-F1 threshold on val, PD / class / grade."""
 
-    def __init__(self, full_grid: bool = False, reg_c: float = 1.0):
-        self.full_grid = full_grid
-        self.reg_c = reg_c
+    def __init__(self):
         self.state: MetaState | None = None
-        self.lr = None
-        self.gbt = None
+        self.lr: LogisticRegressionModel | None = None
+        self.gbt: T.Forest | None = None
         self.assembler = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features")
 
-    def _design(self, scores: DataFrame) -> DataFrame:
-        keep = [c for c in ("sample_id", "default") if c in scores.columns]
-        feats = engineer_features(scores, keep=tuple(keep))
-        return self.assembler.transform(standardize(feats, self.state.scaler if self.state else self._scaler,
-                                                    keep=tuple(keep)))
-
-    def fit(self, s_train: DataFrame, s_val: DataFrame, label: str = "default") -> "MetaModel":
-        self._scaler = fit_standard_scaler(engineer_features(s_train))
-        tr = self._design(s_train)
-        counts = tr.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")).first()
-        n, pos = counts["n"], counts["pos"] or 0
-        neg = n - pos
-        # balanced class weights n / (2 n_c); boosted trees: int(neg / max(pos, 1)) on positives
-        w_bal = F.when(F.col(label) == 1, F.lit(n / (2.0 * max(pos, 1)))).otherwise(F.lit(n / (2.0 * max(neg, 1))))
-        spw = float(int(neg / max(pos, 1)))
-        tr = training_frame(tr.withColumn("w_bal", w_bal).withColumn(
-            "w_pos", F.when(F.col(label) == 1, F.lit(spw)).otherwise(F.lit(1.0))).withColumn(
-            "label_d", F.col(label).cast("double")))
-        sum_w = float(n)  # balanced weights sum to n
-        ev = BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label_d")
-        lr = LogisticRegression(featuresCol="features", labelCol="label_d", weightCol="w_bal", elasticNetParam=0.0,
-                                standardization=False, regParam=1.0 / (self.reg_c * sum_w), maxIter=200)
-        gbt = GBTClassifier(featuresCol="features", labelCol="label_d", weightCol="w_pos", maxIter=100, maxDepth=3,
-                            stepSize=0.1, seed=SEED)
-        if self.full_grid:
-            lg = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * sum_w) for c in (0.01, 0.1, 1, 10)]).build()
-            gg = (ParamGridBuilder().addGrid(gbt.maxIter, [100, 300]).addGrid(gbt.maxDepth, [2, 3, 5])
-                  .addGrid(gbt.stepSize, [0.05, 0.1]).build())
-            self.lr = CrossValidator(estimator=lr, estimatorParamMaps=lg, evaluator=ev, numFolds=5,
-                                     seed=SEED).fit(tr).bestModel
-            self.gbt = CrossValidator(estimator=gbt, estimatorParamMaps=gg, evaluator=ev, numFolds=5,
-                                      seed=SEED).fit(tr).bestModel
-        else:
-            self.lr = lr.fit(tr)
-            self.gbt = gbt.fit(tr)
-        self.state = MetaState(self._scaler, "A", 1.0, 0.0, 0.0, 0.0, 0.5, spw,
-                               self.lr.coefficients.toArray().tolist())
-        va = self._design(s_val)
-        auc_a = _auc(self._proba(va, "A"), label)
-        auc_b = _auc(self._proba(va, "B"), label)
-        strategy, wa, wb = decide_strategy(auc_a or 0.0, auc_b or 0.0, AUC_GAP)
-        self.state.strategy, self.state.w_a, self.state.w_b = strategy, wa, wb
-        self.state.auc_a, self.state.auc_b = auc_a, auc_b
-        pv = self.predict_proba(s_val)
-        self.state.threshold = curve_metrics(binary_curve(pv, "pd_score", label)).first()["best_threshold"]
-        tr.unpersist()
+    def _features(self, scores: DataFrame, scaler: dict | None = None) -> DataFrame:
+        keep = tuple(c for c in (ID_COL, CLONE_COL, "default") if c in scores.columns)
+        return standardize(engineer_features(scores, keep=keep), scaler or self.state.scaler, keep=keep)
+
+    def sample(self, s_train: DataFrame, scaler: dict, label: str = "default", max_rows: int = G.MAX_ROWS) -> G.Sample:
+        """Scaled features, label and stratified fold of the training rows."""
+        design = self._features(s_train, scaler)
+        ids = [c for c in (ID_COL, CLONE_COL) if c in design.columns]
+        folds = staged(stratified_folds(design.withColumn("_id", F.concat_ws("|", *ids)), label, G.FOLDS, id_col="_id", out="_fold"), "meta_folds")
+        n, pos = folds.agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
+        return G.sample(folds, ["_id"], FEATURE_COLS, label, "_fold", max_rows, positive=float(int((n - pos) / max(pos, 1))))
+
+    def grid_search(self, sample: G.Sample, spark, grids: tuple) -> tuple[DataFrame, DataFrame]:
+        """(out-of-fold predictions, AUC by point and fold) of both models' grids."""
+        estimators = {("meta", side): est for side, est in zip("AB", grids)}
+        predictions = staged(G.out_of_fold(spark, {"meta": sample}, estimators), "meta_out_of_fold")
+        return predictions, staged(G.auc_by_fold(predictions), "meta_grid")
+
+    def fit(self, s_train: DataFrame, s_val: DataFrame, label: str = "default", grids: tuple | None = None, max_rows: int = G.MAX_ROWS) -> "MetaModel":
+        spark, grids = s_train.sparkSession, grids or G.META_GRIDS
+        scaler = fit_standard_scaler(engineer_features(s_train))
+        sample = self.sample(s_train, scaler, label, max_rows)
+        points = G.best_points(self.grid_search(sample, spark, grids)[1])
+        a, b = (est.only(est.points()[points["meta", side][0]]) for side, est in zip("AB", grids))
+        self.gbt = G.forests(G.refit(spark, {"meta": sample}, {("meta", "B"): b}))["meta", "B"]
+        # balanced class weights n / (2 n_c), which sum to n
+        design = self._features(s_train, scaler)
+        n, pos = design.agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
+        weight = F.when(F.col(label) == 1, F.lit(n / (2.0 * max(pos, 1)))).otherwise(F.lit(n / (2.0 * max(n - pos, 1))))
+        rows = self.assembler.transform(design.withColumn("_w", weight).withColumn("_y", F.col(label).cast("double")))
+        self.lr = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", elasticNetParam=0.0, standardization=False,
+                                     regParam=1.0 / (a.points()[0]["c"] * n), maxIter=200).fit(rows.select("features", "_w", "_y"))
+        self.state = MetaState(scaler, "A", 1.0, 0.0, None, None, 0.5, sample.positive, self.lr.coefficients.toArray().tolist(),
+                               a.points()[0], b.points()[0], points["meta", "A"][1], points["meta", "B"][1])
+        both = staged(self._both(s_val), "meta_val")
+        self.state.auc_a, self.state.auc_b = (_auc(both, p, label) for p in ("_pa", "_pb"))
+        self.state.strategy, self.state.w_a, self.state.w_b = decide_strategy(self.state.auc_a or 0.0, self.state.auc_b or 0.0, AUC_GAP)
+        pd_ = both.withColumn("pd_score", self._blend())
+        self.state.threshold = curve_metrics(binary_curve(pd_, "pd_score", label)).first()["best_threshold"]
         return self
 
-    def _proba(self, design: DataFrame, which: str) -> DataFrame:
-        model = self.lr if which == "A" else self.gbt
-        out = model.setProbabilityCol("_prob").setPredictionCol("_pred").setRawPredictionCol("_rawp").transform(design)
-        keep = [c for c in ("sample_id", "default") if c in out.columns]
-        return out.select(*keep, vector_to_array("_prob")[1].alias("pd_score"))
+    def _both(self, scores: DataFrame) -> DataFrame:
+        """ids, label, _pa, _pb: both models' probabilities."""
+        d = self._features(scores)
+        keep = [c for c in (ID_COL, CLONE_COL, "default") if c in d.columns]
+        lr = self.lr.copy().setProbabilityCol("_prob").setPredictionCol("_pred").setRawPredictionCol("_raw")
+        return (lr.transform(self.assembler.transform(d)).withColumn("_pb", forest_column([F.col(c) for c in FEATURE_COLS], [(1.0, self.gbt)], classes=True))
+                .select(*keep, vector_to_array("_prob")[1].alias("_pa"), "_pb"))
+
+    def _blend(self) -> Column:
+        st = self.state
+        p = {"A": F.col("_pa"), "B": F.col("_pb")}.get(st.strategy, F.lit(st.w_a) * F.col("_pa") + F.lit(st.w_b) * F.col("_pb"))
+        return clip(p, 0.0, 1.0)
 
     def predict_proba(self, scores: DataFrame) -> DataFrame:
         """PD = wA pA + wB pB (or the single winner), clipped to [0, 1]."""
-        d = self._design(scores)
-        st = self.state
-        if st.strategy == "ensemble":
-            pa = self.lr.setProbabilityCol("_pa").setPredictionCol("_pda").setRawPredictionCol("_ra").transform(d)
-            pb = self.gbt.setProbabilityCol("_pb").setPredictionCol("_pdb").setRawPredictionCol("_rb").transform(pa)
-            p = F.lit(st.w_a) * vector_to_array("_pa")[1] + F.lit(st.w_b) * vector_to_array("_pb")[1]
-            keep = [c for c in ("sample_id", "default") if c in pb.columns]
-            return pb.select(*keep, clip(p, 0.0, 1.0).alias("pd_score"))
-        out = self._proba(d, st.strategy)
-        return out.withColumn("pd_score", clip(F.col("pd_score"), 0.0, 1.0))
+        both = self._both(scores)
+        return both.select(*(c for c in both.columns if c not in ("_pa", "_pb")), self._blend().alias("pd_score"))
 
     def lr_coefficients(self) -> list[tuple[str, float]]:
         """LR coefficients by feature, descending."""
         return sorted(zip(FEATURE_COLS, self.lr.coefficients.toArray().tolist()), key=lambda kv: -kv[1])
 
+    @property
+    def explained(self) -> str:
+        """The model that attributions explain: the chosen one, of an ensemble the heavier, A on ties."""
+        return self.state.strategy if self.state.strategy in ("A", "B") else ("A" if self.state.w_a >= self.state.w_b else "B")
+
     def linear_attribution(self, scores: DataFrame) -> DataFrame:
-        """L20 (LR): per-feature contribution coef * (x - mean), centred on the explained frame,
-        reduced to mean |contribution| per feature."""
-        d = standardize(engineer_features(scores), self.state.scaler)
-        coefs = self.lr.coefficients.toArray().tolist()
-        means = d.agg(*[F.avg(f).alias(f) for f in FEATURE_COLS]).first()
-        aggs = [F.avg(F.abs(F.lit(c) * (F.col(f) - F.lit(float(means[f] or 0.0))))).alias(f) for f, c in zip(FEATURE_COLS, coefs)]
-        args = ", ".join(f"'{f}', `{f}`" for f in FEATURE_COLS)
-        return d.agg(*aggs).selectExpr(f"stack({len(FEATURE_COLS)}, {args}) AS (feature, mean_abs_contribution)")
-
-    def tree_attribution(self, scores: DataFrame) -> DataFrame:
-        """L20 (chosen model): single-baseline Shapley values over all 2^8 coalitions.
-
-        The baseline is the explained frame's mean row, so every row has its part in it. Each
-        row is expanded by a generator (no join) over the 256 coalition masks; one ``transform``
-        scores the mixed vectors, and Shapley weights combine them per feature. The model is
-        the chosen one, of an ensemble the heavier. Output: mean |phi| per feature.
+        """L20 (LR): mean |coef * (x - mean)| per feature, centred on the explained frame."""
+        return linear_attribution(self._features(scores).select(*FEATURE_COLS), self.lr.coefficients.toArray().tolist())
+
+    def contributions(self, scores: DataFrame, background: DataFrame) -> DataFrame:
+        """Ids, label, base, and each feature's interventional Shapley value (``phi`` map) on the explained model's log odds.
+
+        ``background``: score rows that stand for absent features, at most MAX_BACKGROUND (ValueError beyond). A row's values
+        and ``base`` (the mean over the background) add up to its log odds.
         """
-        from math import factorial
-        k = len(FEATURE_COLS)
-        d = standardize(engineer_features(scores), self.state.scaler).withColumn("_rid", F.monotonically_increasing_id())
-        means = d.agg(*[F.avg(c).alias(c) for c in FEATURE_COLS]).first()
-        x = d.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit((1 << k) - 1))))
-        mixed = [F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.lit(float(means[c] or 0.0))).alias(c)
-                 for i, c in enumerate(FEATURE_COLS)]
-        design = self.assembler.transform(x.select("_rid", "_mask", *mixed))
-        st = self.state
-        trees = st.strategy == "B" or (st.strategy not in ("A", "B") and st.w_b >= st.w_a)
-        model = self.gbt if trees else self.lr
-        v = (model.setProbabilityCol("_p").setPredictionCol("_pp").setRawPredictionCol("_rp").transform(design)
-             .select("_rid", "_mask", vector_to_array("_p")[1].alias("_f"))
-             .groupBy("_rid", "_mask").agg(F.avg("_f").alias("_v")))
-        size = sum([(F.col("_mask").bitwiseAND(1 << j) != 0).cast("int") for j in range(k)], F.lit(0))
-        # Shapley weight |S|! (k - |S| - 1)! / k! for a coalition S without feature i
-        wts = F.create_map(*[x_ for s in range(k) for x_ in
-                             (F.lit(s), F.lit(factorial(s) * factorial(k - s - 1) / factorial(k)))])
-        terms = []
-        for i, c in enumerate(FEATURE_COLS):
-            bit = F.col("_mask").bitwiseAND(1 << i) != 0
-            # v(S + i) enters with +w(|S|), v(S) with -w(|S|)
-            terms.append(F.sum(F.when(bit, wts[size - 1] * F.col("_v")).otherwise(-wts[size] * F.col("_v"))).alias(c))
-        phi = v.groupBy("_rid").agg(*terms)
-        args = ", ".join(f"'{c}', abs(`{c}`)" for c in FEATURE_COLS)
-        return (phi.selectExpr(f"stack({k}, {args}) AS (feature, abs_phi)")
-                .groupBy("feature").agg(F.avg("abs_phi").alias("mean_abs_shap")))
+        rows = self._features(background).select(*FEATURE_COLS).limit(MAX_BACKGROUND + 1).toArrow()
+        if not 0 < rows.num_rows <= MAX_BACKGROUND:
+            raise ValueError(f"the background needs 1 to {MAX_BACKGROUND} rows")
+        back = T.filled(np.column_stack([rows.column(c).to_numpy().astype(float) for c in FEATURE_COLS]))
+        d, names = self._features(scores), F.array(*map(F.lit, FEATURE_COLS))
+        keep = [c for c in (ID_COL, CLONE_COL, "default") if c in d.columns]
+        if self.explained == "A":
+            coefs, means = self.lr.coefficients.toArray(), back.mean(0)
+            phi = F.array(*(F.lit(float(k)) * (F.col(c) - F.lit(float(m))) for c, k, m in zip(FEATURE_COLS, coefs, means)))
+            base = float(self.lr.intercept + coefs @ means)
+        else:
+            forest, base = self.gbt, float(self.gbt.predict(back).mean())
+
+            @F.arrow_udf("array<double>")
+            def values(inputs: pa.Array) -> pa.Array:
+                return pa.array(list(T.shapley(forest, _matrix(inputs, back.shape[1]), back)), pa.list_(pa.float64()))
+
+            phi = values(F.array(*(F.col(c) for c in FEATURE_COLS)))
+        return d.select(*keep, F.lit(base).alias("base"), F.map_from_arrays(names, phi).alias("phi"))
+
+    def tree_attribution(self, scores: DataFrame, background: DataFrame) -> DataFrame:
+        """Mean |Shapley value| per feature of the explained model."""
+        means = self.contributions(scores, background).agg(*(F.avg(F.abs(F.col("phi")[c])).alias(c) for c in FEATURE_COLS))
+        args = ", ".join(f"'{c}', `{c}`" for c in FEATURE_COLS)
+        return means.selectExpr(f"stack({len(FEATURE_COLS)}, {args}) AS (feature, mean_abs_shap)")
 
     def save(self, path: str) -> None:
         self.lr.write().overwrite().save(f"{path}/lr")
-        self.gbt.write().overwrite().save(f"{path}/gbt")
+        G.fitted_rows(SparkSession.getActiveSession(), {("meta", "B"): self.gbt}).coalesce(1).write.mode("overwrite").parquet(f"{path}/gbt")
         _write_json(f"{path}/state", asdict(self.state))
 
     @classmethod
     def load(cls, spark, path: str) -> "MetaModel":
-        from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
         m = cls()
         m.state = MetaState(**_read_json(spark, f"{path}/state"))
         m.lr = LogisticRegressionModel.load(f"{path}/lr")
-        m.gbt = GBTClassificationModel.load(f"{path}/gbt")
+        m.gbt = G.forests(spark.read.schema(G.FITTED).parquet(f"{path}/gbt"))["meta", "B"]
         return m
 
 
-def _auc(pred: DataFrame, label: str) -> float | None:
-    return curve_metrics(binary_curve(pred, "pd_score", label)).first()["auc"]
+def linear_attribution(features: DataFrame, coefs: Sequence[float]) -> DataFrame:
+    """L20 (linear): feature, mean_abs_contribution = mean |coef * (x - mean of x)|, for all columns in order."""
+    cols = features.columns
+    means = features.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    aggs = [F.avg(F.abs(F.lit(float(k)) * (F.col(c) - F.lit(float(means[c] or 0.0))))).alias(c) for c, k in zip(cols, coefs)]
+    args = ", ".join(f"'{c}', `{c}`" for c in cols)
+    return features.agg(*aggs).selectExpr(f"stack({len(cols)}, {args}) AS (feature, mean_abs_contribution)")
+
+
+def background_rows(scores: DataFrame, rows: int = 64) -> DataFrame:
+    """``rows`` score rows with the smallest hashes of their ids: the same on every run."""
+    ids = [c for c in (ID_COL, CLONE_COL) if c in scores.columns]
+    return scores.orderBy(F.md5(F.concat_ws("|", *ids)), *ids).limit(rows)
+
+
+def _auc(pred: DataFrame, score: str, label: str) -> float | None:
+    return curve_metrics(binary_curve(pred, score, label)).first()["auc"]
 
 
-__all__ = ["ScoreModule", "MetaModel", "decide_strategy", "model_pair", "Pipeline", "PipelineModel"]
+__all__ = ["ScoreModule", "MetaModel", "decide_strategy", "fit_modules", "first_points", "first_meta_points", "background_rows", "linear_attribution"]

@@ -28,7 +28,7 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
-def binary_curve(df: DataFrame, score: str, label: str, n_buckets: int = 1024) -> DataFrame:
+def binary_curve(df: DataFrame, score: str, label: str, n_buckets: int | None = None) -> DataFrame:
     """One row per distinct score with running tp / fp (score >= t) and totals P, N."""
     sc = score_counts(df, score, label).withColumn("_desc", -F.col("score"))
     sc = quantile_bucket(sc, "_desc", n_buckets)

@@ -3,21 +3,26 @@
 Scale notes: column statistics are fused into *one* wide aggregate per pass (map-side
 partial aggregation; a hot group costs nothing extra) and reshaped to long form with
 ``stack`` on the aggregated row(s) -- never by unpivoting the data, which would
-multiply the shuffled rows by the number of features. Exact quantiles keep a
-value->count map per group; ``approx=True`` switches to bounded-memory
-``percentile_approx`` for very large groups.
+multiply the shuffled rows by the number of features. Quantiles are exact and counted
+in bounded memory (``quantiles.py``); ``approx=True`` asks for ``percentile_approx``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import (inverse_normal_cdf, numeric_columns, quantile_expr,
+from ..functions.columns import (approx_quantiles, inverse_normal_cdf, numeric_columns,
                                  round_half_up, safe_div)
+from ..session import staged
 from ..sources.contract import ALL_FEATURES, ID_COL, LABEL_COL, MODULES
+from .duplicates import count_duplicates
+from .quantiles import exact_quantiles
 
 SAFE = "`{}`"
 
@@ -26,26 +31,17 @@ def _q(name: str) -> str:
     return SAFE.format(name)
 
 
-def _quantiles(c: Column, probs: Sequence[float], approx: bool) -> Column:
-    """Exact linear quantiles unless ``approx`` or the session switch
-    ``approx=True`` asks for bounded-memory sketches."""
-    from pyspark.sql import SparkSession
-    return quantile_expr(c, list(probs), SparkSession.getActiveSession(), True if approx else None)
-
-
 STAT_EXPRS = {
-    "count": lambda c, approx: F.count(c),
-    "mean": lambda c, approx: F.avg(c),
-    "std": lambda c, approx: F.stddev_samp(c),
-    "std_pop": lambda c, approx: F.stddev_pop(c),
-    "min": lambda c, approx: F.min(c),
-    "max": lambda c, approx: F.max(c),
-    "median": lambda c, approx: _quantiles(c, [0.5], approx)[0],
-    "q25": lambda c, approx: _quantiles(c, [0.25], approx)[0],
-    "q75": lambda c, approx: _quantiles(c, [0.75], approx)[0],
-    "skew": lambda c, approx: F.skewness(c),
-    "nulls": lambda c, approx: F.sum(F.when(c.isNull(), 1).otherwise(0)),
+    "count": F.count,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "std_pop": F.stddev_pop,
+    "min": F.min,
+    "max": F.max,
+    "skew": F.skewness,
+    "nulls": lambda c: F.sum(F.when(c.isNull(), 1).otherwise(0)),
 }
+QUANTILE_STATS = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def wide_to_long(wide: DataFrame, group_cols: Sequence[str], features: Sequence[str],
@@ -63,18 +59,30 @@ def describe(df: DataFrame, cols: Sequence[str], stats: Sequence[str] = ("count"
              group_cols: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Long-form describe: one row per (group..., feature) with the requested stats.
 
-    All stats of all columns are computed in a single aggregate; ``count`` is the
-    non-null count, ``std`` the sample std (pandas), quantiles linear (pandas).
+    All stats of all columns are computed in a single aggregate, but for the quantiles, which
+    are counted; ``count`` is the non-null count, ``std`` the sample std (pandas), quantiles linear (pandas).
     """
+    wanted = [s for s in stats if s in QUANTILE_STATS]
+    plain = [s for s in stats if s not in QUANTILE_STATS]
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
-        for s in stats:
-            e = STAT_EXPRS[s](x, approx)
-            e = e.cast("long") if s in ("count", "nulls") else e.cast("double")
-            aggs.append(e.alias(f"{s}__{c}"))
+        x = F.col(_q(c)).cast("double")
+        for s in plain or ["count"]:
+            aggs.append(STAT_EXPRS[s](x).cast("long" if s in ("count", "nulls") else "double").alias(f"{s}__{c}"))
+        if approx:
+            q = approx_quantiles(x, [QUANTILE_STATS[s] for s in wanted]) if wanted else None
+            aggs += [q[k].cast("double").alias(f"{s}__{c}") for k, s in enumerate(wanted)]
     wide = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
-    return wide_to_long(wide, group_cols, cols, stats)
+    if approx or not wanted:
+        return wide_to_long(wide, group_cols, cols, stats)
+    long = wide_to_long(wide, group_cols, cols, plain or ["count"])
+    found = exact_quantiles(df, {c: F.col(_q(c)) for c in cols}, [QUANTILE_STATS[s] for s in wanted], by=group_cols)
+    found = found.select(*(F.col(_q(g)).alias(f"_g{k}") for k, g in enumerate(group_cols)), F.col("feature").alias("_f"),
+                         *(F.col("q")[k].alias(s) for k, s in enumerate(wanted)))
+    same = F.col("feature") == F.col("_f")
+    for k, g in enumerate(group_cols):
+        same &= F.col(_q(g)).eqNullSafe(F.col(f"_g{k}"))
+    return long.join(found, same, "left").select(*(F.col(_q(g)) for g in group_cols), "feature", *stats)
 
 
 def industry_distribution_stats(df: DataFrame, ratio_cols: Sequence[str], by: str = "industry_code",
@@ -184,8 +192,7 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, first_
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """rows beyond the first occurrence (null-safe, all columns) and total missing."""
-    grouped = df.groupBy(*[F.col(_q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
-    dup = grouped.agg(F.sum(F.col("_k") - 1).cast("long").alias("duplicates"))
+    dup = count_duplicates(df)
     missing = df.agg(sum([F.sum(F.when(F.col(_q(c)).isNull(), 1).otherwise(0)) for c in df.columns],
                          F.lit(0)).cast("long").alias("missing_cells"),
                      F.count(F.lit(1)).alias("rows"))
@@ -238,89 +245,133 @@ def categorical_default_rates(df: DataFrame, cols: Sequence[str] = ("owner_educa
     return agg.select("feature", "value", "count", share.alias("share"), "default_rate")
 
 
+#: Count vectors of so many groups are held in a task; beyond it they are handed on and added later.
+HELD_GROUPS = 2000
+
+
+def _count_task(keys: Sequence[str], features: int, bins: int):
+    """Counts of bin numbers (-1: none) by group, as one vector a feature."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            rows = list(held.items())
+            arrays = [pa.array([g[k] for g, _ in rows for _ in range(features)], types[k]) for k in range(len(keys))]
+            arrays += [pa.array([f for _ in rows for f in range(features)], pa.int32()), pa.array([v.tolist() for _, c in rows for v in c], pa.list_(pa.int64()))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, [*keys, "f", "counts"])
+
+        types = None
+        for part in parts:
+            types = [part.column(k).type for k in keys]
+            codes = np.zeros(part.num_rows, np.int64)
+            groups = [()]
+            if keys:
+                known: dict[tuple, int] = {}
+                codes = np.array([known.setdefault(g, len(known)) for g in zip(*(part.column(k).to_pylist() for k in keys))], np.int64)
+                groups = list(known)
+            b = part.column("b").flatten().to_numpy().reshape(part.num_rows, features).astype(np.int64)
+            cell = (codes[:, None] * features + np.arange(features)) * bins + b
+            counts = np.bincount(cell[b >= 0], minlength=len(groups) * features * bins).reshape(len(groups), features, bins)
+            for g, c in zip(groups, counts):
+                held[g] = held[g] + c if g in held else c
+            if len(held) > HELD_GROUPS:
+                yield out()
+        if held:
+            yield out()
+
+    return run
+
+
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, group_cols: Sequence[str] = (),
-              density: bool = False) -> DataFrame:
+              density: bool = False, bounds_by: Sequence[str] | None = None) -> DataFrame:
     """equal-width bin table per (group, feature): numpy ``histogram`` semantics
-    (last bin closed). Bounds come from one aggregate row per group."""
-    g = list(group_cols)
-    stacked = df.selectExpr(*[_q(c) for c in g],
-                            f"stack({len(cols)}, " + ", ".join(f"'{c}', CAST({_q(c)} AS DOUBLE)" for c in cols)
-                            + ") AS (feature, value)").filter(F.col("value").isNotNull())
-    bounds = stacked.groupBy(*g, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                                                F.count(F.lit(1)).alias("n"))
-    j = stacked.join(bounds, g + ["feature"])   # groups x features rows
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(
-        F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)))
-    counts = j.groupBy(*g, "feature", b.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-        F.first("n").alias("n"))
-    w = (F.col("hi") - F.col("lo")) / bins
-    out = counts.select(*g, "feature", "bin", (F.col("lo") + F.col("bin") * w).alias("bin_start"),
-                        (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_end"), "count")
+    (last bin closed), bins with rows only.
+
+    Two scans: one aggregate gives all features' bounds (of the groups of ``bounds_by``, some of
+    ``group_cols``, by default all), then each task counts all features' bins of its rows into vectors, which are added by
+    position; rows are never unpivoted. With ``density`` count / (n * bin width).
+    """
+    g, bg = list(group_cols), list(group_cols if bounds_by is None else bounds_by)
+    x = [F.col(_q(c)).cast("double") for c in cols]
+    ends = [F.array(*map(f, x)).alias(k) for k, f in (("_lo", F.min), ("_hi", F.max))]
+    bounds = staged(df.groupBy(*bg).agg(*ends) if bg else df.agg(*ends), "bounds").select(*(F.col(_q(c)).alias(f"_b{k}") for k, c in enumerate(bg)), "_lo", "_hi")
+    same = F.lit(True)
+    for k, c in enumerate(bg):
+        same &= F.col(_q(c)).eqNullSafe(F.col(f"_b{k}"))
+
+    def bin_of(v, i):
+        lo, hi = F.get("_lo", i), F.get("_hi", i)
+        return F.coalesce(F.when(v.isNull(), F.lit(-1)).when(hi == lo, F.lit(bins // 2)).otherwise(F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).cast("int"), F.lit(-1))
+
+    joined = df.select(*map(_q, g), *(F.col(_q(c)) for c in bg if c not in g), F.array(*x).alias("_x"))
+    joined = joined.join(bounds, same) if bg else joined.crossJoin(F.broadcast(bounds))  # without groups one row
+    rows = joined.select(*map(_q, g), F.transform("_x", bin_of).alias("b"))
+    schema = T.StructType([*(df.schema[c] for c in g), *T.StructType.fromDDL("f int, counts array<long>").fields])
+    vectors = rows.mapInArrow(_count_task(g, len(cols), bins), schema)
+    counts = (vectors.select(*map(_q, g), "f", F.posexplode("counts").alias("bin", "count")).groupBy(*map(_q, g), "f", "bin").agg(F.sum("count").alias("count")).filter("count > 0"))
+    lo, hi = F.get("_lo", F.col("f")), F.get("_hi", F.col("f"))
+    width = (hi - lo) / bins
+    placed = counts.join(bounds, same) if bg else counts.crossJoin(F.broadcast(bounds))
+    out = placed.select(*map(_q, g), F.element_at(F.array(*map(F.lit, cols)), F.col("f") + 1).alias("feature"), "bin",
+                        (lo + F.col("bin") * width).alias("bin_start"), (lo + (F.col("bin") + 1) * width).alias("bin_end"), "count")
     if density:
-        # numpy density: count / (n * bin width)
-        out = out.join(bounds.select(*g, "feature", "n"), g + ["feature"]).withColumn(
-            "density", safe_div(F.col("count").cast("double"), F.col("n") * (F.col("bin_end") - F.col("bin_start"))))
-        out = out.drop("n")
+        n = F.sum("count").over(Window.partitionBy(*map(_q, g), "feature"))  # over at most ``bins`` rows
+        out = out.withColumn("density", safe_div(F.col("count").cast("double"), n * (F.col("bin_end") - F.col("bin_start"))))
     return out
 
 
-def boxplot_table(df: DataFrame, col: str, by: str = "industry_code", approx: bool = False) -> DataFrame:
-    """q1, median, q3, whiskers at the last datum within 1.5 IQR, outlier count."""
-    qs = df.groupBy(by).agg(_quantiles(F.col(col).cast("double"), [0.25, 0.5, 0.75], approx).alias("_q"))
-    qs = qs.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    j = df.select(by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()).join(
-        qs, by)
-    iqr = F.col("q3") - F.col("q1")
-    lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    inside = (F.col("x") >= lo_f) & (F.col("x") <= hi_f)
-    return j.groupBy(by, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("outliers"),
-    )
+def boxplot_table(df: DataFrame, col: str, by: str = "industry_code") -> DataFrame:
+    """F24 for one column."""
+    return boxplot_tables(df, [col], by).drop("feature")
 
 
 def boxplot_tables(df: DataFrame, cols: Sequence[str], by: str = "industry_code") -> DataFrame:
-    """F24 for several columns in two passes: all quartiles in one wide aggregate, then all
-    whiskers and outlier counts in another; only the aggregated rows are stacked."""
-    quartiles = df.groupBy(by).agg(*[_quantiles(F.col(c).cast("double"), [0.25, 0.5, 0.75], False).alias(f"_q{k}")
-                                     for k, c in enumerate(cols)])
+    """q1, median, q3, whiskers at the last datum within 1.5 IQR, outlier count of several columns.
+
+    All quartiles are counted together, then all whiskers and outliers in one wide aggregate; only the
+    aggregated rows are stacked.
+    """
+    found = exact_quantiles(df, {c: F.col(_q(c)) for c in cols}, [0.25, 0.5, 0.75], by=[by])
+    quartiles = found.groupBy(F.col(_q(by)).alias("_by")).agg(*(F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_q{k}") for k, c in enumerate(cols)))
     aggs = []
     for k, c in enumerate(cols):
-        x, q1, q3 = F.col(c).cast("double"), F.col(f"_q{k}")[0], F.col(f"_q{k}")[2]
+        x, q1, q3 = F.col(_q(c)).cast("double"), F.col(f"_q{k}")[0], F.col(f"_q{k}")[2]
         inside = (x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))
-        aggs += [F.min(F.when(inside, x)).alias(f"_l{k}"), F.max(F.when(inside, x)).alias(f"_h{k}"),
+        aggs += [F.first(f"_q{k}").alias(f"_q{k}"), F.min(F.when(inside, x)).alias(f"_l{k}"), F.max(F.when(inside, x)).alias(f"_h{k}"),
                  F.count(F.when(x.isNotNull() & ~inside, 1)).alias(f"_o{k}")]
-    wide = df.select(by, *cols).join(quartiles, by).groupBy(by, *[f"_q{k}" for k in range(len(cols))]).agg(*aggs)
+    wide = df.select(by, *cols).join(quartiles, F.col(_q(by)).eqNullSafe(F.col("_by"))).groupBy(by).agg(*aggs)
     args = ", ".join(f"'{c}', _q{k}[0], _q{k}[1], _q{k}[2], _l{k}, _h{k}, _o{k}" for k, c in enumerate(cols))
-    return wide.selectExpr(by, f"stack({len(cols)}, {args}) AS (feature, q1, median, q3, whisker_low, whisker_high, outliers)")
+    long = wide.selectExpr(by, f"stack({len(cols)}, {args}) AS (feature, q1, median, q3, whisker_low, whisker_high, outliers)")
+    return long.filter("median is not null")
 
 
 def qq_table(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
-    """ordered values vs theoretical normal quantiles (scipy probplot positions:
-    Filliben's medians) + the fitted least-squares line per group."""
+    """F25 for one column, per group of ``by`` or pooled."""
+    return qq_tables(df, [col], by).drop("feature")
+
+
+def qq_tables(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
+    """ordered values vs theoretical normal quantiles (scipy probplot positions: Filliben's
+    medians) + the fitted least-squares line, per column (and group).
+
+    Every value is a row of the result, so the values are unpivoted; they are sorted once by ranges that split
+    hot values and hot groups.
+    """
     from .rank import position_by_value
-    base = df.select(*([by] if by else []), F.col(col).cast("double").alias("value")) \
-        .filter(F.col("value").isNotNull())
-    parts = [by] if by else []
+    parts = ["feature"] + ([by] if by else [])
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(_q(c)).cast("double").alias("value")) for c in cols)))
+    base = df.select(*([by] if by else []), values.alias("_v")).select(*([by] if by else []), "_v.feature", "_v.value").filter(F.col("value").isNotNull())
     ranked = position_by_value(base, "value", partition_cols=parts, out="_i")
-    sizes = base.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")) if parts else \
-        base.agg(F.count(F.lit(1)).alias("n"))
-    j = ranked.join(sizes, parts) if parts else ranked.crossJoin(F.broadcast(sizes))
-    i = F.col("_i") + 1
-    nn = F.col("n").cast("double")
+    sizes = ranked.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+    i, nn = F.col("_i") + 1, F.col("n").cast("double")
     last = F.pow(F.lit(0.5), 1.0 / nn)
     m = F.when(i == 1, 1 - last).when(i == F.col("n"), last).otherwise((i - 0.3175) / (nn + 0.365))
-    pts = j.select(*parts, F.col("_i").alias("i"), "value", inverse_normal_cdf(m).alias("theoretical"))
-    # the points feed both the per-group fit and the final join: materialise them once
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(pts.sparkSession)
-    pts = pts.checkpoint(eager=True)
+    pts = staged(ranked.join(sizes, parts).select(*parts, F.col("_i").alias("i"), "value", inverse_normal_cdf(m).alias("theoretical")), "qq_points")
     fit = pts.groupBy(*parts).agg(F.regr_slope("value", "theoretical").alias("slope"),
                                   F.regr_intercept("value", "theoretical").alias("intercept"))
-    return pts.join(fit, parts) if parts else pts.crossJoin(F.broadcast(fit))
+    return pts.join(fit, parts)
 
 
 def industry_params(features: DataFrame, ratio_cols: Sequence[str], by: str = "industry_code",

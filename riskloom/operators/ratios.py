@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
+from ..session import staged
 
 # The 12 ratio names in the reference's processing order (D14 is
 # order-sensitive, so this order matters).
@@ -72,38 +73,78 @@ def financial_features(raw: DataFrame) -> DataFrame:
     return calculate_ratios(raw, keep_raw=False)
 
 
-def outlier_bounds(df: DataFrame, col: str, k: float = 5.0) -> tuple[float | None, float | None]:
-    row = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
-    if row["m"] is None or row["s"] is None:
-        return None, None
-    return row["m"] - k * row["s"], row["m"] + k * row["s"]
+#: A row is in the tail if a ratio is further than this part of the bound's width from the mean.
+TAIL_SHARE = 0.5
 
 
-def remove_outliers(df: DataFrame, ratio_cols: Sequence[str] = tuple(RATIO_COLS),
-                    k: float = 5.0, checkpoint_every: int = 0) -> DataFrame:
+def _moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float, float]]:
+    """count, mean and sum of squared deviations of each column, from one pass."""
+    row = df.agg(*(e for c in cols for e in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}")))).first()
+    return {c: (row[f"n_{c}"], row[f"m_{c}"] or 0.0, (row[f"v_{c}"] or 0.0) * row[f"n_{c}"]) for c in cols}
+
+
+def _merged(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[int, float, float]:
+    """Moments of two sets of rows together; no difference of large sums is taken."""
+    n = a[0] + b[0]
+    if not n:
+        return 0, 0.0, 0.0
+    shift = b[1] - a[1]
+    return n, a[1] + shift * b[0] / n, a[2] + b[2] + shift * shift * a[0] * b[0] / n
+
+
+def _bounds(moments: tuple[int, float, float], k: float) -> tuple[float, float] | None:
+    n, mean, squares = moments
+    if n < 2:
+        return None
+    width = k * (squares / (n - 1)) ** 0.5
+    return mean - width, mean + width
+
+
+def outlier_bounds(df: DataFrame, ratio_cols: Sequence[str] = tuple(RATIO_COLS), k: float = 5.0) -> list[tuple[str, float, float] | None]:
+    """The bounds of each ratio in order, from the rows that the earlier ones leave (None: too few rows).
+
+    Pass 1 takes all ratios' moments. Pass 2 writes the rows of the tail (a ratio is NULL or further from its mean than ``TAIL_SHARE``
+    of the bound) and one row with the moments of all others, the core. Each ratio's survivors are then the core and the
+    rows of the tail that are left, whose moments are added. That holds as long as no bound cuts into the core;
+    where one does, as after the removal of extreme values, the two passes are taken again from there.
+    """
+    cols, found, now = list(ratio_cols), [], df
+    while cols:
+        means = _moments(now, cols)
+        cut = {c: _bounds(means[c], k * TAIL_SHARE) for c in cols}
+        inner = F.lit(True)
+        for c in cols:
+            inner &= F.lit(False) if cut[c] is None else F.coalesce((F.col(c) >= cut[c][0]) & (F.col(c) <= cut[c][1]), F.lit(False))
+        apart = F.when(~inner, F.monotonically_increasing_id())  # NULL: the core, one group
+        parts = staged(now.select(*cols, apart.alias("_row")).groupBy("_row").agg(*(e for c in cols for e in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(c), F.var_pop(c).alias(f"v_{c}")))), "tail")
+        core = parts.filter("_row is null").first()
+        core = {c: (core[f"n_{c}"], core[c], core[f"v_{c}"] * core[f"n_{c}"]) if core else (0, 0.0, 0.0) for c in cols}
+        tail = parts.filter("_row is not null").select(*cols)
+        for c in list(cols):
+            bounds = _bounds(_merged(core[c], _moments(tail, [c])[c]), k)
+            cols.remove(c)
+            if bounds is None:
+                return [*found, None]
+            found.append((c, *bounds))
+            tail, now = tail.filter(F.col(c).between(*bounds)), now.filter(F.col(c).between(*bounds))
+            if core[c][0] and (bounds[0] > cut[c][0] or bounds[1] < cut[c][1]):
+                break  # these bounds are exact, but the core is no longer whole
+    return found
+
+
+def remove_outliers(df: DataFrame, ratio_cols: Sequence[str] = tuple(RATIO_COLS), k: float = 5.0) -> DataFrame:
     """D14 (T15): for each ratio *in order*, keep mean +- k * sample-std of the survivors.
 
     Sequential by definition: step i's mean/std are computed on the rows surviving
-    steps < i. Each step is one small aggregate job (one row back to the driver); the
-    bounds become literals, so the returned plan is a linear chain of filters over the
-    input -- no self-join blow-up. Rows with a NULL ratio fail the comparison and drop,
-    exactly like a pandas boolean mask. Callers should persist/checkpoint ``df`` first,
-    as every step re-reads it; ``checkpoint_every`` cuts lineage with a reliable
-    checkpoint for long column lists.
+    steps < i. The bounds become literals, so the returned plan is one chain of filters over the
+    input. Rows with a NULL ratio fail the comparison and drop, exactly like a pandas boolean mask; if a
+    step has fewer than two rows to take a std of, no row survives. ``df`` is read about twice: pass a table.
     """
-    cur = df
-    for i, c in enumerate(ratio_cols):
-        lo, hi = outlier_bounds(cur, c, k)
-        if lo is None:
-            # pandas: NaN bounds -> every comparison is False -> no row survives.
-            cur = cur.filter(F.lit(False))
-        else:
-            cur = cur.filter((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)))
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            from ..session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(cur.sparkSession)
-            cur = cur.checkpoint(eager=True)
-    return cur
+    out = df
+    for found in outlier_bounds(df, ratio_cols, k):
+        # pandas: NaN bounds -> every comparison is False -> no row survives.
+        out = out.filter(F.lit(False)) if found is None else out.filter(F.col(found[0]).between(found[1], found[2]))
+    return out
 
 
 def remove_outliers_single_pass(df: DataFrame, ratio_cols: Sequence[str] = tuple(RATIO_COLS),

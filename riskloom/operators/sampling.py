@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from ..sources.contract import ID_COL, LABEL_COL
 from .rank import hex_prefix_int, md5_key, position_by_hash, position_by_value
 
@@ -121,8 +122,8 @@ def split_industry_mix(df: DataFrame, by: str = "industry_code") -> DataFrame:
 
 def contiguous_folds(df: DataFrame, order_key: str, k: int = 5, out: str = "fold") -> DataFrame:
     """G7 (regression CV): unshuffled KFold -- the first n % k folds get one extra row."""
-    ranked = position_by_value(df, order_key, out="_pos")
-    n = df.count()
+    ranked = staged(position_by_value(df, order_key, out="_pos"), "positions")
+    n = ranked.count()
     base, extra = divmod(n, k)
     # boundary of fold f = f*base + min(f, extra)
     big = (base + 1) * extra

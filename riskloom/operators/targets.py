@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..sources.contract import (ID_COL, LABEL_COL, MODULE1_FEATURES, MODULE2_FEATURES,
                                 MODULE3_FEATURES, MODULE4_FEATURES)
-from ..functions.columns import median_expr, safe_corr
+from ..functions.columns import safe_corr
 from .features import past_due_severity
+from .quantiles import medians
 
 BLEND_PROXY = 0.70
 BLEND_LABEL = 0.30
@@ -90,16 +91,14 @@ def with_norms(df: DataFrame, cols: list[str], fill_median: bool, prefix: str =
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"_lo_{c}"), F.max(x).alias(f"_hi_{c}")]
-        if fill_median:
-            aggs.append(median_expr(x, df.sparkSession).alias(f"_md_{c}"))
+    middle = medians(df, {c: F.col(c) for c in cols}) if fill_median else {}
     out = df.crossJoin(F.broadcast(df.agg(*aggs)))
     for c in cols:
         x = F.col(c).cast("double")
         if fill_median:
-            x = F.coalesce(x, F.col(f"_md_{c}"))
+            x = F.coalesce(x, F.lit(middle[c]).cast("double"))
         out = out.withColumn(f"{prefix}{c}", minmax_norm(x, F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))
-    drop = [f"_{k}_{c}" for c in cols for k in (("lo", "hi", "md") if fill_median else ("lo", "hi"))]
-    return out.drop(*drop)
+    return out.drop(*[f"_{k}_{c}" for c in cols for k in ("lo", "hi")])
 
 
 def target_raw(df: DataFrame, spec: ModuleSpec, label: str | None = LABEL_COL,
@@ -109,8 +108,8 @@ def target_raw(df: DataFrame, spec: ModuleSpec, label: str | None = LABEL_COL,
 
 
 def fused_targets(df: DataFrame, specs: dict, label: str | None = LABEL_COL) -> DataFrame:
-    """Several modules' target proxies in three passes over ``df`` in total: one fused
-    aggregate of every weight column's min/max/median, one projection of all scores,
+    """Several modules' target proxies in a few passes over ``df`` in total: one fused
+    aggregate of every weight column's minimum and maximum, the exact medians of all columns that need one, one projection of all scores,
     one fused aggregate of the score ranges (for re-normalised modules). ``specs`` maps
     output column -> ModuleSpec. Chaining modules one by one would nest each module's
     aggregates inside the next one's plan."""
@@ -120,7 +119,7 @@ def fused_targets(df: DataFrame, specs: dict, label: str | None = LABEL_COL) ->
         {"max_past_due_days", "num_past_due_90d"} <= set(x.columns)
     if add_sev:
         x = x.withColumn("past_due_severity", past_due_severity())
-    aggs, plans = [], {}
+    aggs, plans, filled = [], {}, set()
     for k, (out, spec) in enumerate(specs.items()):
         used = [(c, w) for c, w in spec.weights if c in x.columns]
         normed = [c for c, _ in used if c not in spec.raw_binary]
@@ -129,7 +128,8 @@ def fused_targets(df: DataFrame, specs: dict, label: str | None = LABEL_COL) ->
             v = F.col(c).cast("double")
             aggs += [F.min(v).alias(f"_lo{k}_{c}"), F.max(v).alias(f"_hi{k}_{c}")]
             if spec.fill_median:
-                aggs.append(median_expr(v, x.sparkSession).alias(f"_md{k}_{c}"))
+                filled.add(c)
+    middle = medians(x, {c: F.col(c) for c in sorted(filled)}) if filled else {}
     stats = x.agg(*aggs)
     x = x.crossJoin(F.broadcast(stats))
     for out, (k, spec, used, normed) in plans.items():
@@ -140,7 +140,7 @@ def fused_targets(df: DataFrame, specs: dict, label: str | None = LABEL_COL) ->
             else:
                 v = F.col(c).cast("double")
                 if spec.fill_median:
-                    v = F.coalesce(v, F.col(f"_md{k}_{c}"))
+                    v = F.coalesce(v, F.lit(middle[c]).cast("double"))
                 term = minmax_norm(v, F.col(f"_lo{k}_{c}"), F.col(f"_hi{k}_{c}"))
             score = score + F.lit(w) * term
         x = x.withColumn(f"_score{k}", score)

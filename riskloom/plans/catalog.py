@@ -9,3 +9,4 @@ from . import catalog_targets  # noqa: F401
 from . import catalog_meta  # noqa: F401
 from . import catalog_learners  # noqa: F401
 from . import catalog_extra  # noqa: F401
+from . import catalog_more  # noqa: F401

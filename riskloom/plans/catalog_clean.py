@@ -169,7 +169,7 @@ def q_i2(spark, sf_dir):
 def q_c1(spark, sf_dir):
     """Full-row de-duplication of the train split (clones whose twin is in train drop)."""
     sp = DS.splits(spark, sf_dir)
-    tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
+    tr = DS.distinct_train(spark, sf_dir)
     return tr.select("sample_id", "default")
 
 
@@ -189,7 +189,7 @@ def q_c2(spark, sf_dir):
 def q_c3(spark, sf_dir):
     """Share at the 3.0 cap, r(original, recalculated) and the frozen strategy."""
     sp = DS.splits(spark, sf_dir)
-    tr = CL.fix_collateral_type(sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates())
+    tr = CL.fix_collateral_type(DS.distinct_train(spark, sf_dir))
     d = CL.debt_burden_diagnostics(tr)
     ok = F.col("corr").isNotNull() & ~F.isnan("corr") & (F.abs("corr") > CL.DEBT_CORR_MIN)
     return d.withColumn("strategy", F.when(ok, "recalc").otherwise("drop"))
@@ -212,7 +212,7 @@ def q_c6(spark, sf_dir):
     """Train minima and log shifts of the 8 money columns."""
     _, model = _fitted(spark, sf_dir)
     sp = DS.splits(spark, sf_dir)
-    tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
+    tr = DS.distinct_train(spark, sf_dir)
     mins = tr.agg(*[F.min(c).cast("double").alias(c) for c in CL.LOG_TRANSFORM_COLS])
     args = ", ".join(f"'{c}', `{c}`" for c in CL.LOG_TRANSFORM_COLS)
     long = mins.selectExpr(f"stack({len(CL.LOG_TRANSFORM_COLS)}, {args}) AS (feature, train_min)")
@@ -224,7 +224,7 @@ def q_c6(spark, sf_dir):
 def q_c9(spark, sf_dir):
     """Fitted preprocessing applied to the (deduplicated) train split."""
     sp, model = _fitted(spark, sf_dir)
-    tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
+    tr = DS.distinct_train(spark, sf_dir)
     return model.transform(tr)
 
 
@@ -249,7 +249,7 @@ def q_c10b(spark, sf_dir):
 def q_c13(spark, sf_dir):
     """Residual-NULL assertion after preprocessing (train)."""
     sp, model = _fitted(spark, sf_dir)
-    tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
+    tr = DS.distinct_train(spark, sf_dir)
     out = model.transform(tr).drop("sample_id", "default")
     return CL.residual_nulls(out).select(F.lit("train").alias("split"), "rows",
                                          F.col("null_cells").cast("long").alias("null_cells"))

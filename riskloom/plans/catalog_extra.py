@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import clean as CL
 from ..operators import profile as P
 from ..operators import targets as TG
 from ..operators.ratios import RATIO_COLS
+from ..operators.quantiles import medians
+from ..session import shared_path
 from ..sources import io as IO
 from . import datasets as DS
 from .catalog_clean import PP_NUMERIC, PREP
@@ -22,11 +21,6 @@ from .sqlgen import describe_sql, q
 D67 = ("dataset67",)
 
 
-def _scratch(spark, name):
-    base = spark.sparkContext.getCheckpointDir() or "/tmp"
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:8]}")
-
-
 @register("A7_params_document_roundtrip", with_views(
     "SELECT s.industry_code, CASE s.industry_code WHEN 10 THEN 'Food Manufacturing' WHEN 46 THEN 'Wholesale' "
     "WHEN 56 THEN 'F&B' ELSE 'Industry ' || CAST(s.industry_code AS VARCHAR) END AS industry_name, n.n_samples, "
@@ -40,7 +34,7 @@ def q_a7(spark, sf_dir):
     """Per-industry parameter documents written as JSON and read back with the
     declared nested schema; flattened per (industry, ratio)."""
     doc = P.industry_params(DS.financial_features(spark, sf_dir), RATIO_COLS)
-    path = _scratch(spark, "params")
+    path = shared_path(spark, "params")
     IO.write_params(doc, path)
     back = IO.read_params(spark, path)
     st = back.select("industry_code", "industry_name", "n_samples",
@@ -59,7 +53,7 @@ def q_a10(spark, sf_dir):
     sc = split_scores(spark, sf_dir)
     allsplits = (sc["tr"].withColumn("split", F.lit("train")).unionByName(sc["va"].withColumn("split", F.lit("val")))
                  .unionByName(sc["te"].withColumn("split", F.lit("test"))))
-    path = _scratch(spark, "scores")
+    path = shared_path(spark, "scores")
     IO.write_table(allsplits.drop("past_bankruptcy"), path, partition_by=("split",))
     return spark.read.parquet(path).filter(F.col("split") == "val").drop("split")
 
@@ -110,7 +104,7 @@ def q_c7(spark, sf_dir):
     reference would store them (only when train has a numeric NULL)."""
     sp = DS.splits(spark, sf_dir)
     model = DS.fitted_preprocessor(spark, sf_dir)
-    tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
+    tr = DS.distinct_train(spark, sf_dir)
     st = model.state
     x = CL.fix_collateral_type(tr)
     x = CL.apply_debt_strategy(x, st.debt_strategy)
@@ -118,6 +112,7 @@ def q_c7(spark, sf_dir):
     x = CL.log_transform(CL.one_hot(x, st.categories), st.log_shifts)
     cols = [c for c in PP_NUMERIC if c in x.columns]
     nulls = sum([F.sum(F.col(c).isNull().cast("long")) for c in cols], F.lit(0))
-    wide = x.agg(nulls.alias("_nulls"), *[F.median(F.col(c).cast("double")).alias(c) for c in cols])
-    args = ", ".join(f"'{c}', `{c}`" for c in cols)
-    return wide.selectExpr(f"stack({len(cols)}, {args}) AS (feature, median)", "_nulls > 0 AS applied")
+    applied = x.agg(nulls.alias("n")).first()["n"] > 0
+    # as fitted where the fit stored them, else counted here
+    found = st.medians if applied else medians(x, {c: F.col(c) for c in cols})
+    return spark.createDataFrame([(c, float(found[c]) if found.get(c) is not None else None, applied) for c in cols], "feature string, median double, applied boolean")

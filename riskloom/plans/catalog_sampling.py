@@ -133,4 +133,4 @@ def _qa_sql():
 def q_a11(spark, sf_dir):
     """Data-quality report as a tidy (section, metric, value) frame."""
     from ..operators.report import qa_report
-    return qa_report(DS.oversampled(spark, sf_dir), DS.splits(spark, sf_dir))
+    return qa_report(DS.splits(spark, sf_dir))

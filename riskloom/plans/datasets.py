@@ -1,10 +1,10 @@
 """Named intermediate datasets shared by registered queries (Spark side of the views).
 
-Long chains (fixtures -> oversample -> split -> preprocess -> targets) are cut with a
-reliable ``checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``:
-later stages read the materialised rows instead of recomputing the lineitem join,
-and a lost executor re-reads the checkpoint rather than replaying the lineage.
-Materialisations are memoised per (application, data dir).
+Long chains (fixtures -> oversample -> split -> preprocess -> targets) are cut by writing
+Parquet to the shared folder named by ``spark.checkpoint.dir``: later stages read the
+columns and rows they need instead of recomputing the lineitem join, and a lost
+executor re-reads files rather than replaying the lineage. Tables are kept per
+application, data folder and state of its files: changed input is computed anew.
 """
 
 from __future__ import annotations
@@ -13,24 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
-from ..session import ensure_checkpoint_dir
+from ..operators.duplicates import distinct_rows
+from ..session import staged
 from ..sources import fixtures as FX
+from ..sources.store import input_state
+from ..sources.tables import table_path
 
+#: The tables that the company data are derived from.
+INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 _MEMO: dict = {}
 
 
+def input_paths(sf_dir: str) -> list[str]:
+    return [table_path(sf_dir, t) for t in INPUTS]
+
+
 def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+    state = str(input_state(spark, input_paths(sf_dir)))
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _MEMO:
-        ensure_checkpoint_dir(spark)
-        _MEMO[key] = build()
-    return _MEMO[key]
+    if _MEMO.get(key, (None,))[0] != state:
+        _MEMO[key] = (state, build())
+    return _MEMO[key][1]
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): cuts lineage, survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written once as Parquet in the shared folder, read from there."""
+    return staged(df)
 
 
 def dataset67(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +69,12 @@ def splits(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
         S.stratified_split(oversampled(spark, sf_dir, seed=seed), seed=seed)))
 
 
+def distinct_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The train split without repeated rows."""
+    return _memo(spark, sf_dir, "distinct_train", lambda: materialize(distinct_rows(
+        splits(spark, sf_dir).filter(F.col("split") == "train").drop("clone_ord", "split"))))
+
+
 def fitted_preprocessor(spark: SparkSession, sf_dir: str):
     from ..operators.clean import Preprocessor
     return _memo(spark, sf_dir, "preprocessor", lambda: Preprocessor().fit(
@@ -72,7 +86,6 @@ def preprocessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     def build():
         sp = splits(spark, sf_dir)
         model = fitted_preprocessor(spark, sf_dir)
-        tr = sp.filter(F.col("split") == "train").drop("clone_ord", "split").dropDuplicates()
         return tuple(materialize(model.transform(x)) for x in
-                     (tr, sp.filter(F.col("split") == "val"), sp.filter(F.col("split") == "test")))
+                     (distinct_train(spark, sf_dir), sp.filter(F.col("split") == "val"), sp.filter(F.col("split") == "test")))
     return _memo(spark, sf_dir, "preprocessed", build)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -39,10 +41,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/S3/...) folder there and we use it as is. Only
-    when it is unset -- local runs and tests -- do we pick a fresh scratch folder.
+    A cluster must name one (HDFS, S3, ...), which is used as it is; ValueError if it does not, as executors
+    would not see the driver's own folders. In local mode, where it may be unset, a fresh folder is taken.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -53,6 +55,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(local)
     return local
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}/{name}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, and read from there.
+
+    Cuts the lineage (a lost executor rereads files), and later filters and column choices reach the scan.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -154,3 +154,32 @@ def missing_features(df: DataFrame) -> DataFrame:
 def drop_unnamed(df: DataFrame) -> DataFrame:
     """B1: drop index-spill columns whose name contains ``Unnamed``."""
     return df.select(*[c for c in df.columns if "Unnamed" not in c])
+
+
+def unnamed_report(df: DataFrame) -> DataFrame:
+    """B1: the columns that ``drop_unnamed`` drops, with their share of NULLs in percent (one aggregate)."""
+    gone = [c for c in df.columns if "Unnamed" in c]
+    if not gone:
+        return df.sparkSession.createDataFrame([], "feature string, null_pct double")
+    wide = df.agg(*(F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"n{k}") for k, c in enumerate(gone)))
+    args = ", ".join(f"'{c}', n{k} * 100" for k, c in enumerate(gone))
+    return wide.selectExpr(f"stack({len(gone)}, {args}) AS (feature, null_pct)").withColumn("null_pct", round_half_up("null_pct", 2))
+
+
+def filled_counts(df: DataFrame) -> DataFrame:
+    """Module, feature, ord, present, filled (non-null values) and n (rows) of the 67 contract features, from one aggregate."""
+    there = [f for f in ALL_FEATURES if f in df.columns]
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(f"`{f}`").alias(f) for f in there))
+    args = ", ".join(f"'{f}', `{f}`" for f in there)
+    long = wide.selectExpr("n", f"stack({len(there)}, {args}) AS (feature, filled)") if there else wide.selectExpr("n", "CAST(NULL AS STRING) AS feature", "CAST(0 AS BIGINT) AS filled")
+    names = contract_frame(df.sparkSession).withColumn("present", F.col("feature").isin(there))
+    counted = names.join(long.drop("n"), "feature", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+    return counted.crossJoin(F.broadcast(wide.select("n")))  # one row
+
+
+def coverage_by_value(df: DataFrame) -> DataFrame:
+    """B9 by values: per module expected, found and filled features and the share of cells with a value in percent."""
+    out = filled_counts(df).groupBy("module").agg(
+        F.count(F.lit(1)).alias("expected"), F.sum(F.col("present").cast("long")).alias("found"), F.sum((F.col("filled") > 0).cast("long")).alias("filled"),
+        F.try_divide(F.sum("filled") * 100.0, F.sum("n")).alias("filled_pct"))
+    return out.withColumn("filled_pct", round_half_up("filled_pct", 2))

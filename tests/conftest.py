@@ -13,7 +13,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 @pytest.fixture(scope="session")
 def spark():
     from riskloom.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8, app_name="riskloom-tests")
+    s = build_session(master=os.environ.get("RISKLOOM_TEST_MASTER", "local[*]"), shuffle_partitions=8, app_name="riskloom-tests")
     yield s
     s.stop()
 

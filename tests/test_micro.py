@@ -182,18 +182,6 @@ def test_string_mode_fill_c8(spark):
     assert per_frame[-1] == "b" and frozen[-1] == "q"
 
 
-def test_quantiles_are_exact_unless_asked(spark):
-    from riskloom.functions.columns import median_expr
-    df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
-    spark.conf.set("spark.riskloom.exactQuantiles", "false")  # no setting changes an answer
-    try:
-        exact = df.agg(median_expr("x", spark)).first()[0]
-    finally:
-        spark.conf.unset("spark.riskloom.exactQuantiles")
-    assert exact == 5000.0
-    assert abs(df.agg(median_expr("x", spark, approx=True)).first()[0] - 5000.0) <= 1.0
-
-
 CONSTANT = [(0.1, 1.0, 5.0, None, 1), (0.1, 2.0, 5.0, None, 1), (0.1, 4.0, 5.0, None, 1), (None, 3.0, 6.0, 1.0, 1)]
 
 
@@ -237,10 +225,3 @@ def test_categorical_profile_keeps_columns_with_many_levels(spark):
     got = sorted(tuple(r) for r in categorical_profile(df).filter("feature = 'few'").collect())
     assert got == [("few", 2, "a", 24), ("few", 2, "b", 24)]
     assert [tuple(r) for r in categorical_profile(df).filter("feature = 'many'").collect()] == [("many", 12, None, None)]
-
-
-def test_training_keeps_its_partitions(spark):
-    from riskloom.operators.learners import training_frame
-    frame = training_frame(spark.range(1000).repartition(16))
-    assert frame.rdd.getNumPartitions() == 16
-    frame.unpersist()

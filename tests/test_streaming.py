@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from riskloom.operators.learners import first_points
 from riskloom.plans import datasets as DS
 from riskloom.plans.pipeline import CreditScoringPipeline
 from riskloom.streaming.scoring import score_stream
@@ -13,7 +14,7 @@ from riskloom.streaming.scoring import score_stream
 def test_stream_matches_batch(spark, sf_dir):
     sp = DS.splits(spark, sf_dir)
     train, val = sp.filter("split = 'train'"), sp.filter("split = 'val'")
-    pipe = CreditScoringPipeline().fit(train, val, modules=("S2",))
+    pipe = CreditScoringPipeline(first_points()).fit(train, val, modules=("S2",))
     src = os.path.join(tempfile.mkdtemp(prefix="riskloom-stream-"), "in")
     raw = val.drop("split", "clone_ord")
     raw.write.mode("overwrite").parquet(src)
