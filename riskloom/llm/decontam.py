@@ -68,8 +68,9 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 def item_fingerprints(items: DataFrame) -> DataFrame:
     """item (row key), pos, gram, n (gram's words): where an item's looked-up grams stand."""
-    rows = items.filter(F.size("h") > 0)
-    long = (add_winnowed(add_grams(rows.filter(F.size("h") >= SPAN)), f"g{GRAM}", "f")
+    # written before they are exploded: else the filters that Spark infers repeat the grams' expressions many times over
+    rows = stage(add_winnowed(add_grams(items.filter(F.size("h") > 0)), f"g{GRAM}", "f"), "item_grams")
+    long = (rows.filter(F.size("h") >= SPAN)
             .select("item", "f", F.posexplode(f"g{GRAM}").alias("pos", "gram")).filter(F.array_contains("f", F.col("gram")))
             .select("item", "pos", "gram", F.lit(GRAM).alias("n")))
     short = rows.filter(F.size("h") < SPAN).withColumn("n", F.least(F.size("h"), F.lit(GRAM)))
@@ -125,7 +126,7 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     hits = None
     for n in sorted({GRAM, *shorter}):
-        at = (add_grams(kept, n).select("doc_id", "tag", F.posexplode(f"g{n}").alias("at", "gram"))
+        at = (add_grams(kept, n).select("doc_id", "tag", F.posexplode_outer(f"g{n}").alias("at", "gram"))  # the join drops NULL
               .join(side(prints.filter(F.col("n") == n)), "gram").select("doc_id", "tag", "item", (F.col("at") - F.col("pos")).alias("shift")))
         hits = at if hits is None else hits.unionByName(at)
     hits = stage(hits.distinct(), "diagonals")
