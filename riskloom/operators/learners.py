@@ -5,7 +5,7 @@ final training ``search.py`` (a Spark task a model, on a bounded sample of the t
 regression is Spark ML's, on all rows. Scores are row projections: the trees run in an Arrow function over
 a batch's inputs.
 
-The whole grids are the default; ``grids`` takes smaller ones (``first_points()``: the first point of each, with its tree counts).
+The whole grids are the default; ``grids`` takes smaller ones (``first_points()``: the first point of each; then nothing is searched).
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ MAX_BACKGROUND = 256
 
 
 def first_points() -> dict:
-    """The grids cut down to their first points and tree counts, for quick runs."""
+    """The grids cut down to their first points, for quick runs."""
     return {m: tuple(e.first_point() for e in pair) for m, pair in G.GRIDS.items()}
 
 
@@ -160,13 +160,12 @@ def module_samples(train: DataFrame, names: Sequence[str], max_rows: int = G.MAX
     keyed = contiguous_folds(train, ID_COL, G.FOLDS, out="_fold")
     with_targets = staged(fused_targets(keyed, {f"_t_{m}": MODULE_SPECS[m] for m in names}), "module_targets")
     ends = with_targets.agg(*(f(f"_t_{m}").alias(f"{k}{m}") for m in names for k, f in (("lo", F.min), ("hi", F.max)))).first()
-    samples, columns, ranges = {}, {}, {}
+    columns = {m: select_columns(MODULE_SPECS[m], train.columns) for m in names}
+    ranges = {m: (ends[f"lo{m}"], ends[f"hi{m}"]) for m in names}
+    rows = with_targets.withColumns({c: F.lit(0.0) for m in names for c in columns[m] if c not in train.columns})  # T10
     for m in names:
-        columns[m], ranges[m] = select_columns(MODULE_SPECS[m], train.columns), (ends[f"lo{m}"], ends[f"hi{m}"])
-        inputs = with_targets.select(ID_COL, "_fold", f"_t_{m}", *(F.col(f"`{c}`") if c in train.columns else F.lit(0.0).alias(c) for c in columns[m]))
-        scaled = scale_target(inputs, *ranges[m], col=f"_t_{m}", out="_y").filter("_y is not null")
-        samples[m] = G.sample(scaled, [ID_COL], columns[m], "_y", "_fold", max_rows)
-    return samples, columns, ranges
+        rows = scale_target(rows, *ranges[m], col=f"_t_{m}", out=f"_y_{m}")
+    return G.samples(rows, [ID_COL], {m: (columns[m], f"_y_{m}") for m in names}, "_fold", max_rows), columns, ranges
 
 
 def module_grid_search(spark, samples: Mapping, grids: Mapping) -> DataFrame:
@@ -179,7 +178,10 @@ def fit_modules(train: DataFrame, val: DataFrame, names: Sequence[str] = tuple(G
     """K1-K7 for several modules in one search job, one training job and one validation pass."""
     spark, grids = train.sparkSession, grids or G.GRIDS
     samples, columns, ranges = module_samples(train, names, max_rows)
-    points = G.best_points(module_grid_search(spark, samples, grids))
+    if all(len(e.points()) == 1 for m in names for e in grids[m]):  # nothing to choose
+        points = {(m, side): (0, None) for m in names for side in "AB"}
+    else:
+        points = G.best_points(module_grid_search(spark, samples, grids))
     chosen = {(m, side): est.only(est.points()[points[m, side][0]]) for m in names for side, est in zip("AB", grids[m])}
     models = G.forests(staged(G.refit(spark, samples, chosen), "refit"))
     found = {m: ScoreModule(m) for m in names}

@@ -55,8 +55,7 @@ def pipeline(spark, sf_dir) -> CreditScoringPipeline:
 def scores(spark, sf_dir) -> tuple[dict, object]:
     """(model scores of each split, their summary)."""
     def build():
-        scored, summary = collect_scores(pipeline(spark, sf_dir), _parts(spark, sf_dir))
-        return {k: DS.materialize(v) for k, v in scored.items()}, DS.materialize(summary)
+        return collect_scores(pipeline(spark, sf_dir), _parts(spark, sf_dir))
     return DS._memo(spark, sf_dir, "model_scores", build)
 
 

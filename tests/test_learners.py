@@ -189,7 +189,7 @@ def test_auc_of_points_and_folds_matches_sql(spark, sf_dir):
 def test_full_grids_are_the_default():
     assert [len(e.points()) for m in ("S1", "S2", "S3", "S4") for e in G.GRIDS[m]] == [24, 16, 24, 12, 12, 16, 16, 16]
     assert [len(e.points()) for e in G.META_GRIDS] == [4, 12]
-    assert all(len(e.points()) == 2 and len(e.trainings()) == 1 for pair in L.first_points().values() for e in pair)
+    assert all(len(e.points()) == 1 for pair in L.first_points().values() for e in pair)
 
 
 def test_sample_is_bounded_and_the_same_again(spark):
