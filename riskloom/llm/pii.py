@@ -137,7 +137,8 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, min_contexts: int =
     again = rows.join(small_side(copies, copies.count(), 24), "row", "left")
     words = again.select("copies", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
     counts = words.groupBy("term", F.coalesce("copies", F.lit(1)).alias("copies")).agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_term"))
-    terms = counts.join(small_side(pairs.select("term").distinct(), n_terms, size // n_terms), "term", "left_semi")
+    # no semi join: Spark would move it below the counts, where it hands on every word of every document
+    terms = counts.join(small_side(pairs.select("term").distinct(), n_terms, size // n_terms), "term")
     total = rows.select("row").distinct().count()
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     return (both.join(entities, "entity").join(terms, "term")
