@@ -309,3 +309,17 @@ def test_lines_meet_before_they_are_counted(spark, sf_dir):
     text = financial_raw(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     at = [text.index(x) for x in ("hashpartitioning(l_orderkey", "partial_sum(ext", "REBALANCE_PARTITIONS_BY_COL")]  # last step first
     assert at == sorted(at) and "decimal" not in text[at[0]:at[2]]
+
+
+def test_orders_meet_by_customer_before_they_are_counted(spark, sf_dir, monkeypatch):
+    """Orders are dealt by customer in as many pieces as they need, and only then summed: no join task holds a sum an order too."""
+    from riskloom.sources import fixtures as FX
+
+    whole = FX.financial_raw(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    monkeypatch.setattr(FX, "PIECE_ORDERS", -(-orders // 7))
+    dealt = FX.financial_raw(spark, sf_dir)
+    text = dealt._jdf.queryExecution().executedPlan().toString()
+    assert text.index("partial_sum(cast(gross") < text.index("hashpartitioning(o_custkey") < text.index("hashpartitioning(l_orderkey")  # last step first
+    assert "hashpartitioning(o_custkey#" in text and ", 7), REPARTITION_BY_NUM" in text
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
