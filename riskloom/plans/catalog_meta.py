@@ -18,16 +18,26 @@ from .registry import register
 from .sqlgen import q
 
 D67 = ("dataset67",)
-SPLITS = {"tr": 0, "va": 1, "te": 2}
+SPLITS = {"tr": "train", "va": "val", "te": "test"}
 
 
 # ------------------------------------------------------------------ Spark side
+class _BySplit(dict):
+    """'tr', 'va', 'te' -> a split's frame, made when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, split: str):
+        self[split] = self.make(split)
+        return self[split]
+
+
 def split_targets(spark, sf_dir):
-    """{'tr'|'va'|'te': preprocessed split + S1_raw..S4_raw}, checkpointed once."""
-    def build():
-        frames = DS.preprocessed(spark, sf_dir)
-        return {k: DS.materialize(MT.with_module_targets(frames[i])) for k, i in SPLITS.items()}
-    return DS._memo(spark, sf_dir, "split_targets", build)
+    """{'tr'|'va'|'te': preprocessed split + S1_raw..S4_raw}, each written once, when it is asked for."""
+    return DS._memo(spark, sf_dir, "split_targets", lambda: _BySplit(
+        lambda k: DS.materialize(MT.with_module_targets(DS.preprocessed_split(spark, sf_dir, SPLITS[k])))))
 
 
 def train_ranges(spark, sf_dir):
@@ -45,8 +55,7 @@ def split_scores(spark, sf_dir):
         ranges = train_ranges(spark, sf_dir)
         tg = split_targets(spark, sf_dir)
         # a projection over the checkpointed targets: nothing to re-materialise
-        return {k: MT.scale_targets(tg[k], ranges, keep=("sample_id", "default", "past_bankruptcy"))
-                for k in SPLITS}
+        return _BySplit(lambda k: MT.scale_targets(tg[k], ranges, keep=("sample_id", "default", "past_bankruptcy")))
     return DS._memo(spark, sf_dir, "proxy_scores", build)
 
 

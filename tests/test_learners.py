@@ -236,3 +236,33 @@ def test_second_process_loads_the_pipeline(spark, sf_dir, tmp_path):
     ids = ["sample_id", "clone_ord"]
     diff = pipe.predict_scores(val).join(again.predict_scores(val).withColumnRenamed("S2", "b"), ids).agg(F.max(F.abs(F.col("S2") - F.col("b"))), F.count("*")).first()
     assert tuple(diff) == (0.0, val.count())
+
+
+def test_train_is_made_distinct_once(spark, sf_dir, monkeypatch):
+    """The pipeline's preprocessor is fitted on the distinct rows that the modules learn from, with the state that the raw rows give."""
+    from riskloom.operators import clean as CL
+    from riskloom.plans import datasets as DS
+    from riskloom.plans import pipeline as P
+
+    calls, distinct_rows = [], P.distinct_rows
+    for module in (CL, P):
+        monkeypatch.setattr(module, "distinct_rows", lambda df: calls.append(1) or distinct_rows(df))
+    monkeypatch.setattr(P, "fit_modules", lambda *a: {})
+    sp = DS.splits(spark, sf_dir)
+    train, val = (sp.filter(F.col("split") == k) for k in ("train", "val"))
+    fitted = P.CreditScoringPipeline().fit(train.unionByName(train.limit(3)), val)
+    assert len(calls) == 1
+    found, plain = fitted.preprocessor.state, CL.Preprocessor().fit(train).state
+    assert found.debt_corr == pytest.approx(plain.debt_corr, abs=1e-12)  # sums in another order
+    plain.debt_corr = found.debt_corr
+    assert found == plain
+
+
+def test_a_query_prepares_the_splits_it_uses(spark, sf_dir, monkeypatch):
+    """C11 takes train and val: no other split is prepared for it."""
+    from riskloom.plans import catalog_meta as CM
+
+    monkeypatch.setattr(DS, "_MEMO", {k: v for k, v in DS._MEMO.items() if not k[2].startswith(("preprocessed", "split_targets", "proxy_scores", "train_ranges"))})
+    CM.q_c11(spark, sf_dir)
+    made = {k[2] for k in DS._MEMO}
+    assert {"preprocessed/train", "preprocessed/val"} <= made and "preprocessed/test" not in made
