@@ -266,3 +266,20 @@ def test_a_query_prepares_the_splits_it_uses(spark, sf_dir, monkeypatch):
     CM.q_c11(spark, sf_dir)
     made = {k[2] for k in DS._MEMO}
     assert {"preprocessed/train", "preprocessed/val"} <= made and "preprocessed/test" not in made
+
+
+def test_places_in_trees_are_those_of_a_plain_walk():
+    from riskloom.operators import trees as T
+
+    rnd = np.random.default_rng(3)
+    x = T.filled(np.where(rnd.random((1500, 6)) < 0.1, np.nan, rnd.normal(size=(1500, 6))))
+    y = np.minimum(x[:, 0], 3) + rnd.normal(size=1500)
+    for f in (T.boost(x, y, trees=7, depth=4), T.bag(x, y, trees=5), T.boost(x[:, :0], y, trees=2)):
+        width = 0 if (f.feature < 0).all() else 6
+        places = f.leaves(x[:, :width], len(f.roots))
+        for i in range(0, 1500, 97):
+            for k, node in enumerate(f.roots.tolist()):
+                while f.feature[node] >= 0:
+                    node = int(f.left[node]) + int(x[i, f.feature[node]] > f.bound[node])
+                assert places[i, k] == node
+    assert T.BLOCK * 100 * 8 < 1 << 19  # places of 100 trees fit a core's cache
