@@ -283,3 +283,108 @@ def test_places_in_trees_are_those_of_a_plain_walk():
                     node = int(f.left[node]) + int(x[i, f.feature[node]] > f.bound[node])
                 assert places[i, k] == node
     assert T.BLOCK * 100 * 8 < 1 << 19  # places of 100 trees fit a core's cache
+
+
+# ------------------------------------------------------------------ all rows
+
+
+def test_modules_and_meta_model_learn_from_all_rows(spark):
+    """More rows than the 20,000 that training was once cut to: all are learned from."""
+    from riskloom.operators.meta import engineer_features, fit_standard_scaler
+    from riskloom.operators.targets import MODULE_SPECS
+
+    n = 21_000
+    one = (F.col("id") % 977) / 977
+    ids = spark.range(n, numPartitions=3).select(F.col("id").alias("sample_id"), (F.col("id") % 9 == 0).cast("int").alias("default"), one.alias("u"))
+    train = ids.select("sample_id", "default", *((F.col("u") * (k + 1)).alias(c) for k, c in enumerate(MODULE_SPECS["S2"].features)))
+    learned, columns, _ = L.module_samples(train, ("S2",))
+    s = learned["S2"]
+    assert s.x.shape == (n, len(columns["S2"])) and np.bincount(s.fold).tolist() == [n // 5] * 5
+    scores = ids.select("sample_id", "default", *(F.pow("u", F.lit(k)).alias(f"S{k}") for k in (1, 2, 3, 4)))
+    assert len(L.MetaModel().sample(scores, fit_standard_scaler(engineer_features(scores))).y) == n
+
+
+def test_background_of_any_size_is_counted_whole(spark):
+    """Mean |Shapley value| over all background rows, not a few of them; the same as row by row."""
+    rng = np.random.default_rng(5)
+    feats = L.FEATURE_COLS
+    scores = spark.createDataFrame([(i, int(i % 7 == 0), *map(float, np.round(v, 2))) for i, v in enumerate(rng.random((700, 4)))], "sample_id long, default int, S1 double, S2 double, S3 double, S4 double")
+    few = scores.filter("sample_id < 40")
+    mm = L.MetaModel()
+    mm.state = L.MetaState({c: (0.4, 0.3) for c in feats}, "B", 0.0, 1.0, None, None, 0.5, 1.0, [])
+
+    def inputs(df):
+        table = mm._features(df).select(*feats).toArrow()
+        return np.column_stack([table.column(c).to_numpy() for c in feats])
+
+    x = inputs(scores)
+    mm.gbt = T.boost(x, (x[:, 0] * x[:, 1] > x[:, 2]).astype(float), trees=12, depth=4, logistic=True)
+    got = {r["feature"]: r["mean_abs_shap"] for r in mm.tree_attribution(few, scores).collect()}
+    want = np.abs(T.shapley(mm.gbt, inputs(few), x)).mean(0)
+    assert [got[c] for c in feats] == pytest.approx(want.tolist(), abs=1e-12) and max(want) > 0
+    leaves = T.paths(mm.gbt)
+    counts = L.counted(mm._features(scores.repartition(5)).select(*feats), leaves)
+    assert counts.tolist() == T.pattern_counts(leaves, x).tolist()
+    with pytest.raises(ValueError):
+        mm.tree_attribution(few, scores.filter("false"))
+
+
+def test_trees_grown_by_pieces_are_those_grown_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 5))
+    x[::9, 1] = np.inf
+    y = np.minimum(x[:, 0] * x[:, 2], 2) + rng.normal(size=3000)
+    whole = T.bag(x, y, trees=4)
+    monkeypatch.setattr(T, "CELLS", 5 * T.BINS * 3)  # three open nodes at a time
+    pieces = T.bag(x, y, trees=4)
+    for name in ("feature", "bound", "left", "value", "gain", "roots"):
+        assert np.array_equal(getattr(whole, name), getattr(pieces, name))
+    # a shallow bagged tree is the top of a deep one, and trees grown apart are the same trees
+    assert np.array_equal(whole.predict(x, depth=5), T.bag(x, y, trees=4, depth=5).predict(x))
+    assert np.array_equal(T.bag(x, y, trees=4, skip=3).predict(x), whole.part(3, 4).predict(x))
+
+
+def test_bagged_depths_share_a_training():
+    assert [len(G.GRIDS["S2"][k].trainings()) for k in (0, 1)] == [12, 2]
+    assert sorted((p, t, d) for _, points in G.GRIDS["S2"][1].trainings() for p, t, d in points) == [(k, v["trees"], v["depth"]) for k, v in enumerate(G.GRIDS["S2"][1].points())]
+    assert all(params["depth"] is None for params, _ in G.GRIDS["S2"][1].trainings())
+
+
+def test_models_are_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3))
+    s = G.Sample(x, x[:, 0] + rng.normal(size=400), np.arange(400) % 5)
+    estimators = {("m", "A"): G.Estimator.of("boost", depth=(3,), trees=(4,)), ("m", "B"): G.Estimator.of("bag", depth=(None,), least=(5.0,), trees=(12,)),
+                  ("none", "A"): G.Estimator.of("boost", depth=(3,), trees=(4,))}
+    monkeypatch.setattr(G, "PIECE", 300)
+    monkeypatch.setattr(G, "PART_TREES", 5)
+    got = G.forests(G.refit(spark, {"m": s, "none": G.Sample(x[:0], s.y[:0], s.fold[:0])}, estimators))
+    want = {("m", "A"): T.boost(x, s.y, depth=3, trees=4), ("m", "B"): T.bag(x, s.y, trees=12), ("none", "A"): T.boost(x[:0], s.y[:0])}
+    G.write_forests(spark, got, str(tmp_path / "models"))
+    for found in (got, G.forests(spark.read.schema(G.FITTED).parquet(str(tmp_path / "models")))):
+        assert found.keys() == want.keys()
+        for key, f in want.items():
+            assert np.array_equal(found[key].predict(x), f.predict(x)) and np.array_equal(found[key].importance(3), f.importance(3))
+
+
+def test_auc_of_many_scores_is_that_of_one_window(spark, monkeypatch):
+    from riskloom.operators import rank
+
+    rng = np.random.default_rng(8)
+    rows = [("meta", "A", p, f, i, float(rng.random() < 0.3), round(float(rng.random()), 2)) for p in (0, 1) for f in (0, 1) for i in range(150)]
+    monkeypatch.setattr(rank, "BUCKET_ROWS", 20)
+    for r in G.auc_by_fold(spark.createDataFrame(rows, G.PREDICTIONS)).collect():
+        mine = [(y, s) for _, _, p, f, _, y, s in rows if (p, f) == (r["point"], r["fold"])]
+        pairs = [(a > b) + 0.5 * (a == b) for ya, a in mine for yb, b in mine if ya and not yb]
+        assert r["score"] == pytest.approx(np.mean(pairs)) and r["n"] == 150
+
+
+def test_large_forests_are_broadcast_to_be_scored(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 2))
+    f, g = T.bag(x, x[:, 0], trees=3), T.boost(x, x[:, 1], trees=3)
+    df = spark.createDataFrame(x.tolist(), "a double, b double")
+    monkeypatch.setattr(L, "SHARED_NODES", len(g.feature))
+    got = [r["p"] for r in df.select("a", "b", L.forest_column([F.col("a"), F.col("b")], [(0.25, f), (0.75, g)]).alias("p")).collect()]
+    assert f.__dict__["_broadcasts"] and "_broadcasts" not in g.__dict__
+    assert got == pytest.approx((0.25 * f.predict(x) + 0.75 * g.predict(x)).tolist(), abs=1e-15)
